@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from panelquant.functions.num import month_no, month_start
+from panelquant.functions.stage import stage
 
 BROADCAST_ROWS = 2_000_000  # (month, T) pairs; two small columns each
 
@@ -125,20 +126,21 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by, allow_exact: bool
     handling.  `tie` orders right rows that share (key, date); the largest wins.
     """
     by = [by] if isinstance(by, str) else list(by)
+    left = stage(left, 5)
     ron = right_on or on
     vals = [c for c in right.columns if c not in by and c != ron]
     r = right.filter(F.col(ron).isNotNull())
     payload = F.struct(F.col(ron).alias("_rd"), *[F.col(c) for c in vals])
     order = F.struct(*[F.col(t) for t in ([tie] if isinstance(tie, str) else (tie or vals))]) if vals else F.lit(1)
-    r = r.groupBy(*by, F.col(ron).alias("_d")).agg(F.max_by(payload, order).alias("_v"))
-    l = left.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("_d")).distinct()
+    r = r.groupBy(*by, F.col(ron).alias("_asof_d")).agg(F.max_by(payload, order).alias("_v"))
+    l = left.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("_asof_d")).distinct()
     rank_r, rank_l = (0, 1) if allow_exact else (1, 0)
-    u = (r.select(*by, "_d", "_v", F.lit(rank_r).alias("_s"))
-         .unionByName(l.select(*by, "_d", F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.lit(rank_l).alias("_s"))))
-    w = W.partitionBy(*by).orderBy("_d", "_s").rowsBetween(W.unboundedPreceding, 0)
+    u = (r.select(*by, "_asof_d", "_v", F.lit(rank_r).alias("_s"))
+         .unionByName(l.select(*by, "_asof_d", F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.lit(rank_l).alias("_s"))))
+    w = W.partitionBy(*by).orderBy("_asof_d", "_s").rowsBetween(W.unboundedPreceding, 0)
     m = (u.withColumn("_m", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_s") == rank_l)
-         .select(*[F.col(b).alias("_k_" + b) for b in by], F.col("_d"), "_m"))
-    cond = (F.col(on) == F.col("_d"))
+         .select(*[F.col(b).alias("_k_" + b) for b in by], F.col("_asof_d"), "_m"))
+    cond = (F.col(on) == F.col("_asof_d"))
     for b in by:
         cond = cond & (F.col(b) == F.col("_k_" + b))
     out = left.join(m, cond, "left")
@@ -146,7 +148,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by, allow_exact: bool
         out = out.withColumn(c + suffix, F.col("_m." + c))
     if keep_date:
         out = out.withColumn(keep_date, F.col("_m._rd"))
-    return out.drop("_d", "_m", *["_k_" + b for b in by])
+    return out.drop("_asof_d", "_m", *["_k_" + b for b in by])
 
 
 def asof_small(left: DataFrame, right: DataFrame, on: str, max_rows: int = 20_000) -> DataFrame:

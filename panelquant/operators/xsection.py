@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import bucket_of, fdiv
+from panelquant.functions.stage import stage
 
 
 def attach(df: DataFrame, by, **aggs) -> DataFrame:
     """Group aggregates joined back to the members (instead of a whole-group window)."""
     by = [by] if isinstance(by, str) else list(by)
+    df = stage(df, 5)
     g = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
     return df.join(g, by, "left")
 
@@ -41,6 +43,7 @@ def value_positions(df: DataFrame, by, col: str) -> DataFrame:
 def rank_avg(df: DataFrame, col: str, by, out: str, pct: bool = False) -> DataFrame:
     """Average-tie rank of the non-null values within the group; nulls stay null."""
     by = list(by)
+    df = stage(df, 1)
     vp = value_positions(df, by, col)
     rk = F.col("_s") + (F.col("_c") + 1) / 2
     vp = vp.select(*by, F.col("_v").alias(col), (rk / F.col("_n") if pct else rk).alias(out))
@@ -59,7 +62,9 @@ def rank_pct(df: DataFrame, cols, by=("date", "region"), key=("date", "DTID"), f
     """
     by, key, cols = list(by), list(key), list(cols)
     ids = list(dict.fromkeys([*key, *by]))
+    df = stage(df)
     lg = _long(df, ids, cols).filter("_x is not null")
+    # a long copy is cheap to derive from the staged rows, so it is not staged again
     r = rank_avg(lg, "_x", [*by, "_var"], "_r", pct=True)
     wide = r.groupBy(*ids).agg(*[F.max(F.when(F.col("_var") == c, F.col("_r"))).alias(c) for c in cols])
     out = df.drop(*cols).join(wide, ids, "left")
@@ -78,7 +83,7 @@ def group_quantiles(df: DataFrame, by, specs: dict, parts: bool = False) -> Data
     """
     by = list(by)
     cols = list(dict.fromkeys(c for c, _ in specs.values()))
-    lg = _long(df, by, cols).filter("_x is not null").withColumn("_b", bucket_of("_x"))
+    lg = _long(stage(df.select(*by, *[c for c in cols if c not in by])), by, cols).filter("_x is not null").withColumn("_b", bucket_of("_x"))
     g = [*by, "_var"]
     bt = lg.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     wb = W.partitionBy(*g).orderBy("_b")
@@ -111,12 +116,14 @@ def group_quantiles(df: DataFrame, by, specs: dict, parts: bool = False) -> Data
 
 
 def with_quantiles(df: DataFrame, by, specs: dict) -> DataFrame:
+    df = stage(df)
     return df.join(group_quantiles(df, by, specs), list(by), "left")
 
 
 def standardize(df: DataFrame, cols, by=("date", "region"), fill: float | None = 0.0) -> DataFrame:
     """(x - mean) / sample std within the group, null -> fill."""
     by = list(by)
+    df = stage(df, 5)
     g = df.groupBy(*by).agg(*[F.avg(c).alias("_m_" + c) for c in cols], *[F.stddev_samp(c).alias("_s_" + c) for c in cols])
     out = df.join(g, by, "left")
     sel = []
@@ -149,6 +156,7 @@ def winsor_standardize(df: DataFrame, cols, by=("date", "region"), q: float = 0.
     specs = {}
     for c in cols:
         specs["_lo_" + c], specs["_hi_" + c] = (c, q), (c, 1 - q)
+    df = stage(df)
     p = df.join(group_quantiles(df, by, specs, parts=True), by, "left")
     clipped = []
     for c in df.columns:
@@ -173,6 +181,7 @@ def median_scale(df: DataFrame, col: str, by=("date", "region"), div: float = 1.
 
 def fill_group_mean(df: DataFrame, cols, by=("date", "region")) -> DataFrame:
     by = list(by)
+    df = stage(df, 5)
     g = df.groupBy(*by).agg(*[F.avg(c).alias("_m_" + c) for c in cols])
     return df.join(g, by, "left").select(*[F.coalesce(F.col(c), F.col("_m_" + c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -185,6 +194,7 @@ def cumulative_share(df: DataFrame, col: str, by, tie: str, out: str) -> DataFra
     are split further by the leading characters of the tie key, which also keep the order.
     """
     by = list(by)
+    df = stage(df)
     d = df.withColumn("_b", F.struct(bucket_of(col).alias("b"), F.col(col).alias("v"), F.substring(tie, 1, 4).alias("t")))
     bt = d.groupBy(*by, "_b").agg(F.sum(col).alias("_bs"))
     # two offset levels: value buckets first, then (value, prefix) cells inside a bucket

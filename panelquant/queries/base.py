@@ -1,6 +1,7 @@
 """Registration of queries and the shared output form of a query and its SQL twin."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +26,8 @@ def sql_out(body: str, keys, nums, digits: int = 6, ctes=()) -> str:
     sel = [f"CAST({q(c)} AS VARCHAR) AS {q(c)}" for c in keys] + [
         f"CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CASE WHEN round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e-{k}, {k}) = 0 THEN 0.0::DOUBLE "
         f"ELSE round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e-{k}, {k}) END END AS {q(c)}" for c, k in nums.items()]
-    return f"{with_clause(ctes, body)} SELECT {', '.join(sel)} FROM _body"
+    text = f"{with_clause(ctes, body)} SELECT {', '.join(sel)} FROM _body"
+    return re.sub(r'(?<!")\bat\b(?!")', '"at"', text)  # the item name is a reserved word there
 
 
 def with_clause(ctes, body: str) -> str:

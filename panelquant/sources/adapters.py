@@ -74,7 +74,7 @@ ITEMS = {
     "mib": "case when sk % 3 = 0 then null else 0.02 * rev end", "oiadp": "0.2 * rev - 0.05 * rev * ((sk + yr) % 6)",
     "oibdp": "0.25 * rev", "ivaeq": "case when sk % 4 = 0 then null else 0.01 * q end",
     "dltis": "case when (sk + yr) % 3 = 0 then 0.0 else 0.1 * dlt end", "dltr": "0.05 * dlt", "dlcch": "0.02 * dlt",
-    "epspx": "(rev - 0.9 * cg - 0.2 * rev * ((sk + yr) % 4)) / 1000000", "epspi": "(rev - cg) / 1000000", "bkvlps": "(0.5 * q - 0.1 * sk) / 1000",
+    "epspx": "(rev - 0.9 * cg - 0.1 * rev * ((sk + yr) % 4)) / 1000000", "epspi": "(rev - cg) / 1000000", "bkvlps": "(0.5 * q - 0.1 * sk) / 1000",
     "pstk": "case when sk % 2 = 0 then null else 0.5 * q end", "pstkl": "case when sk % 3 = 0 then null else 0.45 * q end",
     "pstkrv": "case when (sk + yr) % 3 = 1 then null else 0.4 * q end",
     "seq": "case when sk % 7 = 0 then null else 500.0 + q * 40 end", "ceq": "case when sk % 11 = 0 then null else 450.0 + q * 38 end",
