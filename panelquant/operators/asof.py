@@ -198,7 +198,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str,
     by = [by] if isinstance(by, str) else list(by)
     vals = [c for c in right.columns if c not in by and c not in (start_col, end_col)]
     order = [order] if isinstance(order, str) else list(order)
-    day = lambda c: F.datediff(c, F.lit(dt.date(1, 1, 1)))
+    day = lambda c: F.datediff(c, F.lit("0001-01-01").cast("date"))
     far = F.lit(dt.date(9999, 12, 31))
     r = (right.withColumn("_no", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
          .withColumn("_a", day(F.col(start_col))).withColumn("_b", day(F.coalesce(F.col(end_col), far)) + 1)

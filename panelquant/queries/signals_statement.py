@@ -181,7 +181,7 @@ def _ols_sql(src, by, y, xs):
     q = f"(SELECT *, {sel} FROM {src})"
     for i, x in enumerate(xs):
         rest = [*xs[i + 1:], y]
-        sel = ", ".join(f"r{i}_{v} - r{i}_{x} * sum(r{i}_{v} * r{i}_{x}) OVER (PARTITION BY {by}) / sum(r{i}_{x} * r{i}_{x}) OVER (PARTITION BY {by}) AS r{i + 1}_{v}" for v in rest)
+        sel = ", ".join(f"r{i}_{v} - CASE WHEN sum(r{i}_{x} * r{i}_{x}) OVER (PARTITION BY {by}) > 1e-12 * sum(r0_{x} * r0_{x}) OVER (PARTITION BY {by}) THEN r{i}_{x} * sum(r{i}_{v} * r{i}_{x}) OVER (PARTITION BY {by}) / sum(r{i}_{x} * r{i}_{x}) OVER (PARTITION BY {by}) ELSE 0 END AS r{i + 1}_{v}" for v in rest)
         q = f"(SELECT *, {sel} FROM {q})"
     return f"(SELECT *, r{len(xs)}_{y} AS e FROM {q})"
 
@@ -192,10 +192,22 @@ signal("fu56_discretionary_accrual", "DiscretionaryAccrual", f'SELECT T, FTID, e
 _PX = lambda shift, lag, start, cols: f"""SELECT s.*, {', '.join(f'CASE WHEN p.date >= s.T + INTERVAL ({start}) MONTH THEN p.{v} END AS {v}, CASE WHEN q.od >= s.T + INTERVAL ({start}) MONTH AND q.od < s.T THEN q.{v} END AS {v}_lag' for v in cols)}
  FROM (SELECT *, least(CAST(FinYearEnd + INTERVAL {shift} MONTH AS DATE), T - 1) AS d1, CAST(FinYearEnd + INTERVAL {shift} MONTH AS DATE) AS d2 FROM {{}}) s ASOF LEFT JOIN ps p ON p.DTID = s.DTID AND s.d1 >= p.date
  ASOF LEFT JOIN (SELECT DTID, CAST(date + INTERVAL {lag} MONTH AS DATE) AS date, max(date) AS od, {', '.join(f'arg_max({v}, date) AS {v}' for v in cols)} FROM ps GROUP BY 1, 2) q ON q.DTID = s.DTID AND s.d2 >= q.date"""
-signal("fu57_earnings_features", "EarningsFeatures", f"""SELECT coalesce(a.T, b.T) AS T, coalesce(a.FTID, b.FTID) AS FTID, "EPer", "EPred", "ETime", "ECon" FROM
+_EF = _PX(3, 15, -161, ["RI"]).format("(SELECT * FROM s WHERE date >= T - INTERVAL 138 MONTH AND (T, DTID) IN (SELECT T, DTID FROM s WHERE date > T - INTERVAL 18 MONTH))")
+_EF2 = f"(SELECT T, FTID, ib / MC AS earn, RI / RI_lag - 1 AS ret, CASE WHEN RI / RI_lag - 1 < 0 THEN 1 ELSE 0 END AS neg, CASE WHEN RI / RI_lag - 1 < 0 THEN RI / RI_lag - 1 ELSE 0 END AS rneg FROM px WHERE ib / MC IS NOT NULL AND RI / RI_lag IS NOT NULL)"
+
+
+@query("fu57_earnings_features", ["T", "FTID"], ["EPer", "EPred", "ETime"], f"""SELECT coalesce(a.T, b.T) AS T, coalesce(a.FTID, b.FTID) AS FTID, "EPer", "EPred", "ETime" FROM
  (SELECT T, FTID, regr_slope(eps, l) AS "EPer", regr_syy(eps, l) - regr_slope(eps, l) * regr_sxy(eps, l) AS "EPred" FROM (SELECT T, FTID, epspx / ajex AS eps, lag(epspx / ajex) OVER (PARTITION BY T, FTID ORDER BY FinYearEnd) AS l FROM px) WHERE l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) a
- FULL JOIN (SELECT T, FTID, CAST(NULL AS DOUBLE) AS "ETime", CAST(NULL AS DOUBLE) AS "ECon" FROM px WHERE false) b ON a.T = b.T AND a.FTID = b.FTID""",
-       [f"px AS ({_PX(3, 15, -161, ['RI']).format('(SELECT * FROM s WHERE date >= T - INTERVAL 138 MONTH AND (T, DTID) IN (SELECT T, DTID FROM s WHERE date > T - INTERVAL 18 MONTH))')})"], min_obs={"EarningsFeatures": 5})
+ FULL JOIN (SELECT T, FTID, 1 - sum(e * e) / sum(r0_earn * r0_earn) AS "ETime" FROM {_ols_sql(_EF2, 'T, FTID', 'earn', ['neg', 'ret', 'rneg'])} GROUP BY 1, 2 HAVING count(*) >= 5) b ON a.T = b.T AND a.FTID = b.FTID""", ["ft", GC, SNAP, f"px AS ({_EF})"])
+def _(spark, d):
+    return ctx(spark, d, min_obs={"EarningsFeatures": 5}).cls("EarningsFeatures")
+
+
+@query("fu57_earnings_conservatism", ["T", "FTID"], ["ECon"])
+def _(spark, d):
+    return ctx(spark, d, min_obs={"EarningsFeatures": 5}).cls("EarningsFeatures")
+
+
 _IR = f"""(SELECT T, FTID, arg_max(r5, FinYearEnd) AS r5, arg_max(b5, FinYearEnd) AS b5, arg_max(rb, FinYearEnd) AS rb FROM (SELECT T, FTID, FinYearEnd, r12 + {L('r12')} + {L('r12', 2)} + {L('r12', 3)} + {L('r12', 4)} AS r5, ln({L('bm', 5)}) AS b5,
  be / {L('be', 5)} + {L('br')} + {L('br', 2)} + {L('br', 3)} + {L('br', 4)} + {L('br', 5)} AS rb FROM (SELECT *, ln(RI / RI_lag) AS r12, ln(RI / RI_lag) - ln(PRC / PRC_lag) AS br FROM px) WINDOW w AS (PARTITION BY T, FTID ORDER BY FinYearEnd))
  WHERE r5 IS NOT NULL AND b5 IS NOT NULL AND NOT isnan(b5) AND rb IS NOT NULL GROUP BY 1, 2)"""
