@@ -171,9 +171,9 @@ def _(spark, d):
 
 
 @query("p13_share_factor", K, ["AF"], """SELECT DTID, date, a / last_value(a) OVER (PARTITION BY DTID ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS AF FROM (
- SELECT DTID, date, product(1 / (1 + coalesce(f, 0))) OVER (PARTITION BY DTID ORDER BY date) AS a FROM (SELECT DTID, date, lag(CASE WHEN PRC > 4000 THEN 1.0 WHEN PRC < 1000 THEN -0.5 END) OVER (PARTITION BY DTID ORDER BY date) AS f FROM pn WHERE date >= DATE '2001-01-01'))""", ["pn"])
+ SELECT DTID, date, product(1 / (1 + coalesce(f, 0))) OVER (PARTITION BY DTID ORDER BY date) AS a FROM (SELECT DTID, date, lag(CASE WHEN PRC > 4000 THEN 0.02 WHEN PRC < 1000 THEN -0.02 END) OVER (PARTITION BY DTID ORDER BY date) AS f FROM pn WHERE date >= DATE '2001-01-01'))""", ["pn"])
 def _(spark, d):
-    p = panel_nation(spark, d).filter("date >= '2001-01-01'").withColumn("DISFACSHR", F.when(c("PRC") > 4000, 1.0).when(c("PRC") < 1000, -0.5))
+    p = panel_nation(spark, d).filter("date >= '2001-01-01'").withColumn("DISFACSHR", F.when(c("PRC") > 4000, 0.02).when(c("PRC") < 1000, -0.02))
     return C.share_factor(p)
 
 
@@ -309,7 +309,7 @@ def _(spark, d):
 
 
 @query("a12_us_statement_pipeline", ["FTID", "DTID", "date", "FinYearEnd", "FirstObs", "INDM3"], {"sale": 2, "CPI": 5}, f"""SELECT FTID, CASE WHEN FinYearEnd <= DATE '1998-12-31' THEN FTID ELSE CAST(CAST(FTID AS BIGINT) + 1000 AS VARCHAR) END AS DTID, date, FinYearEnd, min(date) OVER (PARTITION BY FTID) AS "FirstObs",
-  'I' || CAST(FTID AS BIGINT) % 7 AS INDM3, sale, CPI FROM ft f ASOF LEFT JOIN (SELECT date AS cd, CPI FROM {_CPI}) p ON f.date >= p.cd""", ["ft"])
+  'I' || CAST(FTID AS BIGINT) % 7 AS INDM3, sale, p.CPI AS CPI FROM ft f ASOF LEFT JOIN (SELECT date AS cd, CPI FROM {_CPI}) p ON f.date >= p.cd""", ["ft"])
 def _(spark, d):
     f = statements(spark, d, ["sale"], with_mc=False).select(c("FTID").cast("long").alias("gvkey"), c("FinYearEnd").alias("datadate"), "sale", F.lit("STD").alias("datafmt"), F.lit("INDL").alias("indfmt"), F.lit("C").alias("consol"))
     raw = f.unionByName(f.withColumn("datafmt", F.lit("SUMM")))
