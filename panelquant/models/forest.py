@@ -44,7 +44,7 @@ def quantile_boost(train: DataFrame, score: DataFrame, xs, y: str, tau: float, r
         e = F.col(y) - F.col("_f")
         t = _assemble(tr.withColumn("_e", e).withColumn("_s", F.when(e > 0, F.lit(tau)).otherwise(F.lit(tau - 1))), xs)
         m = DecisionTreeRegressor(featuresCol="_x", labelCol="_s", maxDepth=depth, minInstancesPerNode=min_leaf, seed=r, leafCol="_leaf").fit(t)
-        leaf = vector_to_array("_leaf")[0]
+        leaf = F.col("_leaf")
         tl = m.transform(t).withColumn("_l", leaf)
         q = X.group_quantiles(tl.select("_l", "_e"), ["_l"], {"_q": ("_e", tau)})
         rate = step if r < late_from else late_step

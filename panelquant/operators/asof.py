@@ -80,6 +80,18 @@ def prune(panel: DataFrame, grid: Grid, start: int, end: int, date: str = "date"
     return panel.filter((F.col(date) >= F.lit(lo)) & (F.col(date) < F.lit(hi)))
 
 
+def month_bucket(date="date", inclusive: bool = False) -> Column:
+    """0 for the last month before T, 1 for the month before that, ...: [T-j-1, T-j) months.
+
+    `inclusive` moves the boundary day into the younger bucket: (T-j-1, T-j].
+    """
+    k = month_no("T") - month_no(date)
+    d = F.col(date)
+    edge = F.add_months(F.col("T"), -k)
+    older = (d <= edge) if inclusive else (d < edge)
+    return F.when(older, k).otherwise(k - 1)
+
+
 def snapshot(panel: DataFrame, grid: Grid, start: int, end: int, cols=None, key="DTID", date="date") -> DataFrame:
     """Rows of the panel in [T+start, T+end) for every T.
 
@@ -167,9 +179,9 @@ def asof_small(left: DataFrame, right: DataFrame, on: str, max_rows: int = 20_00
     iv = (right.crossJoin(F.broadcast(top)).withColumn("_nx", F.lead(on).over(w))
           .withColumn("_hi", F.coalesce(F.date_sub("_nx", 1), F.greatest("_top", on)))
           .withColumn("_m", F.explode(F.sequence(month_no(on), month_no("_hi"))))
-          .select("_m", F.col(on).alias("_lo"), "_hi", *vals))
-    return (left.withColumn("_m", month_no(on)).join(F.broadcast(iv), "_m", "left")
-            .filter(F.col("_lo").isNull() | F.col(on).between(F.col("_lo"), F.col("_hi"))).drop("_m", "_lo", "_hi"))
+          .select(F.col("_m").alias("_im"), F.col(on).alias("_lo"), "_hi", *vals))
+    cond = (F.col("_m") == F.col("_im")) & F.col(on).between(F.col("_lo"), F.col("_hi"))
+    return left.withColumn("_m", month_no(on)).join(F.broadcast(iv), cond, "left").drop("_m", "_im", "_lo", "_hi")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str, end_col: str, tie=None) -> DataFrame:
@@ -188,7 +200,7 @@ _LEVELS = 23  # 2**23 days > 22,000 years
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str, end_col: str, order) -> DataFrame:
-    """Overlapping validity intervals: they are numbered per key, the lowest valid number wins.
+    """Overlapping validity intervals: of those valid on the date, the first in `order` wins.
 
     Interval x date pairs are never formed.  Each interval is cut into at most two aligned
     power-of-two day blocks per level; the winner is kept per (key, level, block) with a
@@ -200,7 +212,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str,
     order = [order] if isinstance(order, str) else list(order)
     day = lambda c: F.datediff(c, F.lit("0001-01-01").cast("date"))
     far = F.lit(dt.date(9999, 12, 31))
-    r = (right.withColumn("_no", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    r = (right.withColumn("_no", F.struct(*order))
          .withColumn("_a", day(F.col(start_col))).withColumn("_b", day(F.coalesce(F.col(end_col), far)) + 1)
          .filter("_a < _b"))
     cand = []
@@ -212,7 +224,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str,
             cand.append(F.when((a0 <= b0) & ((up < a1) | (up > b1)), F.struct(F.lit(lv).alias("lv"), x.cast("long").alias("blk"))))
     blocks = (r.withColumn("_p", F.explode(F.array_distinct(F.array_compact(F.array(*cand)))))
               .groupBy(*by, F.col("_p.lv").alias("_lv"), F.col("_p.blk").alias("_blk"))
-              .agg(F.min_by(F.struct("_no", *vals), "_no").alias("_v")))
+              .agg(F.min_by(F.struct("_no", *[F.col(v).alias("v_" + v) for v in vals]), "_no").alias("_v")))
     dates = left.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("_d")).distinct()
     look = dates.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).withColumn(
         "_blk", F.floor(day(F.col("_d")) / F.pow(F.lit(2.0), F.col("_lv"))))
@@ -220,7 +232,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str,
            .withColumnRenamed("_d", on))
     out = left.join(win, [*by, on], "left")
     for c in vals:
-        out = out.withColumn(c, F.col("_v." + c))
+        out = out.withColumn(c, F.col("_v.v_" + c))
     return out.drop("_v")
 
 
@@ -378,19 +390,28 @@ def month_table(panel: DataFrame, cols, key="DTID", date="date", upto: int | Non
 def asof_grid(panel: DataFrame, grid: Grid, n: int, cols, start: int, key="DTID", date="date") -> DataFrame:
     """(T, key, j, values): values as of T-j months for j = 0..n-1, from inside [T+start, T).
 
-    j = 0 is strict (before T), older points are inclusive.  The month table is computed once
-    and each month row is copied to the n grid dates that look at it; the copy happens inside
-    the key's partition, so it adds no shuffle.
+    j = 0 is strict (before T), older points are inclusive.  On a month-start grid the month table
+    is computed once and each month row is copied to the n grid dates that look at it; the copy
+    happens inside the key's partition, so it adds no shuffle.
     """
     spark = panel.sparkSession
     ds = grid.dates()
-    last_t = ds[-1].year * 12 + ds[-1].month - 1
-    mt = month_table(prune(panel, grid, start, 0, date), cols, key, date, upto=last_t, tail=-start)
-    g = grid.df(spark).withColumn("_tm", month_no("T"))
+    g = grid.df(spark).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    hint = F.broadcast if len(ds) * n <= BROADCAST_ROWS else (lambda x: x)
+    p = prune(panel, grid, start, 0, date)
+    in_window = lambda d: d >= F.add_months("T", start)
     if not grid.monthly:
-        raise ValueError("asof_grid needs a month-start grid")
-    g = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("mno", F.col("_tm") - F.col("j")).drop("_tm")
-    out = mt.join(F.broadcast(g), "mno")
+        # any grid: a row holds from its date to the day before the next one; the covered days meet
+        # the wanted days in an equi-join, inside the key's partition
+        w = W.partitionBy(key).orderBy(date)
+        last = F.least(F.add_months(date, -start), F.lit(ds[-1]))
+        rows = p.withColumn("_to", F.greatest(F.coalesce(F.date_sub(F.lead(date).over(w), 1), last), date))
+        rows = rows.select(key, F.col(date).alias("src"), *cols, F.explode(F.sequence(date, "_to")).alias("_day"))
+        g = g.withColumn("_day", F.when(F.col("j") == 0, F.date_sub("T", 1)).otherwise(F.add_months("T", -F.col("j"))))
+        return rows.join(hint(g), "_day").filter(in_window(F.col("src"))).select("T", key, "j", "src", *cols)
+    last_t = ds[-1].year * 12 + ds[-1].month - 1
+    mt = month_table(p, cols, key, date, upto=last_t, tail=-start)
+    out = mt.join(hint(g.withColumn("mno", month_no("T") - F.col("j"))), "mno")
     v = F.when(F.col("j") == 0, F.col("s")).otherwise(F.col("i"))
-    out = out.withColumn("_v", F.when(v["d"] >= F.add_months("T", start), v)).filter("_v is not null")
+    out = out.withColumn("_v", F.when(in_window(v["d"]), v)).filter("_v is not null")
     return out.select("T", key, "j", F.col("_v.d").alias("src"), *[F.col("_v." + c).alias(c) for c in cols])

@@ -169,14 +169,28 @@ def ewma_last(df: DataFrame, key, date: str, col: str, alpha: float, out: str) -
 
 
 def ewma_month_windows(panel: DataFrame, grid, cols: dict[str, str], alphas, months: int, key="DTID", date="date") -> DataFrame:
-    """(T, key, {name}_{i}): EWMA over the last `months` months at every month-start T.
+    """(T, key, {name}_{i}): EWMA over the last `months` months at every T.
 
     Per month a decayed sum, a count and the first value are enough: they merge exactly, so one
-    frame of `months` small structs replaces months x days fanned-out rows.  cols: name -> column.
+    frame of `months` small structs replaces months x days fanned-out rows.  Other grids weight the
+    fanned-out rows directly.  cols: name -> column.
     """
     from panelquant.functions.num import month_no, month_start
     from panelquant.operators.asof import prune
 
+    if not grid.monthly:
+        from panelquant.operators.asof import snapshot
+
+        s = snapshot(panel, grid, -months, 0, list(cols.values()), key, date)
+        out = None
+        for n, c in cols.items():
+            d = s.filter(F.col(c).isNotNull())
+            w = W.partitionBy(key, "T").orderBy(F.col(date).desc())
+            d = d.withColumn("_i", F.row_number().over(w) - 1).withColumn("_k", F.count(F.lit(1)).over(W.partitionBy(key, "T")))
+            wt = lambda a: F.when(F.col("_i") == F.col("_k") - 1, F.pow(F.lit(1 - a), F.col("_i"))).otherwise(a * F.pow(F.lit(1 - a), F.col("_i")))
+            e = d.groupBy("T", key).agg(*[F.sum(wt(a) * F.col(c)).alias(f"{n}_{i}") for i, a in enumerate(alphas[n])])
+            out = e if out is None else out.join(e, ["T", key], "outer")
+        return out
     ds = grid.dates()
     t0, t1 = (d.year * 12 + d.month - 1 for d in (ds[0], ds[-1]))
     p = prune(panel, grid, -months, 0, date).withColumn("mno", month_no(date))

@@ -142,7 +142,7 @@ VOLQ = f"""vp AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOU
  e0 AS (SELECT T, DTID, row_number() OVER (PARTITION BY T, DTID ORDER BY date) AS i, r - 0.1 AS e FROM pn JOIN g ON date >= T - INTERVAL 12 MONTH AND date < T WHERE r IS NOT NULL),
  s0 AS (SELECT T, DTID, count(*) AS n, avg(e * e) AS s2, arg_max(e, i) AS last FROM e0 GROUP BY 1, 2 HAVING count(*) >= 50),
  hh AS (SELECT x.T, x.DTID, pid, a, b, x.i, x.e, n, s2, last, power(b, x.i - 1) * s2 + coalesce(sum(power(b, x.i - 1 - y.i) * (s2 * (1 - a - b) + a * y.e * y.e)), 0) AS h FROM e0 x JOIN s0 USING (T, DTID) CROSS JOIN vp
-   LEFT JOIN e0 y ON y.T = x.T AND y.DTID = x.DTID AND y.i < x.i GROUP BY ALL),
+   LEFT JOIN e0 y ON y.T = x.T AND y.DTID = x.DTID AND y.i < x.i GROUP BY x.T, x.DTID, pid, a, b, x.i, x.e, n, s2, last),
  fit AS (SELECT T, DTID, a AS alpha, b AS beta, s2 * (1 - a - b) AS omega, sqrt(hl) AS vol, last, ll FROM (SELECT T, DTID, pid, a, b, any_value(s2) AS s2, any_value(last) AS last, arg_max(h, i) AS hl, sum(-0.5 * (ln(2 * pi()) + ln(h) + e * e / h)) AS ll FROM hh GROUP BY 1, 2, 3, 4, 5)
    QUALIFY row_number() OVER (PARTITION BY T, DTID ORDER BY ll DESC) = 1)"""
 VC = ["pn", grid_cte("2001-01-01", "2001-02-01"), VOLQ]

@@ -90,8 +90,9 @@ signal("mk26_residual_momentum", "ResidualMomentum", """SELECT T, DTID, product(
  JOIN (SELECT T, DTID, regr_slope(r, rm) AS b, avg(r) AS my, avg(rm) AS mx FROM m GROUP BY 1, 2 HAVING count(*) >= 36) USING (T, DTID)) WHERE i >= 24 AND i < 35 GROUP BY 1, 2""", [MKT(37, -37)], digits=0)
 DAY = lambda k: f"m AS (SELECT *, sum(r * MC) OVER (PARTITION BY T, date) / sum(MC) OVER (PARTITION BY T, date) AS rm FROM pn JOIN g ON date >= T - INTERVAL {k} MONTH AND date < T WHERE r IS NOT NULL AND MC IS NOT NULL)"
 signal("mk27_idiosyncratic_risk", "IdiosyncraticRisk", """SELECT T, DTID, sqrt(greatest(var_pop(r) - covar_pop(r, rm) * covar_pop(r, rm) / var_pop(rm), 0)) AS "IdioRisk" FROM m GROUP BY 1, 2 HAVING count(*) >= 15""", [DAY(1)])
-signal("mk28_beta_and_coskewness", "BetaAndCoskewness", """SELECT T, DTID, avg(e * d * d) / (sqrt(avg(e * e)) * avg(d * d)) AS "Coskew", any_value(b) AS "Beta" FROM (SELECT T, DTID, b, rm - mx AS d, r - my - b * (rm - mx) AS e FROM m
- JOIN (SELECT T, DTID, regr_slope(r, rm) AS b, avg(r) AS my, avg(rm) AS mx FROM m GROUP BY 1, 2 HAVING count(*) >= 36) USING (T, DTID)) GROUP BY 1, 2""", [MKT(61, -61)])
+SQL_BETA = """SELECT T, DTID, avg(e * d * d) / (sqrt(avg(e * e)) * avg(d * d)) AS "Coskew", any_value(b) AS "Beta" FROM (SELECT T, DTID, b, rm - mx AS d, r - my - b * (rm - mx) AS e FROM m
+ JOIN (SELECT T, DTID, regr_slope(r, rm) AS b, avg(r) AS my, avg(rm) AS mx FROM m GROUP BY 1, 2 HAVING count(*) >= 36) USING (T, DTID)) GROUP BY 1, 2"""
+signal("mk28_beta_and_coskewness", "BetaAndCoskewness", SQL_BETA, [MKT(61, -61)])
 signal("mk29_downside_beta", "DownsideBeta", """SELECT T, DTID, regr_slope(r, rm) AS "DownBeta" FROM m JOIN (SELECT T, avg(rm) AS k FROM (SELECT DISTINCT T, date, rm FROM m) GROUP BY 1) USING (T) WHERE rm < k GROUP BY 1, 2 HAVING count(*) >= 50""", [DAY(12)])
 signal("mk30_tail_risk", "TailRisk", f"""SELECT T, DTID, regr_slope(r, idx) AS "TailRisk" FROM (SELECT p.T, p.DTID, p.r, t.idx FROM (SELECT T, DTID, j, CASE WHEN lag(j) OVER w = j + 1 THEN RI / lag(RI) OVER w - 1 END AS r
   FROM (SELECT * FROM {points(121, -121, ['RI'], src="(SELECT * FROM pn WHERE r IS NOT NULL)")} WHERE src > T - INTERVAL 120 MONTH) WINDOW w AS (PARTITION BY T, DTID ORDER BY j DESC)) p
@@ -132,3 +133,28 @@ signal("vo02_ewma_range", "EWMARange", ewma(f"least(CASE WHEN {RNG} = 0 THEN r *
 signal("vo03_ewma_downside", "EWMAVolatilityD", ewma("CASE WHEN r > 0 THEN 0 ELSE r * r END", [(f"EWMAVolD{a}", a) for a in D6[:3]], "r IS NOT NULL"))
 for _k, _m in ((4, 3), (5, 6), (6, 12)):
     signal(f"vo0{_k}_volatility_{_m}m", f"Volatility{_m}M", win(-_m, 0, f'stddev_samp(r) AS "TV{_m}M"'))
+
+
+# ------------------------------------------------------------------ weekly grid
+GWK = Grid("2001-01-03", "2001-02-21", "7D")
+GWC = grid_cte("2001-01-03", "2001-02-21", "7 DAY")
+
+
+def weekly(name, cls, sql, ctes=(), panel="pn", digits=6, **kw):
+    outs = CLASSES[cls].outputs
+
+    def run(spark, d):
+        x = SignalContext({"dt": panel_nation(spark, d)}, GWK, **kw)
+        return x.cls(cls)
+
+    query(name, ["T", "DTID"], {o: digits for o in outs}, sql, [panel, GWC, *ctes], digits)(run)
+
+
+weekly("mk18_momentum_weekly", "Momentum", MOM)
+weekly("mk28_beta_and_coskewness_weekly", "BetaAndCoskewness", SQL_BETA, [MKT(61, -61)])
+weekly("mk30_tail_risk_weekly", "TailRisk", f"""SELECT T, DTID, regr_slope(r, idx) AS "TailRisk" FROM (SELECT p.T, p.DTID, p.r, t.idx FROM (SELECT T, DTID, j, CASE WHEN lag(j) OVER w = j + 1 THEN RI / lag(RI) OVER w - 1 END AS r
+  FROM (SELECT * FROM {points(121, -121, ['RI'], src="(SELECT * FROM pn WHERE r IS NOT NULL)")} WHERE src > T - INTERVAL 120 MONTH) WINDOW w AS (PARTITION BY T, DTID ORDER BY j DESC)) p
+ JOIN (SELECT T, b, avg(ln(r / q)) AS idx FROM (SELECT T, b, r, quantile_cont(r, 0.05) OVER (PARTITION BY T, b) AS q FROM (SELECT T, r, (SELECT min(k) FROM (SELECT unnest(generate_series(0, 121)) AS k) WHERE date >= CAST(T - to_months(CAST(k + 1 AS INTEGER)) AS DATE)) AS b
+   FROM pn JOIN g ON date >= T - INTERVAL 121 MONTH AND date < T WHERE r IS NOT NULL)) WHERE r < q GROUP BY 1, 2) t ON t.T = p.T AND t.b = p.j
+ WHERE p.r IS NOT NULL AND (p.T, p.DTID) IN (SELECT T, DTID FROM pn JOIN g ON date > T - INTERVAL 1 MONTH AND date < T WHERE r IS NOT NULL)) GROUP BY 1, 2 HAVING count(*) >= 36""", digits=5)
+weekly("vo01_ewma_volatility_weekly", "EWMAVolatility", ewma("least(r * r, 0.09)", [(f"EWMAVol{a}", a) for a in D6], "r IS NOT NULL"))

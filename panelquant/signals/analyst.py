@@ -121,10 +121,10 @@ def _av(x):
 @_cls("ChangeInRecommendation", ["ChR"], {"IBESdet": (-60, 0, ["TICKER", "ESTIMID", "ITEXT"])})
 def _chr(x):
     d = x.sources["IBESdet"]
-    order = [c("seq")] if "seq" in d.columns else [c("ITEXT")]
-    # one opinion per analyst, ticker and day, chosen before the fan-out
-    w0 = W.partitionBy("TICKER", "ESTIMID", "date").orderBy(*[o.desc() for o in order])
-    d = d.withColumn("_k", F.row_number().over(w0)).filter("_k = 1").select("TICKER", "ESTIMID", "DTID", "date", "ITEXT")
+    order = c("seq") if "seq" in d.columns else c("ITEXT")
+    # one opinion per analyst, ticker and day, chosen before the fan-out by a combinable maximum
+    d = d.groupBy("TICKER", "ESTIMID", "date").agg(F.max_by(F.struct("DTID", "ITEXT"), order).alias("_v"))
+    d = d.select("TICKER", "ESTIMID", "_v.DTID", "date", "_v.ITEXT")
     # the previous opinion does not depend on T except at the window start
     w = W.partitionBy("TICKER", "ESTIMID").orderBy("date")
     d = d.withColumn("pt", F.lag("ITEXT").over(w)).withColumn("pd", F.lag("date").over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import clean, fdiv, finite, fln, fpow, month_no, nz
 from panelquant.operators import xsection as X
-from panelquant.operators.asof import Agg, asof_grid, last_of, snapshot, win_agg
+from panelquant.operators.asof import BROADCAST_ROWS, Agg, asof_grid, last_of, month_bucket, snapshot, win_agg
 from panelquant.operators.series import group_ols, product_agg, residuals, safe_corr
 from panelquant.signals.base import SignalClass, SignalContext, WindowSpec, double_quantile, register
 
@@ -168,14 +168,17 @@ def _season(x):
     return m.groupBy("T", "DTID").agg(*[F.avg(F.when(c("p").isin(sorted(s)), c("r"))).alias(k) for k, s in SEASON.items()])
 
 
-def _with_market(m: DataFrame, by=("T", "j")) -> DataFrame:
+def _with_market(x: SignalContext, m: DataFrame, by, per_t: int) -> DataFrame:
+    """Join the value-weighted market return.  The factor has at most per_t rows per grid date, so it
+    is broadcast under a checked bound and the fanned-out rows keep their partitioning by id."""
     m = m.filter("r is not null and MC is not null")
-    return m.join(X.mkt_factor(m, list(by)), list(by))
+    f = X.mkt_factor(m, list(by))
+    return m.join(F.broadcast(f) if len(x.grid.dates()) * per_t <= BROADCAST_ROWS else f, list(by))
 
 
 @_cls("ResidualMomentum", ["ResidMom"], {"dt": (-37, 0, ["RI", "MC"])}, n=36)
 def _resid_mom(x):
-    m = _with_market(_month_returns(x, 37, -37, ["RI", "MC"]))
+    m = _with_market(x, _month_returns(x, 37, -37, ["RI", "MC"]), ("T", "j"), 37)
     k = ["T", "DTID"]
     co = group_ols(m, k, "r", ["rm"]).filter(c("n") >= x.gate("ResidualMomentum"))
     e = residuals(m, co, k, "r", ["rm"])
@@ -188,13 +191,13 @@ def _resid_mom(x):
 def _idio(x):
     # a trading day belongs to one month, so the market series needs no T on a monthly grid
     s = snapshot(x.dt.filter("r is not null and MC is not null"), x.grid, -1, 0, ["r", "MC"])
-    co = group_ols(_with_market(s, ("T", "date")), ["T", "DTID"], "r", ["rm"]).filter(c("n") >= x.gate("IdiosyncraticRisk"))
+    co = group_ols(_with_market(x, s, ("T", "date"), 31), ["T", "DTID"], "r", ["rm"]).filter(c("n") >= x.gate("IdiosyncraticRisk"))
     return co.select("T", "DTID", F.sqrt(c("ssr") / c("n")).alias("IdioRisk"))
 
 
 @_cls("BetaAndCoskewness", ["Coskew", "Beta"], {"dt": (-61, 0, ["RI", "MC"])}, n=36)
 def _beta_coskew(x):
-    m = _with_market(_month_returns(x, 61, -61, ["RI", "MC"]))
+    m = _with_market(x, _month_returns(x, 61, -61, ["RI", "MC"]), ("T", "j"), 61)
     k = ["T", "DTID"]
     co = group_ols(m, k, "r", ["rm"]).filter(c("n") >= x.gate("BetaAndCoskewness"))
     mean = m.groupBy(*k).agg(F.avg("rm").alias("mrm"))
@@ -216,9 +219,14 @@ def _down_beta(x):
 @_cls("TailRisk", ["TailRisk"], {"dt": (-121, 0, ["r", "RI"])}, n=36)
 def _tail(x):
     p = x.dt.filter("r is not null and RI is not null").select("DTID", "date", "r", "RI").withColumn("mno", month_no("date"))
-    # on month starts the pooled month of a grid date is a calendar month: one tail index per month
-    q = X.with_quantiles(p, ["mno"], {"q": ("r", 0.05)}).filter("r < q")
-    idx = q.groupBy("mno").agg(F.avg(fln(fdiv("r", "q"))).alias("idx"))
+    gk = ["mno"]
+    if not x.grid.monthly:  # months counted back from T
+        p0 = snapshot(p.drop("mno"), x.grid, -121, 0, ["r"]).withColumn("mno", month_no("T") - month_bucket() - 1)
+        gk = ["T", "mno"]
+    else:  # on month starts those are calendar months: one tail index per month serves every T
+        p0 = p
+    q = X.with_quantiles(p0, gk, {"q": ("r", 0.05)}).filter("r < q")
+    idx = q.groupBy(*gk).agg(F.avg(fln(fdiv("r", "q"))).alias("idx"))
     win = p.select("DTID", "date", "RI")
     recent = snapshot(win, x.grid, -1, 0, []).filter(c("date") > F.add_months("T", -1)).select("T", "DTID").distinct()
     g = asof_grid(win, x.grid, 121, ["RI"], -121)
@@ -226,7 +234,7 @@ def _tail(x):
     w = W.partitionBy("DTID", "T").orderBy(c("j").desc())
     m = g.withColumn("r", fdiv("RI", F.when(F.lag("j").over(w) == c("j") + 1, F.lag("RI").over(w))) - 1)
     m = m.join(recent, ["T", "DTID"], "left_semi").withColumn("mno", month_no("T") - c("j") - 1)
-    m = m.join(F.broadcast(idx), "mno")
+    m = m.join(F.broadcast(idx), gk)  # months, or grid dates x 121 months
     co = group_ols(m, ["T", "DTID"], "r", ["idx"]).filter(c("n") >= x.gate("TailRisk"))
     return co.select("T", "DTID", c("b1").alias("TailRisk"))
 
@@ -236,7 +244,7 @@ def _bab(x):
     p = x.dt.select("DTID", "date", "r", "MC")
     s = snapshot(p, x.grid, -60, 0, ["r", "MC"])
     recent = snapshot(p, x.grid, -1, 0, []).filter(c("date") > F.add_months("T", -1)).select("T", "DTID").distinct()
-    s = _with_market(s.join(recent, ["T", "DTID"], "left_semi"), ("T", "date"))
+    s = _with_market(x, s.join(recent, ["T", "DTID"], "left_semi"), ("T", "date"), 1830)
     w = W.partitionBy("DTID", "T").orderBy("date")
     three = lambda v: c(v) + F.lag(v, 1).over(w) + F.lag(v, 2).over(w)
     y = c("date") > F.add_months("T", -12)
@@ -273,9 +281,13 @@ def _liq_risk(x):
         raw = fdiv(8 * fpow("sd" + t, 2 / 3), fpow("v" + t, 1 / 3))
         return F.when(c("n" + t) >= x.gate("LiquidityRisk", "day"), F.when(raw == INF, 0.05).otherwise(raw))
 
-    liq = liq.select("DTID", "sm", "n0", level("").alias("l"), level("0").alias("lnew"))
-    m = m.withColumn("sm", month_no("T") - c("j") - 1).join(liq, ["DTID", "sm"]).filter("j > 0 or n0 > 0")
-    m = m.withColumn("liq", F.when(c("j") == 0, c("lnew")).otherwise(c("l"))).drop("l", "lnew", "n0")
+    if x.grid.monthly:
+        liq = liq.select("DTID", "sm", "n0", level("").alias("l"), level("0").alias("lnew"))
+        m = m.withColumn("sm", month_no("T") - c("j") - 1).join(liq, ["DTID", "sm"]).filter("j > 0 or n0 > 0")
+        m = m.withColumn("liq", F.when(c("j") == 0, c("lnew")).otherwise(c("l"))).drop("l", "lnew", "n0")
+    else:
+        s = snapshot(p, x.grid, -121, 0, ["r", "v"]).withColumn("j", month_bucket(inclusive=True))
+        m = m.join(s.groupBy(*k, "j").agg(*agg(F.lit(True), "")).select(*k, "j", level("").alias("liq")), [*k, "j"])
     # value-weighted market return and liquidity per (T, month); weights of missing liquidity stay in
     mk = m.groupBy("T", "j").agg(fdiv(F.sum(c("r") * c("MC")), F.sum("MC")).alias("rm"), fdiv(nz(F.sum(c("liq") * c("MC"))), F.sum("MC")).alias("ml"))
     wt = W.partitionBy("T").orderBy(c("j").desc())
