@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import clean, flag
+from panelquant.functions.stage import stage
 from panelquant.operators.asof import Agg, Grid, base_index, last_of, snapshot, win_agg
 from panelquant.operators.xsection import group_quantiles
 
@@ -218,23 +219,31 @@ def compute_signals(sources: dict[str, DataFrame], grid: Grid, names=None, min_o
     their own logic add joins.  `extra` maps names to functions (context) -> (T, DTID|FTID, name).
     """
     want, need = resolve(names)
-    ctx = SignalContext(sources, grid, min_obs or {})
+    wide = len(need) > 8  # shared inputs are written once instead of being planned into every class
+    hold = stage if wide else (lambda df: df)
+    ctx = SignalContext({k: hold(v) for k, v in sources.items()}, grid, min_obs or {})
+    sources = ctx.sources
     ctx.mc_start = input_manifest(names).get("dt", {"start": -1})["start"]
     out = base_index(sources["dt"], sources.get("FT"), grid)
     if "FTID" not in out.columns:
         out = out.withColumn("FTID", F.lit(None).cast("string"))
+    if wide and sum("FT" in CLASSES[n].inputs for n in need) > 1:
+        ctx._cache["_ft"] = stage(ctx.statements())
     win = [n for n in need if CLASSES[n].window]
     stm = [n for n in need if CLASSES[n].project]
     if win:
-        w = window_signals(ctx, win, presence=True)
+        w = hold(window_signals(ctx, win, presence=True))
         for n in win:
             ctx._cache[n] = w.filter(F.col(f"has__{n}") > 0).select("T", "DTID", *CLASSES[n].outputs)
         out = out.join(w.select("T", "DTID", *[o for n in win for o in want.get(n, [])]), ["T", "DTID"], "left")
     if stm:
-        s = statement_signals(ctx, stm, presence=True)
+        s = hold(statement_signals(ctx, stm, presence=True))
         for n in stm:
             ctx._cache[n] = s.filter(F.col(f"has__{n}") > 0).select("T", "FTID", *CLASSES[n].outputs)
         out = out.join(s.select("T", "FTID", *[o for n in stm for o in want.get(n, [])]), ["T", "FTID"], "left")
+    for n in need:  # dependencies come late in `need`, but each is built once through the cache
+        if n not in win and n not in stm:
+            ctx._cache[n] = hold(ctx.cls(n))
     for n in want:
         if n not in win and n not in stm:
             c = CLASSES[n]
