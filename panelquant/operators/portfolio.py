@@ -71,11 +71,11 @@ def weights(sig: DataFrame, ret: DataFrame, weight: str = "EW", ports=("Var",))
     sig, ret = stage(sig), stage(ret.select("DTID", "date", "region", "MC", "r"))
     cal = rebalancing_map(sig, ret)  # one row per calendar date
     s = sig.select(F.col("date").alias("pred_date"), "DTID", *ports).join(F.broadcast(cal), "pred_date")
-    d = s.join(ret.select("date", "DTID", "r"), ["date", "DTID"], "left").withColumn("r", nz("r"))
-    rp = ret.join(F.broadcast(cal), "date")
-    first = lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), F.col("date"))).alias(v)
-    d = d.join(rp.groupBy("DTID", "pred_date").agg(first("region"), first("MC")), ["DTID", "pred_date"])
-    wk = W.partitionBy("DTID", "pred_date", *ports).orderBy("date")
+    d = s.join(ret.withColumn("_in", F.lit(1)), ["date", "DTID"], "left").withColumn("r", nz("r"))
+    wk = W.partitionBy("DTID", "pred_date", *ports).orderBy("date")  # the dates of one period
+    period = wk.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    d = d.withColumns({"region": F.first("region", ignorenulls=True).over(period), "MC": F.first("MC", ignorenulls=True).over(period), "_in": F.max("_in").over(period)})
+    d = d.filter("_in = 1").drop("_in")
     d = d.withColumn("_f", F.row_number().over(wk) == 1)
     d = d.withColumn("_g", nz(running_product(1 + F.col("r"), wk.rowsBetween(W.unboundedPreceding, -1)), 1.0))
     w0 = F.lit(1.0) if weight == "EW" else F.col("MC")
