@@ -15,8 +15,25 @@ SNAP = """s AS (SELECT * EXCLUDE (MC, k, MClast), CASE WHEN date > T - INTERVAL
  ON m.T = g.T AND m.DTID = f.DTID) WHERE k = 1)"""
 
 
+class Sources(dict):
+    """Source tables built on first use, so a class pays only for what it reads."""
+
+    BUILD = {"dt": panel_supplier, "FT": statements, "IBESsum": analyst_sum, "IBESdet": analyst_det}
+
+    def __init__(self, spark, d):
+        super().__init__()
+        self.args = (spark, d)
+
+    def __missing__(self, key):
+        self[key] = self.BUILD[key](*self.args)
+        return self[key]
+
+    def get(self, key, default=None):
+        return self[key] if key in self.BUILD else default
+
+
 def ctx(spark, d, **kw):
-    return SignalContext({"dt": panel_supplier(spark, d), "FT": statements(spark, d), "IBESsum": analyst_sum(spark, d), "IBESdet": analyst_det(spark, d)}, GS, **kw)
+    return SignalContext(Sources(spark, d), GS, **kw)
 
 
 def signal(name, cls, sql, ctes=(), key="FTID", digits=6, **kw):
