@@ -6,8 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelquant.functions.num import fdiv
-
 
 def running_product(x: Column, w) -> Column:
     """Product over a window frame for any sign: logs of magnitudes, parity of negatives, zeros."""

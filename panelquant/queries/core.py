@@ -1,7 +1,7 @@
 """Joins, as-of engine, cross-sections, windows, aggregations."""
 from pyspark.sql import Window as W, functions as F
 
-from panelquant.functions.num import bucket_of, fdiv, fln, fpow, month_no, month_start, null_if, nz
+from panelquant.functions.num import fdiv, fln, fpow, month_no, month_start, null_if, nz
 from panelquant.operators import asof as A, series as S, xsection as X
 from panelquant.operators.asof import Agg, Grid
 from panelquant.queries.base import grid_cte, query

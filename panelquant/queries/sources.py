@@ -186,12 +186,13 @@ def _(spark, d):
 # ------------------------------------------------------------------ sort, set and reshape
 @query("o01_multi_key_sort", [*K, "k"], [], "SELECT DTID, date, row_number() OVER (ORDER BY date, DTID) AS k FROM (SELECT DISTINCT date_trunc('month', date)::DATE AS date, DTID FROM pn)", ["pn"])
 def _(spark, d):
-    # positions of a global sort without a single-task window: per-month offsets plus a rank inside the month
-    p = panel_nation(spark, d).select("DTID", month_start(month_no("date")).alias("date")).distinct()
-    n = p.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    off = n.withColumn("off", F.sum("n").over(W.orderBy("date")) - c("n"))  # one row per month
-    w = W.partitionBy("date").orderBy("DTID")
-    return p.join(off, "date").withColumn("k", c("off") + F.row_number().over(w)).orderBy("date", "DTID")
+    # positions of a global sort without ordering a whole month in one task: offsets of (month, id
+    # prefix) cells, then a rank inside the cell
+    p = panel_nation(spark, d).select("DTID", month_start(month_no("date")).alias("date")).distinct().withColumn("pre", F.substring("DTID", 1, 2))
+    n = p.groupBy("date", "pre").agg(F.count(F.lit(1)).alias("n"))
+    off = n.withColumn("off", F.sum("n").over(W.orderBy("date", "pre")) - c("n")).drop("n")  # months x prefixes rows
+    w = W.partitionBy("date", "pre").orderBy("DTID")
+    return p.join(off, ["date", "pre"]).withColumn("k", c("off") + F.row_number().over(w)).orderBy("date", "DTID")
 
 
 @query("o03_one_record_per_fiscal_year", ["T", "FTID", "FinYearEnd"], [], "SELECT T, FTID, FinYearEnd FROM (SELECT T, FTID, FinYearEnd, row_number() OVER (PARTITION BY T, FTID, ceil(datediff('day', FinYearEnd, T) / 365.0) ORDER BY date DESC) AS k FROM ft JOIN g ON date >= T - INTERVAL 60 MONTH AND date < T) WHERE k = 1",
