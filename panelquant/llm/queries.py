@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import mixing, sharding, url_filters
+from panelquant.llm import decontaminate, language_id, mixing, sharding, transport, url_filters
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,35 @@ def op10(spark, d):
     """Verdict of every page under the rules, links taken from the pages' own canonical and refresh tags."""
     pages = table(spark, d, "pages")
     return url_filters.judge_urls(pages, RULES, url_filters.links_from_html(pages))
+
+
+@query("op2_transport_stream")
+def op2(spark, d):
+    """Every text as a stored transport stream, read back and digested."""
+    return transport.stored_digest(table(spark, d, "documents"))
+
+
+@query("op3_ppm_language_id")
+def op3(spark, d):
+    """Language of every document, from trees trained on the training fold."""
+    docs = table(spark, d, "documents")
+    learn = language_id.in_training(F.col("doc_id"))
+    model = language_id.train(docs.where(learn))
+    return language_id.predict(docs, model).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+_FOLDED = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op8_decontamination", f"""WITH dw AS (SELECT doc_id, coalesce({_FOLDED}, []) AS w FROM documents), bw AS (SELECT item_id::VARCHAR AS item_id, {_FOLDED} AS w FROM benchmark WHERE text IS NOT NULL),
+    win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+    dwin AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+    hit AS (SELECT doc_id, i, dwin.k, item_id FROM dwin JOIN win USING (k, g)),
+    hw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+    it AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op8(spark, d):
+    """Hit words and items of every document."""
+    s = decontaminate.scan(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
+    return s.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
