@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import decontaminate, language_id, mixing, sharding, transport, url_filters
+from panelquant.llm import decontaminate, language_id, mixing, sharding, transport, url_filters, warc, wavelet
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,27 @@ def op8(spark, d):
     """Hit words and items of every document."""
     s = decontaminate.scan(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
     return s.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_B32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INT, 1) FOR i IN range(32)], '')"
+
+
+@query("op7_warc", f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(coalesce(html, '')::BLOB) AS n FROM pages), f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY 1, 2)
+    SELECT page_id, n::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p JOIN f USING (h, n)""")
+def op7(spark, d):
+    """Pages written as archives and read back by byte ranges."""
+    r = warc.read(warc.write(table(spark, d, "pages"), least=0), payloads=False)
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_wavelet_tokens")
+def op9(spark, d):
+    """Token shards of all documents, read back."""
+    return wavelet.read(wavelet.write(table(spark, d, "documents"), tokenizer_path(), end_id=2))
