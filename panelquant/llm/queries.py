@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import decontaminate, language_id, mixing, sharding, transport, url_filters, warc, wavelet
+from panelquant.llm import decontaminate, language_id, mixing, sharding, suffix_dedup, transport, url_filters, warc, wavelet
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op9(spark, d):
     """Token shards of all documents, read back."""
     return wavelet.read(wavelet.write(table(spark, d, "documents"), tokenizer_path(), end_id=2))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, d):
+    """Bytes of every document that repeat 50-byte strings of earlier documents, and what is left."""
+    return suffix_dedup.dedup_passages(table(spark, d, "documents"))
