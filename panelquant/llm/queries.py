@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import decontaminate, language_id, mixing, sharding, suffix_dedup, transport, url_filters, warc, wavelet
+from panelquant.llm import decontaminate, language_id, mixing, ngram_join, sharding, suffix_dedup, transport, url_filters, warc, wavelet
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,18 @@ def op9(spark, d):
 def op5(spark, d):
     """Bytes of every document that repeat 50-byte strings of earlier documents, and what is left."""
     return suffix_dedup.dedup_passages(table(spark, d, "documents"))
+
+
+_GRAMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@query("op6_ngram_jaccard_join", f"""WITH RECURSIVE w AS (SELECT doc_id, {_GRAMS} AS w FROM documents),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') || CASE WHEN len(w) < 5 THEN ' ' || len(w)::VARCHAR || chr(0) ELSE '' END AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = w.doc_id""")
+def op6(spark, d):
+    """Near-copy component of every document."""
+    return ngram_join.near_duplicates(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
