@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelquant.llm.common import SPACE, only, written
 
 MARGINS = ("source", "lang", "topic")
+SMALL_CELLS = 200_000  # cells that may be sent to all tasks
 
 
 def token_count(text: Column) -> Column:
@@ -68,22 +69,45 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, language_targets: dict[str, float] | None = None, source_power: float = 0.5, topic_power: float = 0.75, budget: float = 0.5, sweeps: int = 10,
-        doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def cell_of(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[dict[str, Column], Column]:
+    """The margins' values of a row and its number of tokens, as expressions."""
+    blank = lambda c: F.coalesce(docs[f"`{c}`"], F.lit(""))
+    n = token_count(docs[f"`{text}`"])
+    return {"source": blank(source), "lang": blank(lang), "topic": F.coalesce(topic_of(docs[f"`{text}`"], n), F.lit("prose"))}, n
+
+
+def fit_cells(cells: DataFrame, language_targets: dict[str, float] | None, source_power: float = 0.5, topic_power: float = 0.75, budget: float = 0.5, sweeps: int = 10) -> DataFrame:
+    """Cells (margins, n) with their probability p.  language_targets: shares of languages; without it they are flattened like sources."""
+    by_lang = flattened(cells, "lang", source_power)
+    if language_targets:
+        by_lang = cells.sparkSession.createDataFrame(list(language_targets.items()), "lang string, target double")
+    targets = {"source": flattened(cells, "source", source_power), "lang": by_lang, "topic": flattened(cells, "topic", topic_power)}
+    return written(calibrate(rake(cells, targets, sweeps), budget).select(*MARGINS, "n", "w", "p"), "fitted")
+
+
+def with_probability(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """rows joined to their cell's p; the cells are sent to all tasks if few, else both sides are dealt by cell."""
+    p = fitted.select(*MARGINS, "p")
+    return rows.join(F.broadcast(p) if fitted.count() <= SMALL_CELLS else p, list(MARGINS))
+
+
+def mix(docs: DataFrame, language_targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, p, u, sampled for every document, repeated rows included.
 
-    Nulls in source or lang form a value of their own (empty string).  A document without words has no tokens and is never sampled unless
-    the budget is the whole corpus.  Rows with the same doc_id (null too) share their draw.  An empty table gives an empty result.
-    language_targets: shares of languages; those not named are flattened like sources.
+    Nulls in source or lang form a value of their own (empty string).  A document without words has no tokens; a cell without tokens is
+    sampled only if the budget is the whole corpus.  Rows with the same doc_id (null too) share their draw.  An empty table gives an empty
+    result.
     """
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    d = only(docs, doc_id=doc_id, text=text, lang=lang, source=source).withColumn("n_tokens", token_count(F.col("text")))
-    d = written(d.select("doc_id", blank("source").alias("source"), blank("lang").alias("lang"), F.coalesce(topic_of(F.col("text"), F.col("n_tokens")), F.lit("prose")).alias("topic"), "n_tokens"), "mix")
+    key, n = cell_of(docs, text, lang, source)
+    d = written(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), *[key[m].alias(m) for m in MARGINS], n.alias("n_tokens")), "mix")
     cells = written(d.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "cells")
-    by_lang = flattened(cells, "lang", source_power)
-    if language_targets:
-        by_lang = d.sparkSession.createDataFrame(list(language_targets.items()), "lang string, target double")
-    fitted = calibrate(rake(cells, {"source": flattened(cells, "source", source_power), "lang": by_lang, "topic": flattened(cells, "topic", topic_power)}, sweeps), budget)
     u = draw(F.col("doc_id"))
-    out = d.join(F.broadcast(fitted.select(*MARGINS, "p")) if fitted.count() <= 200_000 else fitted.select(*MARGINS, "p"), list(MARGINS))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "p", u.alias("u"), (u < F.col("p")).alias("sampled"))
+    return with_probability(d, fit_cells(cells, language_targets, **options)).select("doc_id", *MARGINS, "n_tokens", "p", u.alias("u"), (u < F.col("p")).alias("sampled"))
+
+
+def sample(docs: DataFrame, language_targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows of docs that `mix` samples, all columns as they are.  A row's cell is computed from the row, so nothing is joined by id."""
+    key, n = cell_of(docs, text, lang, source)
+    cells = written(docs.select(*[key[m].alias(m) for m in MARGINS], n.alias("n")).groupBy(*MARGINS).agg(F.sum("n").alias("n")), "cells")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), draw(docs[f"`{doc_id}`"]).alias("u"), *[key[m].alias(m) for m in MARGINS])
+    return with_probability(rows, fit_cells(cells, language_targets, **options)).where(F.col("u") < F.col("p")).select("row.*")
