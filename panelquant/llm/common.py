@@ -33,6 +33,14 @@ def only(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(n) for n, c in cols.items()])
 
 
+def typed(df: DataFrame, column: str):
+    """SQL name and Arrow type of a column; batches name the type, as a batch may hold nulls only."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

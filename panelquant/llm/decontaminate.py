@@ -7,11 +7,12 @@ beyond `AUTOMATON_BYTES` are split by item into several automata that scan in tu
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelquant.llm.common import only, slices
+from panelquant.llm.common import only, slices, typed
 
 #: Text bytes of a benchmark per automaton: about 300,000 windows, 3 million nodes.
 AUTOMATON_BYTES = 2 << 20
@@ -75,12 +76,12 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict]:
 _cache: dict = {}
 
 
-def _matcher(shared, window: int) -> Matcher:
-    key = (shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared), window)
-    if key not in _cache:
+def _matcher(shared, name: str, window: int) -> Matcher:
+    """The automaton of a broadcast part, built once per worker; name tells parts apart."""
+    if name not in _cache:
         _cache.clear()
-        _cache[key] = Matcher(shared.value, window)
-    return _cache[key]
+        _cache[name] = Matcher(shared.value, window)
+    return _cache[name]
 
 
 def chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str]]]:
@@ -98,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str =
     repeated results; items with a null id share the empty id.  Empty tables give no rows, an empty benchmark no hits.
     """
     d = only(docs, doc_id=doc_id, text=text)
-    kind = d.schema["doc_id"].dataType.simpleString()
+    kind, arrow = typed(d, "doc_id")
     fields = f"doc_id {kind}, text string, runs array<bigint>, items array<string>"
     d = d.select("doc_id", "text", F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items"))
     import pyarrow as pa
@@ -107,15 +108,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str =
     for part in parts:
         shared = d.sparkSession.sparkContext.broadcast(part)
 
-        def step(batches, shared=shared):
-            m = _matcher(shared, window)
+        def step(batches, shared=shared, name=uuid.uuid4().hex):
+            m = _matcher(shared, name, window)
             for ids, texts, runs, items in slices(batches, ["doc_id", "text", "runs", "items"]):
                 new_runs, new_items = [], []
                 for t, r, i in zip(texts, runs, items):
                     found, own = m.scan(words_of(t))
                     new_runs.append([x for p in (merge([*zip(r[::2], r[1::2]), *found]) if r else found) for x in p])
                     new_items.append(sorted(own | set(i)) if i else sorted(own))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string()), pa.array(new_runs, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string()))],
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(texts, pa.string()), pa.array(new_runs, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string()))],
                                                  names=["doc_id", "text", "runs", "items"])
 
         d = d.mapInArrow(step, fields)
@@ -124,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str =
         for ids, texts, runs, items in slices(batches, ["doc_id", "text", "runs", "items"]):
             pairs = [list(zip(r[::2], r[1::2])) for r in runs]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids), pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in p) for p in pairs], pa.int64()), pa.array(items, pa.list_(pa.string())),
+                pa.array(ids, arrow), pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in p) for p in pairs], pa.int64()), pa.array(items, pa.list_(pa.string())),
                 pa.array([spans_of(t, p) if p else [] for t, p in zip(texts, pairs)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return d.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
@@ -137,8 +138,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "
     for part in chunks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def step(batches, shared=shared):
-            m = _matcher(shared, window)
+        def step(batches, shared=shared, name=uuid.uuid4().hex):
+            m = _matcher(shared, name, window)
             for b in batches:
                 yield b.filter(pa.array([not m.scan(words_of(t.as_py()))[0] for t in b.column(text)], pa.bool_()))
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelquant.llm.common import only, slices
+from panelquant.llm.common import only, slices, typed
 from panelquant.llm.mixing import draw
 
 ORDER = 3
@@ -99,7 +99,7 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     starts = np.cumsum([0, *map(len, kept)])
     for g in range(count):
         mine = lang == g
-        level, bits_before, seen_before = [], None, None
+        level, bits_before = [], None
         for k in range(ORDER + 1):
             c, ids = contexts[k][mine], kept[k]
             at = np.minimum(np.searchsorted(ids, c), len(ids) - 1) if len(ids) else c
@@ -112,16 +112,16 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
             else:
                 shorter = np.ones((1, a))  # uniform below order 0
             # cost of a symbol below this context once it has escaped: the shorter context without the symbols seen here
-            lower = escaped(shorter, m > 0, bits_before[up] if k else None, seen_before[up] if k else None)
+            lower = escaped(shorter, m > 0, bits_before[up] if k else None)
             q, total = (m > 0).sum(1, keepdims=True), m.sum(1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 bits = np.where(m > 0, np.log2((total + q) / m), np.where(q > 0, np.log2((total + q) / np.maximum(q, 1)), 0) + lower)
             rows[starts[k]:starts[k + 1], :, g] = bits
-            bits_before, seen_before = lower, m > 0
+            bits_before = lower
     return Model(languages, symbol, 256 - len(own), kept[3], rows, (kept[1], kept[2]))
 
 
-def escaped(shorter: np.ndarray, excluded: np.ndarray, lower: np.ndarray | None, seen: np.ndarray | None) -> np.ndarray:
+def escaped(shorter: np.ndarray, excluded: np.ndarray, lower: np.ndarray | None) -> np.ndarray:
     """Bits of each symbol in the shorter context with symbols excluded; lower are the bits after a further escape from it."""
     left = np.where(excluded, 0, shorter)
     total, q = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
@@ -197,6 +197,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     """
     d = only(docs, doc_id=doc_id, text=text)
     shared = d.sparkSession.sparkContext.broadcast(model)
+    kind, arrow = typed(d, "doc_id")
 
     def run(batches):
         import pyarrow as pa
@@ -204,9 +205,9 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         m, tables = _loaded(shared)
         for ids, texts in slices(batches, ["doc_id", "text"], 1 << 20):
             lang, score, rate = decide(m, tables, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return d.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:

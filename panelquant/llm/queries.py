@@ -141,7 +141,7 @@ def op8(spark, d):
 _B32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INT, 1) FOR i IN range(32)], '')"
 
 
-@query("op7_warc", f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(coalesce(html, '')::BLOB) AS n FROM pages), f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY 1, 2)
+@query("op7_warc", f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages), f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY 1, 2)
     SELECT page_id, n::BIGINT AS payload_bytes, {_B32} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p JOIN f USING (h, n)""")
 def op7(spark, d):

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from panelquant.llm.common import only, slices, written
+from panelquant.llm.common import only, slices, typed, written
 
 #: Fixed values of the format.
 PACKET, SYNC, PRIVATE_STREAM, PRIVATE_PES = 188, 0x47, 0xBD, 0x06
@@ -162,20 +162,22 @@ def padded(text: str | None) -> bytes:
 def mux(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media for every row: the text's UTF-8 bytes (null: none) padded with zero bytes to a positive multiple of 64."""
     d = only(docs, doc_id=doc_id, text=text)
+    kind, arrow = typed(d, "doc_id")
 
     def run(batches):
         import pyarrow as pa
 
         for ids, texts in slices(batches, ["doc_id", "text"]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([mux_one(padded(t)) for t in texts], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([mux_one(padded(t)) for t in texts], pa.binary())],
                                              names=["doc_id", "n_bytes", "media"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    return d.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def demux(media: DataFrame, doc_id: str = "doc_id", column: str = "media") -> DataFrame:
     """doc_id, payload, pts, random_access (pts, packet), pid, packets, units, errors for every row; a null or odd stream has an empty payload and, if not empty, errors."""
     m = only(media, doc_id=doc_id, media=column)
+    kind, arrow = typed(m, "doc_id")
 
     def run(batches):
         import pyarrow as pa
@@ -184,15 +186,17 @@ def demux(media: DataFrame, doc_id: str = "doc_id", column: str = "media") -> Da
             r = [demux_one(x) for x in raw]
             col = lambda k, t: pa.array([x[k] for x in r], t)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids), col("payload", pa.binary()), col("pts", pa.list_(pa.int64())), col("random", pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())]))),
+                pa.array(ids, arrow), col("payload", pa.binary()), col("pts", pa.list_(pa.int64())), col("random", pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())]))),
                 col("pid", pa.int64()), col("packets", pa.int64()), col("units", pa.int64()), col("errors", pa.int64())], names=["doc_id", "payload", "pts", "random_access", "pid", "packets", "units", "errors"])
 
-    return m.mapInArrow(run, f"doc_id {m.schema['doc_id'].dataType.simpleString()}, payload binary, pts array<bigint>, random_access array<struct<pts:bigint,packet:bigint>>, pid bigint, packets bigint, units bigint, errors bigint")
+    return m.mapInArrow(run, f"doc_id {kind}, payload binary, pts array<bigint>, random_access array<struct<pts:bigint,packet:bigint>>, pid bigint, packets bigint, units bigint, errors bigint")
 
 
 def stored_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The contract's columns: streams are written as a media column, read again and parsed; digests are of what was read."""
     stored = written(mux(docs, doc_id, text), "media")
+    kind, arrow = typed(stored, "doc_id")
+
     # parse and hash in one pass, so payloads do not travel
     def run(batches):
         import hashlib
@@ -205,8 +209,7 @@ def stored_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             r = [demux_one(x) for x in raw]
             feature = [f"pid={x['pid']};packets={x['packets']};units={x['units']};first={x['pts'][0] if x['pts'] else ''};last={x['pts'][-1] if x['pts'] else ''};random={len(x['random'])};errors={x['errors']}" for x in r]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids), pa.array(n, pa.int64()), pa.array([len(x["payload"]) for x in r], pa.int64()), pa.array([hashlib.sha256(x["payload"]).hexdigest() for x in r]),
+                pa.array(ids, arrow), pa.array(n, pa.int64()), pa.array([len(x["payload"]) for x in r], pa.int64()), pa.array([hashlib.sha256(x["payload"]).hexdigest() for x in r]),
                 pa.array([zlib.crc32(x["payload"][-BLOCK:]) for x in r], pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array(feature)], names=names)
 
-    kind = stored.schema["doc_id"].dataType.simpleString()
     return stored.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
