@@ -83,8 +83,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         seen = state
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least(u, F.col("m")).alias("m"))
-        large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).unionByName(
-            e.join(low, "u").select("u", F.col("m").alias("v"))).where(u > v).distinct()
+        large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where(u > v)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where(u > v).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")

@@ -189,7 +189,7 @@ def _labelled(postings: DataFrame, links: DataFrame | None) -> tuple[DataFrame,
     return p.join(live, "gram")
 
 
-def class_links(classes: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
+def class_links(classes: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
     """(src, dst) links between classes that connect whatever any link connects."""
     postings = written(classes.select("sig", "n", "rare", F.explode("prefix").alias("x")).select("sig", "n", "rare", "x.gram", "x.pos"), "postings")
     links = None
