@@ -39,11 +39,14 @@ def weight(df: DataFrame) -> int:
     return len(_HEAVY.findall(df._jdf.queryExecution().analyzed().toString()))
 
 
-def stage(df: DataFrame, above: int = 0) -> DataFrame:
-    """df itself when its plan has at most `above` heavy nodes, else a written copy of it."""
-    if weight(df) <= above:
-        return df
+def materialise(df: DataFrame) -> DataFrame:
+    """A written copy of df."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/panelquant-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage(df: DataFrame, above: int = 0) -> DataFrame:
+    """df itself when its plan has at most `above` heavy nodes, else a written copy of it."""
+    return df if weight(df) <= above else materialise(df)

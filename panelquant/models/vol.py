@@ -55,7 +55,7 @@ def fit_vol(returns: DataFrame, grid: Grid, months: int = 36, family: str = "gar
 
     The demeaned returns of the window are gathered per (T, key) - one value per date, so the
     array is bounded by the calendar - and a batch of such rows is scored against the whole
-    parameter grid with array arithmetic.  Converged is false on the edge of the grid.
+    parameter grid with array arithmetic.  Converged is false on the edge of any free parameter of the grid.
     """
     p = returns.filter(F.col(ret).isNotNull()).select(key, date, ret)
     s = snapshot(p, grid, -months, 0, [ret], key, date)
@@ -66,7 +66,10 @@ def fit_vol(returns: DataFrame, grid: Grid, months: int = 36, family: str = "gar
     a = s.groupBy("T", key).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), (F.col(ret) - F.col("mu")).alias("e")))).alias("_a"), F.first("mu").alias("mu"))
     a = a.filter(F.size("_a") >= min_obs).select("T", key, "mu", F.transform("_a", lambda v: v["e"]).alias("e"))
     par = np.array(params if params is not None else parameter_grid(family, dist))
-    edge = [(par[:, i].min(), par[:, i].max()) for i in (0,)]
+    # every parameter that takes more than one value; persistence stands for beta
+    free = np.column_stack([par[:, 0], par[:, 0] + par[:, 1] + par[:, 2] / 2, par[:, 2], par[:, 3]]).round(12)
+    free = free[:, [len(set(x)) > 1 for x in free.T]]
+    edge = (free.min(axis=0), free.max(axis=0)) if len(par) else None
     names = ["omega", "alpha", "beta", "gamma", "nu", "vol", "last", "ll", "n"]
     schema = T.StructType([T.StructField("T", T.DateType()), T.StructField(key, T.StringType()), T.StructField("mu", T.DoubleType()),
                            *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("Converged", T.BooleanType())])
@@ -88,10 +91,7 @@ def fit_vol(returns: DataFrame, grid: Grid, months: int = 36, family: str = "gar
                     w = np.array([(np.where(np.arange(n) == 0, 1.0, 0.06) * 0.94 ** (n - 1 - np.arange(n)) * r[:n] ** 2).sum() for r, n in zip(R, N)])
                     h, om = w[:, None], np.zeros_like(h)
                 k, r = ll.argmax(axis=1), np.arange(len(part))
-                ok = np.ones(len(part), dtype=bool)
-                if len(par) > 1:
-                    for i, (mn, mx) in zip((0,), edge):
-                        ok &= (par[k, i] > mn) & (par[k, i] < mx)
+                ok = ((free[k] > edge[0]) & (free[k] < edge[1])).all(axis=1)
                 yield pd.DataFrame({"T": part["T"].to_numpy(), key: part[key].to_numpy(), "mu": part["mu"].to_numpy(), "omega": om[r, k], "alpha": par[k, 0], "beta": par[k, 1], "gamma": par[k, 2],
                                     "nu": par[k, 3], "vol": np.sqrt(h[r, k]), "last": last, "ll": ll[r, k], "n": N.astype(float), "Converged": ok})
 
@@ -131,7 +131,8 @@ def vol_quantiles(params: DataFrame, taus, h: int = 21, nus=NUS, floor: float =
     """params + q: h-day compounded-return quantiles.
 
     Variance over the horizon is the closed-form sum of the mean-reverting daily forecasts; the
-    quantile is exp(h mu + sqrt(variance) z) - 1, clipped to [floor, cap].
+    quantile is exp(h mu + sqrt(variance) z) - 1, clipped to [floor, cap].  `nus` are the degrees of freedom of the parameter sets that
+    produced the fit; a row with others raises.
     """
     p = F.col("alpha") + F.col("beta") + F.col("gamma") / 2
     h1 = F.col("omega") + (F.col("alpha") + F.when(F.col("last") < 0, F.col("gamma")).otherwise(0.0)) * F.pow("last", F.lit(2)) + F.col("beta") * F.pow("vol", F.lit(2))
@@ -139,7 +140,7 @@ def vol_quantiles(params: DataFrame, taus, h: int = 21, nus=NUS, floor: float =
     lr = F.when(unit, F.lit(0.0)).otherwise(F.col("omega") / F.nullif(1 - p, F.lit(0.0)))
     var = F.when(unit, h * h1 + F.col("omega") * (h * (h - 1) / 2)).otherwise(h * lr + (h1 - lr) * (1 - F.pow(p, F.lit(h))) / F.nullif(1 - p, F.lit(0.0)))
     table = [("normal", 0.0, multipliers(taus, "normal", ())[0.0]), *[("t", v, z) for v, z in multipliers(taus, "t", nus).items()]]
-    z = F.lit(None).cast("array<double>")
+    z = F.raise_error(F.concat(F.lit("no multipliers for "), "dist", F.lit(" nu="), F.col("nu").cast("string"))).cast("array<double>")
     for d, v, zs in table:
         z = F.when((F.col("dist") == d) & ((F.col("nu") == v) if d == "t" else F.lit(True)), F.array(*[F.lit(x) for x in zs])).otherwise(z)
     d = params.withColumn("_v", F.sqrt(var)).withColumn("_z", z)

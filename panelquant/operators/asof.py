@@ -163,25 +163,25 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by, allow_exact: bool
     return out.drop("_asof_d", "_m", *["_k_" + b for b in by])
 
 
-def asof_small(left: DataFrame, right: DataFrame, on: str, max_rows: int = 20_000) -> DataFrame:
-    """As-of join without a key against a short reference series (CPI, calendar).
+def asof_series(left: DataFrame, right: DataFrame, on: str, tie=None) -> DataFrame:
+    """As-of join without a key against one dated series (CPI, calendar), by one path for every size.
 
-    The series is turned into [date, next) intervals keyed by calendar month so the join is an
-    equi-join; its row count is checked before the broadcast hint is given.
+    The series is reduced to one row per date (of several, the one with the largest `tie` columns, by default the largest values).  A left
+    date looks among the rows of its own month, met by an equi-join on the month, and else takes the last row of an earlier month, carried
+    over a table with one row per month.  Only distinct dates take part, so the work besides the last join is bounded by the calendar.
     """
     vals = [c for c in right.columns if c != on]
-    n = right.limit(max_rows + 1).count()
-    w = W.orderBy(on)
-    if n > max_rows:  # long series: the keyed path, on one constant key, over distinct dates
-        k = F.lit(0)
-        return asof_join(left.withColumn("_g", k), right.withColumn("_g", k), on, "_g").drop("_g")
-    top = left.agg(F.max(on).alias("_top"))
-    iv = (right.crossJoin(F.broadcast(top)).withColumn("_nx", F.lead(on).over(w))
-          .withColumn("_hi", F.coalesce(F.date_sub("_nx", 1), F.greatest("_top", on)))
-          .withColumn("_m", F.explode(F.sequence(month_no(on), month_no("_hi"))))
-          .select(F.col("_m").alias("_im"), F.col(on).alias("_lo"), "_hi", *vals))
-    cond = (F.col("_m") == F.col("_im")) & F.col(on).between(F.col("_lo"), F.col("_hi"))
-    return left.withColumn("_m", month_no(on)).join(F.broadcast(iv), cond, "left").drop("_m", "_im", "_lo", "_hi")
+    order = F.struct(*[F.col(t) for t in ([tie] if isinstance(tie, str) else (tie or vals))]) if vals else F.lit(1)
+    row = F.struct(F.lit(True).alias("_has"), *[F.col(v) for v in vals])
+    r = right.filter(F.col(on).isNotNull()).groupBy(F.col(on).alias("_rd")).agg(F.max_by(row, order).alias("_v")).withColumn("_m", month_no("_rd"))
+    dates = left.filter(F.col(on).isNotNull()).select(F.col(on).alias("_d")).distinct().withColumn("_m", month_no("_d"))
+    same = dates.join(r, "_m").filter("_rd <= _d").groupBy("_d").agg(F.max_by("_v", "_rd").alias("_in"))
+    month = r.groupBy("_m").agg(F.max_by("_v", "_rd").alias("_v")).unionByName(dates.select("_m").distinct(), allowMissingColumns=True)
+    month = month.groupBy("_m").agg(F.first("_v", ignorenulls=True).alias("_v"))  # at most one of the two has a value
+    before = month.select("_m", F.last("_v", ignorenulls=True).over(W.orderBy("_m").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    found = dates.join(same, "_d", "left").join(before, "_m", "left").select("_d", F.coalesce("_in", "_before").alias("_v"))
+    out = left.join(found, F.col(on) == F.col("_d"), "left")
+    return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in vals])
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, by, start_col: str, end_col: str, tie=None) -> DataFrame:
@@ -250,9 +250,9 @@ class Agg:
     lag: int = 0
 
 
-def _finish(kind, n, s, ss, pop=False):
-    mean = s / F.nullif(n, F.lit(0))
-    var = F.greatest(ss - s * mean, F.lit(0.0))
+def _finish(kind, n, s, q):
+    """Deviation over a frame of months: n, the sum of n (mean - shift) and the sum of M2 + n (mean - shift)^2."""
+    var = F.greatest(q - s * s / F.nullif(n, F.lit(0)), F.lit(0.0))
     if kind == "stdp":
         return F.when(n > 0, F.sqrt(var / F.nullif(n, F.lit(0))))
     return F.when(n > 1, F.sqrt(var / F.nullif(n - 1, F.lit(0))))
@@ -297,8 +297,8 @@ def win_agg(panel: DataFrame, grid: Grid, aggs: dict[str, Agg], key="DTID", date
         col = F.col(c)
         parts.setdefault(name, {
             "n": lambda: F.count(col), "sum": lambda: F.sum(col),
-            # squares are summed around the month's own data, centred at merge time
-            "ss": lambda: F.sum(col * col), "max": lambda: F.max(col), "min": lambda: F.min(col),
+            # squared deviations from the month's own mean
+            "m2": lambda: F.var_pop(col) * F.count(col), "max": lambda: F.max(col), "min": lambda: F.min(col),
             "last": lambda: last_of(c, date), "first": lambda: F.min_by(col, F.when(col.isNotNull(), F.col(date))),
             "day1": lambda: F.max(F.when(F.dayofmonth(date) == 1, col)),
         }[kind]())
@@ -306,10 +306,17 @@ def win_agg(panel: DataFrame, grid: Grid, aggs: dict[str, Agg], key="DTID", date
 
     spec = {}
     for name, a in aggs.items():
-        need = {"n": ["n"], "sum": ["sum"], "avg": ["n", "sum"], "std": ["n", "sum", "ss"], "stdp": ["n", "sum", "ss"],
+        need = {"n": ["n"], "sum": ["sum"], "avg": ["n", "sum"], "std": ["n", "sum", "m2"], "stdp": ["n", "sum", "m2"],
                 "max": ["max"], "min": ["min"], "last": ["last"], "first": ["first"], "asof": ["last", "day1"]}[a.kind]
         spec[name] = (a, [part(k, a.col) for k in need])
     pm = p.groupBy(key, "mno").agg(*[c.alias(n) for n, c in parts.items()])
+    for c in sorted({a.col for a in aggs.values() if a.kind in ("std", "stdp")}):
+        # months are merged around one shift per key, its mean, so large levels cost no digits
+        n, mean = F.col(f"_n_{c}"), F.col(f"_sum_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0))
+        off = mean - F.avg(mean).over(W.partitionBy(key))
+        pm = pm.withColumns({f"_dev_{c}": n * off, f"_sq_{c}": F.col(f"_m2_{c}") + n * off * off})
+        for k in ("dev", "sq"):
+            parts[f"_{k}_{c}"] = None
     tail = -lo
     wk = W.partitionBy(key).orderBy("mno")
     first_t, last_t = (d.year * 12 + d.month - 1 for d in (grid.dates()[0], grid.dates()[-1]))
@@ -333,7 +340,7 @@ def win_agg(panel: DataFrame, grid: Grid, aggs: dict[str, Agg], key="DTID", date
         elif a.kind == "avg":
             x = over(F.sum, need[1], s, e) / F.nullif(over(F.sum, need[0], s, e), F.lit(0))
         elif a.kind in ("std", "stdp"):
-            x = _finish(a.kind, *[over(F.sum, c, s, e) for c in need])
+            x = _finish(a.kind, *[over(F.sum, f"_{k}_{a.col}", s, e) for k in ("n", "dev", "sq")])
         elif a.kind == "last":
             x = over(last_ign, need[0], s, e)
         elif a.kind == "first":

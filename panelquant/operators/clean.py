@@ -117,21 +117,15 @@ def null_outlier_returns(df: DataFrame, limit=6.0, cols=("RI",), key="DTID", dat
 def screen_text(df: DataFrame, rules: DataFrame, text="NAME", group="EXDSCD", allow: DataFrame | None = None, id_col="DTID") -> DataFrame:
     """Drop rows whose text contains a token; a rule may be limited to some exchanges.
 
-    rules(token, exchanges array or null).  The rule table is short by nature; its size is
-    checked and then it is folded into one filter expression, so no pairs are produced.
-    `allow` ids are kept whatever their text says.
+    rules(token, exchanges array or null), of any number.  Distinct (group, text) pairs are tested against the rules, so a text that many
+    rows share is read once, and the hits are joined back.  A null text or group is hit by nothing that needs it.  `allow` ids are kept
+    whatever their text says.
     """
-    rs = rules.select("token", "exchanges").limit(5001).collect()
-    if len(rs) > 5000:
-        raise ValueError("screening table is too long for a filter; split it")
-    up, bad = F.upper(text), F.lit(False)
-    by_scope: dict = {}
-    for r in rs:
-        by_scope.setdefault(tuple(r["exchanges"]) if r["exchanges"] else None, []).append(r["token"])
-    for scope, tokens in by_scope.items():
-        hit = F.exists(F.array(*[F.lit(t) for t in sorted(tokens)]), lambda t: F.contains(up, t))
-        bad = bad | (hit if scope is None else hit & c(group).isin(*scope))
-    d = df.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    names = df.filter(c(text).isNotNull()).select(c(text).alias("_t"), c(group).alias("_g")).distinct()
+    rs = rules.filter("token is not null").select("token", F.col("exchanges").alias("_ex")).distinct()
+    hit = F.contains(F.upper("_t"), c("token")) & (c("_ex").isNull() | F.coalesce(F.array_contains("_ex", c("_g")), F.lit(False)))
+    hits = names.join(rs, hit, "left_semi").withColumn("_hit", F.lit(True))
+    d = df.join(hits, (c(text) == c("_t")) & c(group).eqNullSafe(c("_g")), "left").withColumn("_bad", c("_hit").isNotNull()).drop("_t", "_g", "_hit")
     if allow is not None:
         a = allow.select(id_col).distinct().withColumn("_ok", F.lit(True))
         d = d.join(a, id_col, "left").withColumn("_bad", c("_bad") & c("_ok").isNull()).drop("_ok")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import bucket_of, fdiv
-from panelquant.functions.stage import stage
+from panelquant.functions.stage import materialise, stage
 
 
 def attach(df: DataFrame, by, **aggs) -> DataFrame:
@@ -186,29 +186,35 @@ def fill_group_mean(df: DataFrame, cols, by=("date", "region")) -> DataFrame:
     return df.join(g, by, "left").select(*[F.coalesce(F.col(c), F.col("_m_" + c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def cumulative_share(df: DataFrame, col: str, by, tie: str, out: str) -> DataFrame:
-    """Running share of the group total in (value, tie) order.
+def running_total(df: DataFrame, value, by, order, out: str, total: str | None = None) -> DataFrame:
+    """Running sum of `value` in the given order inside each group, and the group's total.
 
-    Same bucket scheme as the ranks: bucket sums give offsets, rows are ordered inside a
-    bucket only, so one large group is spread over all its buckets.  Many ids on one value
-    are split further by the leading characters of the tie key, which also keep the order.
+    Rows are range-partitioned by (group, order), written, and summed per (group, partition); the few sums give every partition its
+    offset.  A task orders one range only, whatever the size of a group, and ties on leading columns are split like any other rows.
     """
-    by = list(by)
-    df = stage(df)
-    d = df.withColumn("_b", F.struct(bucket_of(col).alias("b"), F.col(col).alias("v"), F.substring(tie, 1, 4).alias("t")))
-    bt = d.groupBy(*by, "_b").agg(F.sum(col).alias("_bs"))
-    # two offset levels: value buckets first, then (value, prefix) cells inside a bucket
-    top = bt.groupBy(*by, F.col("_b.b").alias("_bb")).agg(F.sum("_bs").alias("_ts"))
-    wt = W.partitionBy(*by).orderBy("_bb")
-    top = (top.withColumn("_toff", F.coalesce(F.sum("_ts").over(wt.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-           .withColumn("_tot", F.sum("_ts").over(W.partitionBy(*by))).drop("_ts"))
-    bt = bt.withColumn("_bb", F.col("_b.b"))
-    wb = W.partitionBy(*by, "_bb").orderBy("_b")
-    bt = (bt.withColumn("_boff", F.coalesce(F.sum("_bs").over(wb.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-          .join(top, [*by, "_bb"]).withColumn("_off", F.col("_toff") + F.col("_boff")).select(*by, "_b", "_off", "_tot"))
-    wv = W.partitionBy(*by, "_b").orderBy(col, tie).rowsBetween(W.unboundedPreceding, 0)
-    return (d.join(bt, [*by, "_b"]).withColumn(out, fdiv(F.col("_off") + F.sum(col).over(wv), F.col("_tot")))
-            .drop("_b", "_off", "_tot"))
+    by, order = list(by), list(order)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    d = df.withColumn("_x", value if not isinstance(value, str) else F.col(value)).repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id())
+    d = materialise(d)
+    part = d.groupBy(*by, "_p").agg(F.sum("_x").alias("_s"))
+    w = W.partitionBy(*by).orderBy("_p") if by else W.orderBy("_p")  # at most one row per group and partition
+    part = part.select(*by, "_p", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_tot"))
+    wv = W.partitionBy(*by, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    cond = F.lit(True)
+    right = part.select(*[F.col(b).alias("_k_" + b) for b in by], F.col("_p").alias("_q"), "_off", "_tot")
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col("_k_" + b))
+    r = d.withColumn("_c", F.sum("_x").over(wv)).join(right, cond & (F.col("_p") == F.col("_q")))
+    r = r.withColumn(out, F.col("_off") + F.col("_c"))
+    if total:
+        r = r.withColumn(total, F.col("_tot"))
+    return r.drop("_x", "_p", "_q", "_c", "_off", "_tot", *["_k_" + b for b in by])
+
+
+def cumulative_share(df: DataFrame, col: str, by, tie: str, out: str) -> DataFrame:
+    """Running share of the group total in (value, tie) order."""
+    d = running_total(df, col, by, [col, tie], "_run", "_all")
+    return d.withColumn(out, fdiv(F.col("_run"), F.col("_all"))).drop("_run", "_all")
 
 
 def mkt_factor(df: DataFrame, by, ret: str = "r", weight: str = "MC") -> DataFrame:

@@ -60,7 +60,7 @@ _EMP = "emp AS (SELECT g.date, DTID, var_pop(r) AS var_t, avg(r) AS mean_t FROM
 def _empirical(spark, d):
     from panelquant.operators.asof import snapshot
 
-    s = snapshot(panel_supplier(spark, d).filter("r is not null"), Grid("2000-01-01", "2001-06-01"), -12, 0, ["r"])
+    s = snapshot(panel_supplier(spark, d).filter("r is not null"), Grid("1995-02-01", "2001-12-01"), -12, 0, ["r"])
     return s.groupBy(F.col("T").alias("date"), "DTID").agg(F.var_pop("r").alias("var_t"), F.avg("r").alias("mean_t"))
 
 
@@ -315,8 +315,8 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ panel assembly
-G = Grid("2000-01-01", "2001-06-01")
-GC = grid_cte("2000-01-01", "2001-06-01")
+G = Grid("1995-02-01", "2001-12-01")
+GC = grid_cte("1995-02-01", "2001-12-01")
 FR = """fr AS (SELECT DTID, T AS date, arg_max(RI, date) / arg_max(RI, date) FILTER (WHERE date < T) - 1 AS r FROM ps JOIN g ON date >= T - 7 AND date < T + INTERVAL 1 MONTH GROUP BY 1, 2 HAVING count(*) FILTER (WHERE date < T) > 0)"""
 
 
@@ -340,7 +340,7 @@ CH = """ch AS (SELECT T AS date, DTID, arg_max(region, date) AS region, arg_max(
  FROM ps JOIN g ON date >= T - INTERVAL 12 MONTH AND date < T GROUP BY T, DTID HAVING max(date) > T - 7)"""
 
 
-@query("a03_universe_characteristics", [*K, "region", "COID"], ["MC", "PRC", "RI", "VOL"], "SELECT * FROM ch", ["ps", GC, CH])
+@query("a03_universe_characteristics", [*K, "region", "COID"], {"MC": 3, "PRC": 6, "RI": 6, "VOL": 6}, "SELECT * FROM ch", ["ps", GC, CH])
 def _(spark, d):
     return P.characteristics(panel_supplier(spark, d), G)
 
@@ -354,7 +354,7 @@ def uni(spark, d):
     return P.universe(panel_supplier(spark, d), G, 0.2, 0.1, _PRL, 300.0)
 
 
-@query("a04_universe_eligibility", [*K, "COID"], ["MC", "VOL", "ok"], "SELECT * FROM un", ["ps", GC, CH, UN])
+@query("a04_universe_eligibility", [*K, "COID"], {"MC": 3, "VOL": 6, "ok": 0}, "SELECT * FROM un", ["ps", GC, CH, UN])
 def _(spark, d):
     return uni(spark, d).withColumn("ok", F.col("Eligible").cast("int"))
 
@@ -414,9 +414,9 @@ def _(spark, d):
     return m.select("region", "date", F.col("MktAvg10_EW").alias("a10"), F.col("MktAvg1_EW").alias("a1"))
 
 
-@query("a07_daily_return_lagged_mc", ["DTID", "date"], {"r": 6, "MC": 3}, "SELECT DTID, date, r, m AS MC FROM (SELECT *, lag(MC) OVER (PARTITION BY DTID ORDER BY date) AS m FROM ps) WHERE r IS NOT NULL AND date >= DATE '1999-01-01' AND date <= DATE '2000-12-31'", ["ps"])
+@query("a07_daily_return_lagged_mc", ["DTID", "date"], {"r": 6, "MC": 3}, "SELECT DTID, date, r, m AS MC FROM (SELECT *, lag(MC) OVER (PARTITION BY DTID ORDER BY date) AS m FROM ps) WHERE r IS NOT NULL AND date >= DATE '1995-01-01' AND date <= DATE '2001-12-31'", ["ps"])
 def _(spark, d):
-    return P.daily_returns(panel_supplier(spark, d), "1999-01-01", "2000-12-31")
+    return P.daily_returns(panel_supplier(spark, d), "1995-01-01", "2001-12-31")
 
 
 @query("a08_realised_variance", ["DTID", "date"], ["var", "vol"], "SELECT DTID, date_trunc('month', date)::DATE AS date, sum(r * r) AS var, sqrt(sum(r * r)) AS vol FROM pn WHERE r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 15", ["pn"])
@@ -424,9 +424,9 @@ def _(spark, d):
     return P.realised_variance(panel_nation(spark, d))
 
 
-@query("a09_monthly_returns", K, ["r", "MC"], "SELECT f.date, f.DTID, f.r, u.MC FROM fr f JOIN un u ON f.date = u.date AND f.DTID = u.DTID WHERE f.date BETWEEN DATE '2000-06-01' AND DATE '2001-03-01'", ["ps", GC, FR, CH, UN])
+@query("a09_monthly_returns", K, {"r": 6, "MC": 3}, "SELECT f.date, f.DTID, f.r, u.MC FROM fr f JOIN un u ON f.date = u.date AND f.DTID = u.DTID WHERE f.date BETWEEN DATE '1995-02-01' AND DATE '2001-12-01'", ["ps", GC, FR, CH, UN])
 def _(spark, d):
-    return P.monthly_returns(fwd(spark, d), uni(spark, d), "2000-06-01", "2001-03-01")
+    return P.monthly_returns(fwd(spark, d), uni(spark, d), "1995-02-01", "2001-12-01")
 
 
 @query("a10_enriched_features", K, ["v", "v_raw", "v_mean", "r", "r_scale", "mkt"], """SELECT date, DTID, v / g AS v, v / 0.022 AS v_raw, g / 0.022 AS v_mean, r / (g / 0.022 * 0.11) AS r, g / 0.022 * 0.11 AS r_scale, a10 / (g / 0.022 * 0.11) AS mkt FROM (

@@ -24,8 +24,8 @@ def sql_out(body: str, keys, nums, digits: int = 6, ctes=()) -> str:
     nums = nums if isinstance(nums, dict) else {c: digits for c in nums}
     q = lambda c: f'"{c}"'
     sel = [f"CAST({q(c)} AS VARCHAR) AS {q(c)}" for c in keys] + [
-        f"CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CASE WHEN round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e-{k}, {k}) = 0 THEN 0.0::DOUBLE "
-        f"ELSE round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e-{k}, {k}) END END AS {q(c)}" for c, k in nums.items()]
+        f"CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CASE WHEN round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e{-k}, {k}) = 0 THEN 0.0::DOUBLE "
+        f"ELSE round(CAST({q(c)} AS DOUBLE) + {_NUDGE}e{-k}, {k}) END END AS {q(c)}" for c, k in nums.items()]
     text = f"{with_clause(ctes, body)} SELECT {', '.join(sel)} FROM _body"
     return re.sub(r'(?<!")\bat\b(?!")', '"at"', text)  # the item name is a reserved word there
 

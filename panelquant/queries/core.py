@@ -8,19 +8,17 @@ from panelquant.queries.base import grid_cte, query
 from panelquant.sources.adapters import (analyst_sum, events_panel, link_intervals, panel_nation, panel_supplier,
                                          statements, table)
 
-G = Grid("2000-01-01", "2001-06-01")
-GC = grid_cte("2000-01-01", "2001-06-01")
-ACCT = Grid("2001-01-01", "2002-12-01")
+G = Grid("1995-02-01", "2001-12-01")
+GC = grid_cte("1995-02-01", "2001-12-01")
 
 
 # ------------------------------------------------------------------ joins
 @query("j01_inner_equi_join", ["DTID", "date", "INDM"], ["PRC"], """
- SELECT DTID, date, INDM, PRC FROM ps JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS k, n_name AS INDM FROM supplier JOIN nation ON s_nationkey = n_nationkey) m ON k = DTID
- WHERE year(date) = 2000""", ["ps"])
+ SELECT DTID, date, INDM, PRC FROM ps JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS k, n_name AS INDM FROM supplier JOIN nation ON s_nationkey = n_nationkey) m ON k = DTID""", ["ps"])
 def _(spark, d):
     m = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     m = m.select(F.col("s_suppkey").cast("string").alias("DTID"), F.col("n_name").alias("INDM"))
-    return panel_supplier(spark, d).filter("date >= '2000-01-01' and date < '2001-01-01'").join(m, "DTID")
+    return panel_supplier(spark, d).join(m, "DTID")
 
 
 @query("j02_outer_equi_join", ["DTID", "T"], ["a", "b"], """
@@ -92,10 +90,10 @@ def _(spark, d):
 
 
 @query("j08_id_by_grid", ["DTID", "m"], [], """
- SELECT DISTINCT DTID, m FROM (SELECT DISTINCT DTID FROM pn), (SELECT CAST(unnest(generate_series(DATE '1999-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS m)""", ["pn"])
+ SELECT DISTINCT DTID, m FROM (SELECT DISTINCT DTID FROM pn), (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS m)""", ["pn"])
 def _(spark, d):
     ids = panel_nation(spark, d).select("DTID").distinct()
-    return ids.withColumn("m", F.explode(F.expr("sequence(date'1999-01-01', date'2000-12-01', interval 1 month)")))
+    return ids.withColumn("m", F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-01', interval 1 month)")))
 
 
 @query("j09_self_lag_asof", ["DTID", "date"], ["RI", "RI_lag", "ret"], """
@@ -113,6 +111,14 @@ def _(spark, d):
     return X.attach(panel_nation(spark, d), ["region", "date"], m=F.avg("PRC")).withColumn("rel", F.col("PRC") / F.col("m"))
 
 
+@query("j03_asof_unkeyed_ties", ["o_orderkey"], ["v", "w"], """
+ SELECT o_orderkey, v, w FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) o ASOF LEFT JOIN (
+  SELECT date, v, w FROM (SELECT date_trunc('week', date)::DATE AS date, round(VOL, 0) AS v, round(PRC, 2) AS w FROM ps) QUALIFY row_number() OVER (PARTITION BY date ORDER BY v DESC, w DESC) = 1) r ON o.date >= r.date""", ["ps"])
+def _(spark, d):
+    r = panel_supplier(spark, d).select(F.trunc("date", "week").alias("date"), F.round("VOL", 0).alias("v"), F.round("PRC", 2).alias("w"))
+    return A.asof_series(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), r, "date", tie=["v", "w"])
+
+
 # ------------------------------------------------------------------ as-of engine
 @query("e01_date_grid", ["f", "T"], ["n"], """
  SELECT f, T, count(*) AS n FROM (SELECT 'M' AS f, CAST(unnest(generate_series(DATE '1995-02-01', DATE '2001-11-15', INTERVAL 1 MONTH)) AS DATE) AS T
@@ -135,6 +141,13 @@ def _(spark, d):
     return s.groupBy("T", "DTID").agg(F.count(F.lit(1)).alias("n"), F.sum("RI").alias("s"), F.min(F.datediff("date", F.lit("2024-01-01"))).alias("lo"))
 
 
+@query("e02_std_large_mean", ["T", "DTID"], {"sd": 2, "sdp": 2}, """
+ SELECT T, DTID, stddev_samp(x) FILTER (WHERE date >= T - INTERVAL 3 MONTH) AS sd, stddev_pop(x) AS sdp FROM (SELECT *, PRC + 1e9 AS x FROM pn) JOIN g ON date >= T - INTERVAL 12 MONTH AND date < T GROUP BY 1, 2""", ["pn", GC])
+def _(spark, d):
+    p = panel_nation(spark, d).withColumn("x", F.col("PRC") + 1e9)
+    return A.win_agg(p, G, {"sd": Agg("std", "x", -3), "sdp": Agg("stdp", "x", -12), "n": Agg("n", "x", -12)}).filter("n > 0")
+
+
 _WA = {"n3": Agg("n", "r", -3), "s6": Agg("sum", "VOL", -6), "m12": Agg("avg", "PRC", -12), "sd3": Agg("std", "r", -3), "sp1": Agg("stdp", "r", -1),
        "mx": Agg("max", "r", -1), "mn": Agg("min", "r", -2), "la": Agg("last", "PRC", -1), "fi": Agg("first", "PRC", -6), "as7": Agg("asof", "RI", -8, -1, 7)}
 _WSQL = """ SELECT T, DTID, count(r) FILTER (WHERE date >= T - INTERVAL 3 MONTH) AS n3, sum(VOL) FILTER (WHERE date >= T - INTERVAL 6 MONTH) AS s6,
@@ -265,6 +278,15 @@ def _(spark, d):
     return X.cumulative_share(monthly(spark, d), "MC", ["date"], "DTID", "share")
 
 
+@query("c08_ties_shared_prefix", ["g", "id"], {"share": 9}, """
+ SELECT g, id, sum(v) OVER (PARTITION BY g ORDER BY v, id) / sum(v) OVER (PARTITION BY g) AS share FROM (
+  SELECT c_nationkey % 3 AS g, 'US00' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, greatest(floor(c_acctbal / 2000), 0) AS v FROM customer)""")
+def _(spark, d):
+    p = table(spark, d, "customer").select((F.col("c_nationkey") % 3).alias("g"), F.concat(F.lit("US00"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("id"),
+                                           F.greatest(F.floor(F.col("c_acctbal") / 2000), F.lit(0)).cast("double").alias("v"))
+    return X.cumulative_share(p, "v", ["g"], "id", "share")
+
+
 @query("c09_market_factor", ["date"], ["rm"], "SELECT date, sum(r * MC) / sum(MC) AS rm FROM ps WHERE r IS NOT NULL AND MC IS NOT NULL GROUP BY 1", ["ps"])
 def _(spark, d):
     return X.mkt_factor(panel_supplier(spark, d), "date")

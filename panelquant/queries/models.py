@@ -8,7 +8,7 @@ from panelquant.operators import evaluate as V, xsection as X
 from panelquant.operators.asof import Grid
 from panelquant.queries.base import grid_cte, query
 from panelquant.queries.core import PM, monthly
-from panelquant.sources.adapters import panel_nation
+from panelquant.sources.adapters import panel_nation, table
 
 TAUS = (0.1, 0.25, 0.5, 0.75, 0.9)
 K = ["date", "DTID"]
@@ -136,7 +136,7 @@ def _(spark, d):
     return forest.quantile_boost(f.filter("date < '2000-01-01'"), f.filter("date >= '2000-01-01'"), XS, "y", 0.9, rounds=3)
 
 
-G = Grid("2001-01-01", "2001-02-01")
+G = Grid("1995-02-01", "2001-12-01")
 PAR = [(0.05, 0.9, 0.0, 0.0), (0.1, 0.85, 0.0, 0.0), (0.2, 0.6, 0.0, 0.0)]
 VOLQ = f"""vp AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE)' for i, (a, b, _, _) in enumerate(PAR))}) t(pid, a, b)),
  e0 AS (SELECT T, DTID, row_number() OVER (PARTITION BY T, DTID ORDER BY date) AS i, r - 0.1 AS e FROM pn JOIN g ON date >= T - INTERVAL 12 MONTH AND date < T WHERE r IS NOT NULL),
@@ -145,7 +145,7 @@ VOLQ = f"""vp AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOU
    LEFT JOIN e0 y ON y.T = x.T AND y.DTID = x.DTID AND y.i < x.i GROUP BY x.T, x.DTID, pid, a, b, x.i, x.e, n, s2, last),
  fit AS (SELECT T, DTID, a AS alpha, b AS beta, s2 * (1 - a - b) AS omega, sqrt(hl) AS vol, last, ll FROM (SELECT T, DTID, pid, a, b, any_value(s2) AS s2, any_value(last) AS last, arg_max(h, i) AS hl, sum(-0.5 * (ln(2 * pi()) + ln(h) + e * e / h)) AS ll FROM hh GROUP BY 1, 2, 3, 4, 5)
    QUALIFY row_number() OVER (PARTITION BY T, DTID ORDER BY ll DESC) = 1)"""
-VC = ["pn", grid_cte("2001-01-01", "2001-02-01"), VOLQ]
+VC = ["pn", grid_cte("1995-02-01", "2001-12-01"), VOLQ]
 
 
 def fitted(spark, d):
@@ -174,6 +174,20 @@ def _(spark, d):
     return q.select("T", "DTID", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
 
 
+_NUS, _TQ = (5.0, 7.0), (0.05, 0.5, 0.9)
+_Z = vol.multipliers(_TQ, "t", _NUS)
+
+
+@query("m14_custom_nu", ["k"], ["q0", "q1", "q2"], f"""SELECT k, {', '.join(f"least(greatest(exp(10 * 0.001 + s * CASE nu WHEN 5 THEN {_Z[5.0][i]!r} ELSE {_Z[7.0][i]!r} END) - 1, -1), 50) AS q{i}" for i in range(3))} FROM (
+ SELECT k, nu, sqrt(10 * lr + (h1 - lr) * (1 - power(alpha + beta, 10)) / (1 - alpha - beta)) AS s FROM (SELECT *, omega / (1 - alpha - beta) AS lr, omega + alpha * last * last + beta * vol * vol AS h1 FROM (
+  SELECT c_custkey AS k, 0.05 + 0.001 * (c_custkey % 50) AS alpha, 0.8 AS beta, 0.0001 AS omega, 0.02 AS vol, c_acctbal / 100000 AS last, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 7 END AS nu FROM customer)))""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("k"), F.lit("t").alias("dist"), F.lit(0.001).alias("mu"), (0.05 + 0.001 * (k % 50)).alias("alpha"), F.lit(0.8).alias("beta"), F.lit(0.0).alias("gamma"), F.lit(0.0001).alias("omega"),
+                                           F.lit(0.02).alias("vol"), (F.col("c_acctbal") / 100000).cast("double").alias("last"), F.when(k % 2 == 0, 5.0).otherwise(7.0).alias("nu"))
+    return vol.vol_quantiles(p, _TQ, 10, nus=_NUS).select("k", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
+
+
 @query("m15_setting_comparison", ["setting"], ["loss"], digits=3)
 def _(spark, d):
     f = features(spark, d)

@@ -4,8 +4,8 @@ from panelquant.queries.base import grid_cte, query
 from panelquant.signals import CLASSES, SignalContext
 from panelquant.sources.adapters import panel_nation, panel_supplier, statements
 
-G = Grid("2000-01-01", "2001-06-01")
-GC = grid_cte("2000-01-01", "2001-06-01")
+G = Grid("1995-02-01", "2001-12-01")
+GC = grid_cte("1995-02-01", "2001-12-01")
 # windows longer than this panel's seven years are filled as far as the data goes
 
 
@@ -87,7 +87,7 @@ signal("mk25_seasonality", "Seasonality", "SELECT T, DTID, " + ", ".join(f'avg(r
        f""" FROM {points(241, -241, ['RI'])} JOIN (SELECT DISTINCT T, DTID FROM pn JOIN g ON date > T - INTERVAL 1 MONTH AND date < T) USING (T, DTID) GROUP BY 1, 2""")
 MKT = lambda n, s: f"m AS (SELECT *, sum(r * MC) OVER (PARTITION BY T, j) / sum(MC) OVER (PARTITION BY T, j) AS rm FROM {points(n, s, ['RI', 'MC'])} WHERE r IS NOT NULL AND MC IS NOT NULL)"
 signal("mk26_residual_momentum", "ResidualMomentum", """SELECT T, DTID, product(1 + e) / stddev_pop(e) AS "ResidMom" FROM (SELECT T, DTID, r - my - b * (rm - mx) AS e, row_number() OVER (PARTITION BY T, DTID ORDER BY j DESC) - 1 AS i FROM m
- JOIN (SELECT T, DTID, regr_slope(r, rm) AS b, avg(r) AS my, avg(rm) AS mx FROM m GROUP BY 1, 2 HAVING count(*) >= 36) USING (T, DTID)) WHERE i >= 24 AND i < 35 GROUP BY 1, 2""", [MKT(37, -37)], digits=0)
+ JOIN (SELECT T, DTID, regr_slope(r, rm) AS b, avg(r) AS my, avg(rm) AS mx FROM m GROUP BY 1, 2 HAVING count(*) >= 36) USING (T, DTID)) WHERE i >= 24 AND i < 35 GROUP BY 1, 2""", [MKT(37, -37)], digits=-2)
 DAY = lambda k: f"m AS (SELECT *, sum(r * MC) OVER (PARTITION BY T, date) / sum(MC) OVER (PARTITION BY T, date) AS rm FROM pn JOIN g ON date >= T - INTERVAL {k} MONTH AND date < T WHERE r IS NOT NULL AND MC IS NOT NULL)"
 signal("mk27_idiosyncratic_risk", "IdiosyncraticRisk", """SELECT T, DTID, sqrt(greatest(var_pop(r) - covar_pop(r, rm) * covar_pop(r, rm) / var_pop(rm), 0)) AS "IdioRisk" FROM m GROUP BY 1, 2 HAVING count(*) >= 15""", [DAY(1)])
 SQL_BETA = """SELECT T, DTID, avg(e * d * d) / (sqrt(avg(e * e)) * avg(d * d)) AS "Coskew", any_value(b) AS "Beta" FROM (SELECT T, DTID, b, rm - mx AS d, r - my - b * (rm - mx) AS e FROM m
@@ -109,7 +109,7 @@ signal("mk33_liquidity_risk", "LiquidityRisk", f"""SELECT T, DTID, "LB1", "LB2",
        [f"""li AS (SELECT T, DTID, CAST(j AS BIGINT) AS j, CASE WHEN count(*) >= 10 THEN 8 * power(stddev_samp(r), 2.0/3) / power(sum(VOL * PRC), 1.0/3) END AS liq
   FROM (SELECT *, datediff('month', date_trunc('month', date), T) - CASE WHEN day(date) = 1 THEN 0 ELSE 1 END AS j FROM pn JOIN g ON date >= T - INTERVAL 121 MONTH AND date < T WHERE r IS NOT NULL) GROUP BY 1, 2, 3)""",
         f"dm AS (SELECT p.T, p.DTID, p.j, p.r, p.MC, liq FROM {points(121, -121, ['RI', 'MC'], src='(SELECT * FROM pn WHERE r IS NOT NULL)')} p JOIN li USING (T, DTID, j) WHERE p.r IS NOT NULL)",
-        "mk AS (SELECT *, lag(liq) OVER w AS l1, lag(liq, 2) OVER w AS l2 FROM (SELECT T, j, sum(r * MC) / sum(MC) AS rm, sum(liq * MC) / sum(MC) AS liq FROM dm GROUP BY 1, 2) WINDOW w AS (PARTITION BY T ORDER BY j DESC))",
+        "mk AS (SELECT *, lag(liq) OVER w AS l1, lag(liq, 2) OVER w AS l2 FROM (SELECT T, j, sum(r * MC) / sum(MC) AS rm, coalesce(sum(liq * MC), 0) / sum(MC) AS liq FROM dm GROUP BY 1, 2) WINDOW w AS (PARTITION BY T ORDER BY j DESC))",
         "mk2 AS (SELECT * FROM mk WHERE l1 IS NOT NULL AND l2 IS NOT NULL)",
         f"mi AS (SELECT T, j, rm, liq - b0 - b1 * l1 - b2 * l2 AS ml FROM mk2 JOIN ({OLS2('T', 'liq').format('mk2', 1)}) USING (T))",
         """nm AS (SELECT * FROM (SELECT d.T, d.DTID, d.j, d.r, liq, lag(liq) OVER w AS l1, lag(liq, 2) OVER w AS l2, rm, ml FROM dm d LEFT JOIN mi ON d.T = mi.T AND d.j = mi.j WHERE (d.T, d.DTID) IN (SELECT T, DTID FROM dm WHERE j = 0)

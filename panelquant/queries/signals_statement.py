@@ -6,8 +6,8 @@ from panelquant.queries.base import grid_cte, query
 from panelquant.signals import CLASSES, SignalContext
 from panelquant.sources.adapters import analyst_det, analyst_sum, panel_supplier, statements
 
-GS = Grid("2001-06-01", "2002-11-01")
-GC = grid_cte("2001-06-01", "2002-11-01")
+GS = Grid("1996-07-01", "2002-11-01")
+GC = grid_cte("1996-07-01", "2002-11-01")
 # statement snapshot: newest row per fiscal-year bucket, last market value on recent rows
 SNAP = """s AS (SELECT * EXCLUDE (MC, k, MClast), CASE WHEN date > T - INTERVAL 12 MONTH AND MClast IS NOT NULL THEN MClast ELSE MC END AS MC FROM (
  SELECT f.*, g.T, m.MClast, row_number() OVER (PARTITION BY g.T, FTID, ceil(datediff('day', FinYearEnd, g.T) / 365.0) ORDER BY date DESC) AS k

@@ -219,15 +219,14 @@ def compute_signals(sources: dict[str, DataFrame], grid: Grid, names=None, min_o
     their own logic add joins.  `extra` maps names to functions (context) -> (T, DTID|FTID, name).
     """
     want, need = resolve(names)
-    wide = len(need) > 8  # shared inputs are written once instead of being planned into every class
-    hold = stage if wide else (lambda df: df)
+    hold = stage  # whatever several classes read is written once instead of being planned into every class
     ctx = SignalContext({k: hold(v) for k, v in sources.items()}, grid, min_obs or {})
     sources = ctx.sources
     ctx.mc_start = input_manifest(names).get("dt", {"start": -1})["start"]
     out = base_index(sources["dt"], sources.get("FT"), grid)
     if "FTID" not in out.columns:
         out = out.withColumn("FTID", F.lit(None).cast("string"))
-    if wide and sum("FT" in CLASSES[n].inputs for n in need) > 1:
+    if sum("FT" in CLASSES[n].inputs for n in need) > 1:
         ctx._cache["_ft"] = stage(ctx.statements())
     win = [n for n in need if CLASSES[n].window]
     stm = [n for n in need if CLASSES[n].project]

@@ -161,7 +161,7 @@ def link_intervals(spark, d) -> DataFrame:
 TAUS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
-def quantile_vectors(spark, d, start="2000-01-01", end="2001-06-01") -> DataFrame:
+def quantile_vectors(spark, d, start="1995-02-01", end="2001-12-01") -> DataFrame:
     """(date, DTID, region, q array, y): exact quantiles of r over 12 months, y = next-month return."""
     from panelquant.operators.asof import Grid, snapshot
 
@@ -191,7 +191,7 @@ CTE = {
   CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'O' THEN 'STRONG BUY' WHEN 'F' THEN 'BUY' ELSE 'HOLD' END AS ITEXT, o_orderkey AS seq FROM orders)"""),
     "link": ((), """link AS (SELECT TICKER, TICKER || '-' || y AS PERMNO, start, CASE WHEN y < max(y) OVER (PARTITION BY TICKER) THEN start + 300 END AS "end"
   FROM (SELECT CAST(o_custkey % 100 AS VARCHAR) AS TICKER, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS start FROM orders GROUP BY 1, 2))"""),
-    "qv": (("ps",), """qg AS (SELECT CAST(x AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS x)),
+    "qv": (("ps",), """qg AS (SELECT CAST(x AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '1995-02-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS x)),
  qv AS (SELECT a.*, b.y FROM (SELECT g.date, DTID, region, quantile_cont(r, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS q FROM ps p JOIN qg g
    ON p.date >= g.date - INTERVAL 12 MONTH AND p.date < g.date WHERE r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(r) >= 20) a
   JOIN (SELECT DTID, CAST(date_trunc('month', date) AS DATE) AS date, sum(r) AS y FROM ps WHERE r IS NOT NULL GROUP BY 1, 2) b ON a.DTID = b.DTID AND a.date = b.date)"""),

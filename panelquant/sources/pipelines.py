@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import nz
 from panelquant.operators import clean as C
-from panelquant.operators.asof import asof_join, asof_small, interval_join, overlap_join
+from panelquant.operators.asof import asof_join, asof_series, interval_join, overlap_join
 from panelquant.operators.series import running_product
 from panelquant.sources.io import parse_date
 
@@ -88,7 +88,7 @@ def us_statements(raw: DataFrame, link: DataFrame, history: DataFrame, head: Dat
     d = d.withColumnRenamed("gvkey", "FTID").withColumn("FinYearEnd", c("datadate")).withColumn("date", F.add_months("datadate", 6)).drop("datadate")
     d = _keep_last(d, ["FTID", "date"], ["FinYearEnd", "DTID"]).join(industry.select("sic", "INDM", "INDM3"), "sic", "left")
     first = d.groupBy("FTID").agg(F.min("date").alias("FirstObs"))
-    d = asof_small(d.join(first, "FTID"), cpi, "date")
+    d = asof_series(d.join(first, "FTID"), cpi, "date")
     return d.withColumn("DTID", c("DTID").cast("long").cast("string")).withColumn("FTID", c("FTID").cast("string")).withColumn("region", F.lit("USA"))
 
 

@@ -53,7 +53,7 @@ def test_variance_fit_prefers_the_true_parameters(spark):
         h = 1e-4 * 0.05 + 0.15 * e[-1] ** 2 + 0.8 * h
     d = pd.date_range(end="2020-12-31", periods=1000, freq="D").date
     df = spark.createDataFrame(pd.DataFrame({"DTID": "a", "date": d, "r": e}))
-    r = vol.fit_vol(df, Grid("2021-01-01", "2021-01-01"), 36, "garch", "normal", [(0.01, 0.5, 0.0, 0.0), (0.15, 0.8, 0.0, 0.0), (0.4, 0.3, 0.0, 0.0)]).collect()[0]
+    r = vol.fit_vol(df, Grid("2021-01-01", "2021-01-01"), 36, "garch", "normal", [(0.01, 0.5, 0.0, 0.0), (0.05, 0.94, 0.0, 0.0), (0.15, 0.8, 0.0, 0.0), (0.4, 0.3, 0.0, 0.0)]).collect()[0]
     assert (r.alpha, r.beta, r.n, r.Converged) == (0.15, 0.8, 1000.0, True)
     q = vol.vol_quantiles(spark.createDataFrame([r], vol_schema()), (0.05, 0.5, 0.95), 21).collect()[0]
     assert q.q[0] < 0 < q.q[2] and q.q[1] == pytest.approx(0, abs=1e-12)

@@ -79,13 +79,39 @@ def test_asof_join_keeps_nulls_of_matched_row(spark):
     assert strict[("a", day("2020-01-01"))] is None
 
 
-def test_asof_small_keeps_early_rows(spark):
+def test_asof_series_keeps_early_rows(spark):
     l = spark.createDataFrame([(day("2020-01-02"),), (day("2020-01-20"),), (day("2020-03-01"),), (None,)], "date date")
     r = spark.createDataFrame([(day("2020-01-10"), 1.0), (day("2020-02-01"), 2.0)], "date date, v double")
-    got = {x.date: x.v for x in A.asof_small(l, r, "date").collect()}
+    got = {x.date: x.v for x in A.asof_series(l, r, "date").collect()}
     assert got == {day("2020-01-02"): None, day("2020-01-20"): 1.0, day("2020-03-01"): 2.0, None: None}
 
 
+@pytest.mark.parametrize("n", [3, 19_999, 20_001])
+def test_asof_series_same_result_at_any_size(spark, n):
+    """Former sizes of a switch; equal dates go to the largest value whatever the order of rows."""
+    r = spark.range(n).select(F.expr("date_add(date'1990-01-01', cast(id % 9000 as int))").alias("date"), (F.col("id") * 7919 % 10007).cast("double").alias("v"))
+    l = spark.createDataFrame([(day("1990-01-03"),), (day("1989-12-31"),), (day("2030-05-05"),), (day("1990-01-01"),)], "date date")
+    rows = {}
+    for x in r.collect():
+        rows[x.date] = max(x.v, rows.get(x.date, -1.0))
+    want = {}
+    for x in l.collect():
+        past = [k for k in rows if k <= x.date]
+        want[x.date] = rows[max(past)] if past else None
+    assert {x.date: x.v for x in A.asof_series(l, r, "date").collect()} == want
+
+
+def test_monthly_deviation_at_large_level(spark):
+    rows = [("a", day("2020-01-01") + dt.timedelta(days=k), 1e9 + k % 5) for k in range(120)] + [("b", day("2020-01-01") + dt.timedelta(days=k), float(k)) for k in range(0, 120, 40)]
+    p = spark.createDataFrame(rows, "DTID string, date date, x double")
+    g = A.Grid("2020-02-01", "2020-06-01")
+    aggs = {"s": A.Agg("std", "x", -3), "sp": A.Agg("stdp", "x", -1)}
+    month, fan = ({(r.T, r.DTID): (r.s, r.sp) for r in A.win_agg(p, g, aggs, path=k).collect()} for k in ("month", "fanout"))
+    for k, v in fan.items():
+        for x, y in zip(v, month[k]):
+            assert (x is None and y is None) or abs(x - y) < 1e-6 * max(1.0, x), (k, v, month[k])
+
+
 def test_overlap_join_brute_force(spark):
     rng = np.random.default_rng(1)
     iv = [("k", day("2000-01-01") + dt.timedelta(int(a)), None if b > 380 else day("2000-01-01") + dt.timedelta(int(a + b)), i) for i, (a, b) in enumerate(zip(rng.integers(0, 900, 60), rng.integers(0, 400, 60)))]
