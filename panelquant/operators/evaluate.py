@@ -92,13 +92,15 @@ def moment_summary(df: DataFrame, cols) -> DataFrame:
 
 
 def trimmed_histogram(df: DataFrame, cols, bins: int = 50, trim: float = 0.01) -> DataFrame:
-    """Counts per equal-width bin between the trim and 1-trim quantiles: (var, bin, lo, n)."""
+    """Counts per equal-width bin between the trim and 1-trim quantiles: (var, bin, lo, hi, n)."""
     lg = stage(df.select(*[F.col(c).cast("double").alias(c) for c in cols])).unpivot([], list(cols), "var", "x").filter("x is not null")
     q = X.group_quantiles(lg, ["var"], {"a": ("x", trim), "b": ("x", 1 - trim)})  # one row per column
     d = lg.join(F.broadcast(q), "var").filter("x >= a and x <= b")
     w = (F.col("b") - F.col("a")) / bins
     k = F.least(F.floor((F.col("x") - F.col("a")) / F.nullif(w, F.lit(0.0))), F.lit(bins - 1))
-    return d.groupBy("var", k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    g = d.withColumn("_w", w).groupBy("var", k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("_a"), F.first("_w").alias("_w"))
+    edge = lambda i: F.col("_a") + F.coalesce(F.col("bin"), F.lit(0)) * F.col("_w") + i * F.col("_w")
+    return g.select("var", "bin", edge(0).alias("lo"), edge(1).alias("hi"), "n")
 
 
 def common_sample(dfs: dict[str, DataFrame], key=("date", "DTID")) -> DataFrame:

@@ -277,13 +277,13 @@ def _(spark, d):
     return V.moment_summary(D.moments(qv(spark, d), TAUS), ["m1", "std", "skew", "kurtosis"])
 
 
-@query("v08_trimmed_histogram", ["var"], ["bin", "n"], """SELECT var, least(floor((x - a) / ((b - a) / 20)), 19) AS bin, count(*) AS n FROM (SELECT *, quantile_cont(x, 0.01) OVER w AS a, quantile_cont(x, 0.99) OVER w AS b FROM (SELECT unnest(['v', 'p']) AS var, unnest([v, p]) AS x FROM pm) WINDOW w AS (PARTITION BY var))
- WHERE x >= a AND x <= b GROUP BY 1, 2""", PC)
+@query("v08_trimmed_histogram", ["var"], {"bin": 0, "n": 0, "lo": 4, "hi": 4}, """SELECT var, bin, any_value(a + bin * (b - a) / 20) AS lo, any_value(a + (bin + 1) * (b - a) / 20) AS hi, count(*) AS n FROM (SELECT *, least(floor((x - a) / ((b - a) / 20)), 19) AS bin FROM (SELECT *, quantile_cont(x, 0.01) OVER w AS a, quantile_cont(x, 0.99) OVER w AS b FROM (SELECT unnest(['v', 'p']) AS var, unnest([v, p]) AS x FROM pm) WINDOW w AS (PARTITION BY var))
+ WHERE x >= a AND x <= b) GROUP BY 1, 2""", PC)
 def _(spark, d):
     return V.trimmed_histogram(monthly(spark, d), ["v", "p"], 20)
 
 
-@query("v09_moment_rank_correlations", ["a", "b"], ["rho"], """SELECT a, b, avg(rho) AS rho FROM (SELECT date, x.k AS a, y.k AS b, corr(x.rk, y.rk) AS rho FROM rk x JOIN rk y USING (date, DTID) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+@query("v09_moment_rank_correlations", ["a", "b"], ["rho"], """SELECT a, b, avg(rho) FILTER (WHERE NOT isnan(rho)) AS rho FROM (SELECT date, x.k AS a, y.k AS b, corr(x.rk, y.rk) AS rho FROM rk x JOIN rk y USING (date, DTID) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
        [*QC, SEG, MOM, "rk AS (SELECT date, DTID, k, rank() OVER (PARTITION BY date, k ORDER BY x) + (count(*) OVER (PARTITION BY date, k, x) - 1) / 2.0 AS rk FROM (SELECT date, DTID, unnest(['m1', 'std', 'skew']) AS k, unnest([m1, std, skew]) AS x FROM mc))"])
 def _(spark, d):
     return V.rank_correlations(D.moments(qv(spark, d), TAUS), ["m1", "std", "skew"])
