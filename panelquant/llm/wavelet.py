@@ -12,18 +12,20 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelquant.llm.common import fresh_path, only, parallelism, slices, written
+from panelquant.llm.common import fresh_path, only, parallelism, slices, typed, written
 from panelquant.llm.files import get, put
 
 MAGIC, STEP = b"WVLT0001", 512
 FILE_TOKENS = 4 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Plain words whose ids a worker remembers; half as many other forms.
+REMEMBERED = 1_200_000
 
 
 class Shard:
@@ -38,15 +40,17 @@ class Shard:
         cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, ones = [], [], []
         for b in range(bits - 1, -1, -1):
-            bit = (cur >> b & 1).astype(bool)
+            bit = (cur & cur.dtype.type(1 << b)) != 0
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (STEP // 8), np.uint8)])
             planes.append(packed)
             per = np.bitwise_count(packed.view(np.uint64)).reshape(-1, STEP // 64).sum(1) if len(packed) else np.zeros(0, np.int64)
             ones.append(np.concatenate([[0], np.cumsum(per)]).astype(np.uint32))
-            low = cur[~bit]
+            low, new = np.flatnonzero(~bit), np.empty_like(cur)
             zeros.append(len(low))
-            cur = np.concatenate([low, cur[bit]])
+            np.take(cur, low, out=new[:len(low)])
+            np.take(cur, np.flatnonzero(bit), out=new[len(low):])
+            cur = new
         return cls(len(ids), bits, planes, zeros, ones, list(doc_ids), np.asarray(starts, np.int64))
 
     def parts(self) -> Iterator[bytes]:
@@ -135,8 +139,8 @@ class Shard:
             k = self.bits - 1 - b
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
-            up[~bit] = cur[:self.zeros[k]]
-            up[bit] = cur[self.zeros[k]:] | kind(1 << b)
+            up[np.flatnonzero(~bit)] = cur[:self.zeros[k]]
+            up[np.flatnonzero(bit)] = cur[self.zeros[k]:] | kind(1 << b)
             cur = up
         return cur
 
@@ -144,29 +148,48 @@ class Shard:
 class Words:
     """Ids of texts through the library, each word encoded once while remembered.
 
-    The tokeniser drops white space and never joins what it separates, so a text's ids are those of its words in turn.
+    The tokeniser drops white space and never joins what it separates, so a text's ids are those of its words in turn.  It lowers letters
+    and cuts between a letter and a comma or full stop that ends a word, so such forms share the ids of the plain word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode_batch, {}
+        t = Tokenizer.from_file(path)
+        self.encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.code = "H" if t.get_vocab_size() <= 1 << 16 else "I"  # two bytes an id if all ids allow
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.forms: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(w: str) -> tuple[str, str]:
+        """The plain word and a closing mark; words with other than ASCII characters or the start of a special token stay as they are."""
+        if not w.isascii() or "<|" in w:
+            return w, ""
+        w = w.lower()
+        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." and "a" <= w[-2] <= "z" else (w, "")
 
     def ids(self, texts: list[str | None], end: int) -> list[bytes]:
-        words = [(t or "").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        found = {}
-        for k in range(0, len(new), 10_000):
-            part = new[k:k + 10_000]
-            found.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.encode(part, add_special_tokens=False))))
-        if len(self.known) < REMEMBERED:
-            self.known.update(found)
-            look = self.known.__getitem__
+        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        forms, plain = self.forms, self.plain
+        new = [(w, *self.parts(w)) for w in set(chain.from_iterable(words)).difference(forms)]
+        need = list({x for _, x, _ in new}.union(y for _, _, y in new).difference(plain))
+        fresh = {}
+        for k in range(0, len(need), 10_000):
+            part = need[k:k + 10_000]
+            fresh.update(zip(part, [array(self.code, e.ids).tobytes() for e in self.encode(part, add_special_tokens=False)]))
+        at = lambda x: fresh[x] if x in fresh else plain[x]
+        found = {w: at(x) + at(y) if y else at(x) for w, x, y in new}
+        if len(plain) < REMEMBERED:
+            plain.update(fresh)
+        if len(forms) < REMEMBERED // 2:
+            forms.update(found)
+            look = forms.__getitem__
         else:
-            known = self.known
-            look = lambda w: found[w] if w in found else known[w]
-        tail = np.array([end], "<u4").tobytes()
+            look = lambda w: found[w] if w in found else forms[w]
+        tail = array(self.code, [end]).tobytes()
         return [b"".join(map(look, ws)) + tail for ws in words]
 
 
@@ -174,20 +197,20 @@ _words: dict[str, Words] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, two bytes each if all ids of the text allow, else four), wide (boolean), n_tokens; null text has the end id only."""
+    """doc_id, ids (little-endian, two bytes each if the vocabulary allows, else four), wide (boolean), n_tokens; null text has the end id only."""
     d = only(docs, doc_id=doc_id, text=text)
+    kind, arrow = typed(d, "doc_id")
 
     def run(batches):
         import pyarrow as pa
 
-        w = _words.setdefault(tokenizer, None) or _words.update({tokenizer: Words(tokenizer)}) or _words[tokenizer]
+        w = _words.get(tokenizer) or _words.setdefault(tokenizer, Words(tokenizer))
         for ids, texts in slices(batches, ["doc_id", "text"], 1 << 20):
-            raw = [np.frombuffer(x, "<u4") for x in w.ids(texts, end_id)]
-            wide = [bool(x.max() > 65535) for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([(x if l else x.astype("<u2")).tobytes() for x, l in zip(raw, wide)], pa.binary()), pa.array(wide), pa.array(list(map(len, raw)), pa.int64())],
+            raw, size = w.ids(texts, end_id), w.kind.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(raw, pa.binary()), pa.array([size == 4] * len(raw)), pa.array([len(x) // size for x in raw], pa.int64())],
                                              names=["doc_id", "ids", "wide", "n_tokens"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary, wide boolean, n_tokens bigint")
+    return d.mapInArrow(run, f"doc_id {kind}, ids binary, wide boolean, n_tokens bigint")
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
