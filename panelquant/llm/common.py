@@ -41,6 +41,15 @@ def typed(df: DataFrame, column: str):
     return kind.simpleString(), to_arrow_type(kind)
 
 
+BATCH_BYTES = 3 << 20  # below a block of texts
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; the session's Arrow batches are held to a few MB from here on, as rows are whole texts and a batch stands in several buffers at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -52,6 +61,7 @@ def deal(df: DataFrame, key: Column | str) -> DataFrame:
 
 def slices(batches: Iterator, columns: list[str], limit: int = 4 << 20, sized: str = "text") -> Iterator[list[list]]:
     """Lists of values per column, cut so that one piece has about `limit` bytes of the sized column (a longer single text stays whole)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for b in batches:
@@ -64,6 +74,7 @@ def slices(batches: Iterator, columns: list[str], limit: int = 4 << 20, sized: s
             size += int(n[i])
         if start < len(n):
             yield [b.column(c).slice(start).to_pylist() for c in columns]
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

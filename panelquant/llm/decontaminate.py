@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelquant.llm.common import only, slices, typed
+from panelquant.llm.common import only, slices, small_batches, typed
 
 #: Text bytes of a benchmark per automaton: about 300,000 windows, 3 million nodes.
 AUTOMATON_BYTES = 2 << 20
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str =
     Null and empty texts have no words; an item of fewer than `window` words is one window, one without words none.  Repeated rows give
     repeated results; items with a null id share the empty id.  Empty tables give no rows, an empty benchmark no hits.
     """
-    d = only(docs, doc_id=doc_id, text=text)
+    d = small_batches(only(docs, doc_id=doc_id, text=text))
     kind, arrow = typed(d, "doc_id")
     fields = f"doc_id {kind}, text string, runs array<bigint>, items array<string>"
     d = d.select("doc_id", "text", F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items"))
@@ -136,7 +136,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "
     import pyarrow as pa
 
     for part in chunks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        shared = small_batches(docs).sparkSession.sparkContext.broadcast(part)
 
         def step(batches, shared=shared, name=uuid.uuid4().hex):
             m = _matcher(shared, name, window)

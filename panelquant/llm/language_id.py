@@ -15,13 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelquant.llm.common import only, slices, typed
+from panelquant.llm.common import only, slices, small_batches, typed
 from panelquant.llm.mixing import draw
 
 ORDER = 3
 PAD = b" " * ORDER  # the context before a text
 #: Bounds of a model: languages, different bytes with a code of their own, and contexts of the full order.
-LANGUAGES, SYMBOLS, CONTEXTS = 64, 127, 32768
+LANGUAGES, SYMBOLS, CONTEXTS = 64, 95, 16384
+PIECE = 1 << 18  # bytes of text scored at once
 
 
 @dataclass
@@ -53,7 +54,7 @@ def grams(data: bytes) -> np.ndarray:
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 2000) -> DataFrame:
     """(lang, gram, n) over the sample of labelled documents."""
-    d = only(docs, doc_id=doc_id, text=text, lang=lang).where("text is not null and lang is not null")
+    d = small_batches(only(docs, doc_id=doc_id, text=text, lang=lang)).where("text is not null and lang is not null")
     sizes = d.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -163,15 +164,10 @@ def code_lengths(model: Model, tables: tuple, texts: list[bytes]) -> np.ndarray:
     return sums[first + n] - sums[first] + ((other[first + n] - other[first]) * np.log2(max(model.others, 1)))[:, None]
 
 
-_cache: dict = {}
-
-
 def _loaded(shared) -> tuple:
+    """The model and its tables; built per task and not kept, so that the workers of later stages do not hold them."""
     m = shared.value
-    if id(m) not in _cache:
-        _cache.clear()
-        _cache[id(m)] = (m, m.tables() if m else None)
-    return _cache[id(m)]
+    return m, m.tables() if m else None
 
 
 def decide(model: Model | None, tables, texts: list) -> tuple[list, list, list]:
@@ -195,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     Null texts and texts without letters are `und` with score 0 and no bits; so is every text without a model.  Ties go to the language
     first in alphabetical order.
     """
-    d = only(docs, doc_id=doc_id, text=text)
+    d = small_batches(only(docs, doc_id=doc_id, text=text))
     shared = d.sparkSession.sparkContext.broadcast(model)
     kind, arrow = typed(d, "doc_id")
 
@@ -203,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         import pyarrow as pa
 
         m, tables = _loaded(shared)
-        for ids, texts in slices(batches, ["doc_id", "text"], 1 << 20):
+        for ids, texts in slices(batches, ["doc_id", "text"], PIECE):
             lang, score, rate = decide(m, tables, texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
@@ -212,7 +208,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
     """Rows of docs whose language is told with at least that score; all columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
@@ -220,7 +216,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.5, text: str
         m, tables = _loaded(shared)
         for b in batches:
             keep: list[bool] = []
-            for (texts,) in slices([b], [text], 1 << 20, text):
+            for (texts,) in slices([b], [text], PIECE, text):
                 lang, score, _ = decide(m, tables, texts)
                 keep += [l != "und" and s >= least for l, s in zip(lang, score)]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -25,7 +25,7 @@ from panelquant.llm.repeats import known, look_up, merged_counts, mix, per_block
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 PARTS = 32  # hash ranges of the suffix filter
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
-_SIZE = 1 << 20
+_SIZE = 1 << 18  # bytes of text hashed at once
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     ids count only where no other id is there.  Empty tables give no rows.
     """
     num, den = threshold
-    count = min(parallelism(docs.sparkSession), 65536)
+    count = min(2 * parallelism(docs.sparkSession), 65536)
     blocks = write_blocks(docs, describe(words), doc_id, text, **({"block_bytes": block_bytes} if block_bytes else {}))
     d = blocks.select("path", F.explode("docs").alias("x")).select("path", "x.doc_id", "x.idx", "x.n", "x.sig")
     each = written(d.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("path", "idx")).alias("home")), "classes")

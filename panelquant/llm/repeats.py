@@ -12,17 +12,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from panelquant.llm.common import fresh_path, only, parallelism, slices, written
+from panelquant.llm.common import fresh_path, only, parallelism, slices, small_batches, written
 from panelquant.llm.files import get, put
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _LOW = np.uint64((1 << 48) - 1)
 MOST = 65535  # documents per key are counted up to here; more share the last rank
 
 
 def write_blocks(docs: DataFrame, describe: Callable | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(path, docs) per block, the list written; docs holds doc_id, n and sig per document if `describe(texts) -> (ns, sigs)` is given."""
-    d, out = only(docs, doc_id=doc_id, text=text), fresh_path(docs.sparkSession, "blocks")
+    d, out = small_batches(only(docs, doc_id=doc_id, text=text)), fresh_path(docs.sparkSession, "blocks")
     if "://" not in out:
         out = f"file://{out}"
 
@@ -72,7 +72,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Keys as (range, low 48 bits), and counts."""
     n = (len(raw) - 4) // 8
     low = np.frombuffer(raw, "<u4", n, 4).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 + 4 * n).astype(np.uint64) << np.uint64(32)
-    return low | np.uint64(int.from_bytes(raw[:4], "little") << 48), np.frombuffer(raw, "<u2", n, 4 + 6 * n).astype(np.int64)
+    return low | np.uint64(int.from_bytes(raw[:4], "little") << 48), np.frombuffer(raw, "<u2", n, 4 + 6 * n)
 
 
 def short(keys: np.ndarray, count: int) -> np.ndarray:
@@ -115,8 +115,9 @@ def repeated_keys(tasks: DataFrame, keys_of: Callable[[dict], Iterator[tuple[np.
         del keys
         order = np.argsort(k, kind="stable")
         first = np.nonzero(np.concatenate([[True], k[order[1:]] != k[order[:-1]]]))[0]
-        total = np.minimum(np.add.reduceat(np.concatenate(ns)[order], first), MOST)
-        n = np.empty(len(k), np.int64)
+        total = np.minimum(np.add.reduceat(np.concatenate(ns)[order], first, dtype=np.int64), MOST).astype(np.uint16)
+        del ns
+        n = np.empty(len(k), np.uint16)
         n[order] = np.repeat(total, np.diff(np.append(first, len(k))))
         for i, (path, r) in enumerate(zip(paths, rs)):
             own, many = k[at[i]:at[i + 1]], n[at[i]:at[i + 1]]

@@ -48,7 +48,7 @@ class Block:
         fit = self.sizes >= LENGTH
         np.add.at(edge, self.at[:-1][fit], 1)
         np.add.at(edge, self.at[:-1][fit] + self.sizes[fit] - LENGTH + 1, -1)
-        valid = np.cumsum(edge[:-1]) > 0
+        valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
         for a in range(0, n, PIECE):
             ok = valid[a:a + PIECE]
             if not ok.any():
@@ -320,7 +320,7 @@ def removed(block: Block, payloads: list[bytes] | None, answers: list[bytes] | N
                 seg = low[at] + k
                 np.add.at(edge, s.p[at] - b[seg], 1)
                 np.add.at(edge, s.p[at] - a[seg] + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
@@ -331,7 +331,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows.
     """
     spark = docs.sparkSession
-    count = min(parallelism(spark), 65536)
+    count = min(2 * parallelism(spark), 65536)
     blocks = write_blocks(docs, None, doc_id, text, **({"block_bytes": block_bytes} if block_bytes else {})).select("path")
     keys = written(repeated_keys(blocks, block_keys, count), "anchors", "uncompressed")
     back = exchange_runs(per_block(blocks, payloads=keys), count)

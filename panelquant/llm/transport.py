@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from panelquant.llm.common import only, slices, typed, written
+from panelquant.llm.common import only, slices, small_batches, typed, written
 
 #: Fixed values of the format.
 PACKET, SYNC, PRIVATE_STREAM, PRIVATE_PES = 188, 0x47, 0xBD, 0x06
@@ -161,7 +161,7 @@ def padded(text: str | None) -> bytes:
 
 def mux(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media for every row: the text's UTF-8 bytes (null: none) padded with zero bytes to a positive multiple of 64."""
-    d = only(docs, doc_id=doc_id, text=text)
+    d = small_batches(only(docs, doc_id=doc_id, text=text))
     kind, arrow = typed(d, "doc_id")
 
     def run(batches):

@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelquant.llm.common import fresh_path, only, parallelism, slices, typed, written
+from panelquant.llm.common import fresh_path, only, parallelism, slices, small_batches, typed, written
 from panelquant.llm.files import get, put
 
 MAGIC, STEP = b"WVLT0001", 512
@@ -198,7 +198,7 @@ _words: dict[str, Words] = {}
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, two bytes each if the vocabulary allows, else four), wide (boolean), n_tokens; null text has the end id only."""
-    d = only(docs, doc_id=doc_id, text=text)
+    d = small_batches(only(docs, doc_id=doc_id, text=text))
     kind, arrow = typed(d, "doc_id")
 
     def run(batches):
