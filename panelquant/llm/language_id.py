@@ -3,8 +3,11 @@
 Each language has a byte context tree of variable order (contexts of 0 to 3 bytes) with symbol counts.  A byte is coded in the longest
 context that the tree holds; an unseen byte costs an escape (escape method C: as many escape counts as different symbols) and is tried
 one byte shorter, with the symbols of the longer context excluded, down to a uniform code.  Statistics are frozen after training, so the
-cost of a byte in a context is a number: all trees are flattened to one table (context, byte) -> bits per language, and a text's exact
-code length is a sum of table look-ups.  The shortest code names the language.
+cost of a byte in a context is a number, and a text's exact code length is a sum of look-ups.  The shortest code names the language.
+
+Every byte and every context of the sample is kept, in sorted tables per language: a language's share of the model follows from its own
+sample alone.  What a longer context has seen its shorter one has seen too, so the exclusion needs two numbers a context and no
+(context, byte) table.  Look-ups are made once per different 4-byte string of a block of text, language by language.
 
 Training reads a hash-chosen sample of at most about `per_language` labelled documents of each language; prediction reads every text whole.
 """
@@ -15,35 +18,32 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelquant.llm.common import only, slices, small_batches, typed
+from panelquant.llm.common import only, slices, small_batches, typed, written
 from panelquant.llm.mixing import draw
 
 ORDER = 3
 PAD = b" " * ORDER  # the context before a text
-#: Bounds of a model: languages, different bytes with a code of their own, and contexts of the full order.
-LANGUAGES, SYMBOLS, CONTEXTS = 64, 95, 16384
+#: Different bytes with a code of their own, and an optional bound on the contexts of the full order: None keeps all that the sample has.
+SYMBOLS, CONTEXTS = 256, None
+SMALL_LABELS = 200_000  # labels that may be sent to all tasks
 PIECE = 1 << 18  # bytes of text scored at once
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol number; the last number stands for all other bytes
+    symbol: np.ndarray  # byte -> symbol number; the last number stands for the bytes that no sampled text holds
     others: int  # bytes behind the last symbol
-    ids: np.ndarray  # context numbers of the full order
-    rows: np.ndarray  # (tree rows, symbols, languages) bits; see `tables`
-    parents: tuple  # context numbers of the shorter orders
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row of every possible context of the full order, and the flat cost table."""
-        a = int(self.symbol.max()) + 1
-        row = np.zeros(1, np.int32)
-        at = 1
-        for k, ids in enumerate((*self.parents, self.ids), 1):
-            row = np.tile(row, a)  # a longer context falls back to the one without its first byte
-            row[ids] = np.arange(at, at + len(ids), dtype=np.int32)
-            at += len(ids)
-        return row, self.rows.reshape(-1, len(self.languages))
+    ids: np.ndarray  # contexts of the full order, over all languages
+    cuts: list  # per language and order: the grams' and the contexts' part of the flat arrays
+    keys: np.ndarray  # grams (context and byte), sorted in each part
+    logs: np.ndarray  # log2 of a gram's count
+    contexts: np.ndarray  # contexts, sorted in each part
+    rows: np.ndarray  # (contexts, 4) bits: denominator, escape, and both in the next shorter context without the symbols seen here
+
+    def tables(self) -> list:
+        """The tree of each language: (keys, logs, contexts, rows) of every order."""
+        return [[(self.keys[g], self.logs[g], self.contexts[c], self.rows[c]) for g, c in orders] for orders in self.cuts]
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -55,13 +55,9 @@ def grams(data: bytes) -> np.ndarray:
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 2000) -> DataFrame:
     """(lang, gram, n) over the sample of labelled documents."""
     d = small_batches(only(docs, doc_id=doc_id, text=text, lang=lang)).where("text is not null and lang is not null")
-    sizes = d.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return d.sparkSession.createDataFrame([], "lang string, gram bigint, n bigint")
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in sizes])
-    sample = d.where(draw(F.col("doc_id")) < share).select("lang", "text")
+    sizes = written(d.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "labels")
+    few = sizes.count() <= SMALL_LABELS
+    sample = d.join(F.broadcast(sizes) if few else sizes, "lang").where(draw(F.col("doc_id")) < F.col("share")).select("lang", "text")
 
     def tally(batches):
         import pyarrow as pa
@@ -81,61 +77,81 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
 
 
 def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """Flattens the trees of all languages; (lang number, gram, n) are the counts."""
+    """Trees of all languages; (lang number, gram, n) are the counts."""
     byte_n = np.bincount(gram & 255, n, 256)
-    own = np.sort(np.argsort(-byte_n, kind="stable")[:SYMBOLS])
-    own = own[byte_n[own] > 0]
-    symbol = np.full(256, len(own), np.uint8)
+    own = np.flatnonzero(byte_n > 0)
+    symbol = np.full(256, len(own), np.int16)
     symbol[own] = np.arange(len(own))
-    a, count = len(own) + 1, len(languages)
-    s = [symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    contexts = [np.zeros(len(gram), np.int64), s[2], s[1] * a + s[2], (s[0] * a + s[1]) * a + s[2]]
-    kept = [np.array([0])]
-    for k in (1, 2, 3):
-        ids, at = np.unique(contexts[k], return_inverse=True)
-        if k == ORDER and len(ids) > CONTEXTS:
-            ids = np.sort(ids[np.argsort(-np.bincount(at, n), kind="stable")[:CONTEXTS]])
-        kept.append(ids)
-    rows = np.zeros((sum(map(len, kept)), a, count), np.float32)
-    starts = np.cumsum([0, *map(len, kept)])
-    for g in range(count):
-        mine = lang == g
-        level, bits_before = [], None
-        for k in range(ORDER + 1):
-            c, ids = contexts[k][mine], kept[k]
-            at = np.minimum(np.searchsorted(ids, c), len(ids) - 1) if len(ids) else c
-            ok = ids[at] == c if len(ids) else np.zeros(len(c), bool)
-            m = np.bincount(at[ok] * a + s[3][mine][ok], n[mine][ok], len(ids) * a).reshape(len(ids), a)
-            level.append(m)
-            if k:
-                up = np.searchsorted(kept[k - 1], ids % a ** (k - 1)) if k > 1 else np.zeros(len(ids), np.int64)
-                shorter = level[k - 1][up]
-            else:
-                shorter = np.ones((1, a))  # uniform below order 0
-            # cost of a symbol below this context once it has escaped: the shorter context without the symbols seen here
-            lower = escaped(shorter, m > 0, bits_before[up] if k else None)
-            q, total = (m > 0).sum(1, keepdims=True), m.sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bits = np.where(m > 0, np.log2((total + q) / m), np.where(q > 0, np.log2((total + q) / np.maximum(q, 1)), 0) + lower)
-            rows[starts[k]:starts[k + 1], :, g] = bits
-            bits_before = lower
-    return Model(languages, symbol, 256 - len(own), kept[3], rows, (kept[1], kept[2]))
-
-
-def escaped(shorter: np.ndarray, excluded: np.ndarray, lower: np.ndarray | None) -> np.ndarray:
-    """Bits of each symbol in the shorter context with symbols excluded; lower are the bits after a further escape from it."""
-    left = np.where(excluded, 0, shorter)
-    total, q = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-    if lower is None:  # the uniform code has no escape
-        return np.where(left > 0, np.log2(np.maximum(total, 1)), 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        direct = np.log2((total + q) / left)
-        further = np.where(q > 0, np.log2((total + q) / np.maximum(q, 1)), 0) + lower
-    return np.where(left > 0, direct, np.where(excluded, 0, further))
+    ids, at = np.unique(gram >> 8, return_inverse=True)
+    if CONTEXTS is not None and len(ids) > CONTEXTS:
+        ids = np.sort(ids[np.argsort(-np.bincount(at, n), kind="stable")[:CONTEXTS]])
+    order = np.argsort(lang, kind="stable")
+    ends = np.searchsorted(lang[order], np.arange(len(languages) + 1))
+    parts: tuple = ([], [], [], [])
+    cuts, grams_at, contexts_at = [], 0, 0
+    for g in range(len(languages)):
+        mine = order[ends[g]:ends[g + 1]]
+        cuts.append([])
+        for part in tree(gram[mine], n[mine], int(symbol.max()) + 1, None if CONTEXTS is None else ids):
+            cuts[-1].append((slice(grams_at, grams_at := grams_at + len(part[0])), slice(contexts_at, contexts_at := contexts_at + len(part[2]))))
+            for all_, one in zip(parts, part):
+                all_.append(one)
+    return Model(languages, symbol, 256 - len(own), ids, cuts, *[np.concatenate(x) for x in parts])
+
+
+def tree(gram: np.ndarray, n: np.ndarray, symbols: int, kept: np.ndarray | None) -> list[tuple]:
+    """(keys, logs, contexts, rows) of the orders 0 to ORDER of one language."""
+    out: list[tuple] = []
+    for k in range(ORDER + 1):
+        use = slice(None) if k < ORDER or kept is None else np.isin(gram >> 8, kept)
+        keys, at = np.unique(gram[use] & ((1 << 8 * k + 8) - 1), return_inverse=True)
+        m = np.bincount(at, n[use], len(keys))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        total, q = np.bincount(of, m, len(contexts)), np.bincount(of, minlength=len(contexts))
+        if k:  # what is left of the shorter context
+            up = np.searchsorted(last_keys, keys & ((1 << 8 * k) - 1))
+            above = np.searchsorted(last_contexts, contexts & ((1 << 8 * k - 8) - 1))
+            left, left_q = last_total[above] - np.bincount(of, last_m[up], len(contexts)), last_q[above] - q
+        else:  # uniform below order 0
+            left, left_q = symbols - q, np.zeros(len(q), np.int64)
+        lower = np.log2(np.maximum(left + left_q, 1))
+        rows = np.stack([np.log2(total + q), np.log2(total + q) - np.log2(q), lower, np.where(left_q > 0, lower - np.log2(np.maximum(left_q, 1)), 0)], 1)
+        out.append((keys.astype(np.uint32), np.log2(m).astype(np.float32), contexts.astype(np.uint32), rows.astype(np.float32)))
+        last_keys, last_m, last_contexts, last_total, last_q = keys, m, contexts, total, q
+    return out
+
+
+def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted numbers in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
+def gram_bits(orders: list[tuple], gram: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each gram after the three before it, in one language's tree."""
+    bits = np.zeros(len(gram))
+    left = np.arange(len(gram))  # not coded yet
+    inside = np.zeros(len(gram), bool)  # escaped from a longer context
+    lower = escape = np.zeros(len(gram))
+    for k in range(ORDER, -1, -1):
+        keys, logs, contexts, rows = orders[k]
+        g = gram[left] & np.uint32((1 << 8 * k + 8) - 1)
+        at, seen = find(contexts, g >> np.uint32(8))
+        row = rows[at] if len(rows) else np.zeros((len(g), 4), np.float32)
+        at, hit = find(keys, g)
+        miss = np.where(inside, escape, np.where(seen, row[:, 1], 0))
+        bits[left] += miss
+        bits[left[hit]] += np.where(inside, lower, row[:, 0])[hit] - logs[at[hit]] - miss[hit]
+        rest = ~hit
+        left, inside, lower, escape = left[rest], (inside | seen)[rest], row[rest, 2], row[rest, 3]
+    bits[left] += lower
+    return bits
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 2000) -> Model | None:
-    """Model of all languages in docs; None without a labelled text.  Its size is bounded by the sample and the model's bounds."""
+    """Model of all languages in docs; None without a labelled text.  Its size is bounded by the sample."""
     t = count_grams(docs, text, lang, doc_id, per_language).toArrow()
     if not t.num_rows:
         return None
@@ -150,22 +166,26 @@ def has_letter(raw: bytes) -> bool:
     return raw.upper() != raw.lower() or any(c.isalpha() for c in raw.decode())
 
 
-def code_lengths(model: Model, tables: tuple, texts: list[bytes]) -> np.ndarray:
+def code_lengths(model: Model, tables: list, texts: list[bytes]) -> np.ndarray:
     """(texts, languages) bits of whole texts."""
-    row, cost = tables
-    a = int(model.symbol.max()) + 1
-    s = model.symbol[np.frombuffer(PAD + PAD.join(texts) if texts else PAD, np.uint8)].astype(np.int32)
-    at = row[(s[:-3] * a + s[1:-2]) * a + s[2:-1]] * np.int32(a) + s[3:]
-    sums = np.zeros((len(at) + 1, len(model.languages)))
-    np.cumsum(cost[at], axis=0, out=sums[1:], dtype=np.float64)
-    n = np.array([len(t) for t in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(n[:-1] + ORDER)]) if len(n) else n
-    other = np.concatenate([[0], np.cumsum(s[3:] == a - 1)])
-    return sums[first + n] - sums[first] + ((other[first + n] - other[first]) * np.log2(max(model.others, 1)))[:, None]
+    out = np.zeros((len(texts), len(model.languages)))
+    data = PAD + PAD.join(texts)
+    n = np.full(max(2 * len(texts) - 1, 0), ORDER)  # texts and the spaces between them
+    n[::2] = [len(t) for t in texts]
+    owner = np.full(len(n), len(texts))
+    owner[::2] = np.arange(len(texts))
+    owner = np.repeat(owner, n)
+    unknown = np.where(model.symbol == 256 - model.others, np.log2(max(model.others, 1)), 0.0)
+    for start in range(0, len(owner), PIECE):
+        gram, at = np.unique(grams(data[start:start + PIECE + ORDER]), return_inverse=True)
+        mine, more = owner[start:start + PIECE], unknown[gram & np.uint32(255)]
+        for k, orders in enumerate(tables):
+            out[:, k] += np.bincount(mine, (gram_bits(orders, gram) + more)[at], len(texts) + 1)[:-1]
+    return out
 
 
 def _loaded(shared) -> tuple:
-    """The model and its tables; built per task and not kept, so that the workers of later stages do not hold them."""
+    """The model and its tables; loaded per task and not kept, so that the workers of later stages do not hold them."""
     m = shared.value
     return m, m.tables() if m else None
 

@@ -96,3 +96,40 @@ def test_model_bounds(monkeypatch):
     m = L.build(["a"], np.zeros(len(g), np.int64), g, np.ones(len(g)))
     assert len(m.ids) == 5 and np.isfinite(m.rows).all()
     assert int(m.symbol.max()) <= L.SYMBOLS
+
+
+def test_minority_scripts_keep_their_bytes_and_contexts(spark):
+    """Bytes and contexts of two small languages in scripts of their own, beside large ones that fill the old bounds."""
+    rng = random.Random(5)
+    word = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randint(2, 7)))
+    gen = lambda chars, n: " ".join(word(chars) for _ in range(n))
+    latin = [chr(c) for c in range(33, 127)]
+    corpus = {f"l{k}": [gen(latin, 400) for _ in range(25)] for k in range(2)}
+    scripts = {"ka": [chr(c) for c in range(0x10D0, 0x10F1)], "hy": [chr(c) for c in range(0x561, 0x587)]}
+    corpus |= {x: [gen(c, 25) for _ in range(3)] for x, c in scripts.items()}
+    model, _ = trained(spark, corpus)
+    assert len(model.ids) > 16384 and int(model.symbol.max()) > 95
+    assert {chr(c).encode()[k] for cs in scripts.values() for c in map(ord, cs) for k in range(len(chr(c).encode()))} <= set(np.flatnonzero(model.symbol < 256 - model.others))
+    texts = [gen(c, 6) for c in scripts.values() for _ in range(10)]
+    got = L.code_lengths(model, model.tables(), [t.encode() for t in texts])
+    for t, row in zip(texts[::5], got[::5]):
+        for name, bits in zip(model.languages, row):
+            assert abs(bits - brute_bits(model, corpus[name], t)) < 1e-3 * (1 + bits), (t, name)
+    assert [model.languages[k] for k in got.argmin(1)] == ["ka"] * 10 + ["hy"] * 10
+
+
+def test_any_number_of_labels(spark):
+    """Dirty labels are languages of their own and stop nothing."""
+    corpus = {f"x{k:03d}": [f"w{k}q " * 9] for k in range(90)} | {"en": ["the and of to in is that it was"] * 3}
+    model, docs = trained(spark, corpus)
+    assert model.languages == sorted(corpus)
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs, model).collect()}
+    assert all(got[r["doc_id"]] == r["lang"] for r in docs.collect())
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    model, _ = trained(spark, {"de": ["der und die das ist nicht ein wort"] * 3, "en": ["the and of to in is that it was"] * 3})
+    texts = [b"the und of " * 40, b"", b"is", b"das it \xc3\xa9" * 30]
+    whole = L.code_lengths(model, model.tables(), texts)
+    monkeypatch.setattr(L, "PIECE", 37)
+    assert np.allclose(L.code_lengths(model, model.tables(), texts), whole) and not whole[1].any()
