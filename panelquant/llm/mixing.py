@@ -77,10 +77,18 @@ def cell_of(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 
 def fit_cells(cells: DataFrame, language_targets: dict[str, float] | None, source_power: float = 0.5, topic_power: float = 0.75, budget: float = 0.5, sweeps: int = 10) -> DataFrame:
-    """Cells (margins, n) with their probability p.  language_targets: shares of languages; without it they are flattened like sources."""
+    """Cells (margins, n) with their probability p.  language_targets: shares of languages; without it they are flattened like sources.
+
+    Languages without a share of their own ('' for null too) keep their flattened share, and the named ones divide what is left in the
+    given proportions: every filled cell has p > 0, and with no other language the named shares hold as they are.
+    """
     by_lang = flattened(cells, "lang", source_power)
     if language_targets:
-        by_lang = cells.sparkSession.createDataFrame(list(language_targets.items()), "lang string, target double")
+        named = cells.sparkSession.createDataFrame(list(language_targets.items()), "lang string, given double")
+        by_lang = by_lang.where("target > 0").join(F.broadcast(named), "lang", "left")
+        whole, rest, given = by_lang.agg(F.sum("target"), F.sum(F.when(F.col("given").isNull(), F.col("target"))), F.sum("given")).first()
+        left = 1 - (rest or 0.0) / (whole or 1.0)
+        by_lang = by_lang.select("lang", F.when(F.col("given").isNull(), F.col("target") / F.lit(whole or 1.0)).otherwise(F.col("given") * F.lit(left / (given or 1.0))).alias("target"))
     targets = {"source": flattened(cells, "source", source_power), "lang": by_lang, "topic": flattened(cells, "topic", topic_power)}
     return written(calibrate(rake(cells, targets, sweeps), budget).select(*MARGINS, "n", "w", "p"), "fitted")
 
@@ -94,7 +102,8 @@ def with_probability(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, language_targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, p, u, sampled for every document, repeated rows included.
 
-    Nulls in source or lang form a value of their own (empty string).  A document without words has no tokens; a cell without tokens is
+    Nulls in source or lang form a value of their own (empty string), which is drawn like any other: languages that language_targets does
+    not name share a flattened remainder (`fit_cells`).  A document without words has no tokens; a cell without tokens is
     sampled only if the budget is the whole corpus.  Rows with the same doc_id (null too) share their draw.  An empty table gives an empty
     result.
     """

@@ -54,6 +54,24 @@ def test_mix_rows_and_sample(spark):
     assert M.mix(d.where("false")).count() == 0 and M.sample(d.where("false")).count() == 0
 
 
+def test_null_and_unnamed_languages_are_drawn(spark):
+    """Languages without a target keep their flattened share; the named ones divide the rest as given."""
+    rows = [(k, "w " * 20, l, f"s{k % 2}") for k, l in enumerate(["en"] * 200 + ["de"] * 100 + [None] * 50 + ["it"] * 50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = M.mix(d, corpus_pipeline.LANGUAGES, budget=0.3, sweeps=20).collect()
+    assert all(r["p"] > 0 for r in got)
+    assert {r["lang"] for r in got if r["sampled"]} == {"en", "de", "", "it"}
+    by = Counter()
+    for r in got:
+        by[r["lang"]] += r["n_tokens"] * r["p"]
+    flat = {"en": 200 ** 0.5, "de": 100 ** 0.5, "": 50 ** 0.5, "it": 50 ** 0.5}
+    rest = (flat[""] + flat["it"]) / sum(flat.values())
+    want = {"en": (1 - rest) * 2 / 3, "de": (1 - rest) / 3, "": rest / 2, "it": rest / 2}
+    assert all(abs(by[l] / sum(by.values()) - w) < 1e-6 for l, w in want.items())
+    kept = M.sample(d, corpus_pipeline.LANGUAGES, budget=0.3, sweeps=20)
+    assert kept.where("lang is null").count() == sum(r["sampled"] for r in got if r["lang"] == "") > 0
+
+
 def plain_table(names, slots):
     owner, at = {}, {n: 0 for n in names}
     perm = {n: [(a + k * b) % slots for k in range(slots)] for n in names for a, b in [S.preferences(n, slots)]}
