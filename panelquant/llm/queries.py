@@ -103,7 +103,7 @@ def _url_sql() -> str:
 def op10(spark, d):
     """Verdict of every page under the rules, links taken from the pages' own canonical and refresh tags."""
     pages = table(spark, d, "pages")
-    return url_filters.judge_urls(pages, RULES, url_filters.links_from_html(pages))
+    return url_filters.judge_urls(pages, RULES, url_filters.links_from_html(pages, resolve=True))
 
 
 @query("op2_transport_stream")

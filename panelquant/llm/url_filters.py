@@ -29,14 +29,54 @@ def node_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.lit("://"), host_of(url), rest))
 
 
-def links_from_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) from `<link rel="canonical">` and `<meta http-equiv="refresh">` tags; only absolute targets count."""
-    tag = lambda name, mark: F.regexp_extract(F.col("html"), rf"(?is)<{name}\b(?=[^>]*{mark})[^>]*>", 0)
+def decoded(text: Column) -> Column:
+    """text with its numeric character references and the five named ones of XML replaced."""
+    pieces = F.split(text, "&")
+    named = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+    def one(p):
+        number = F.regexp_extract(p, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 0)
+        code = F.coalesce(F.conv(F.regexp_extract(number, r"^#[xX]([0-9A-Fa-f]+)", 1), 16, 10), F.conv(F.regexp_extract(number, r"^#([0-9]+)", 1), 10, 10)).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        out = F.when(valid, F.concat(F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32"), F.substr(p, F.length(number) + 1)))
+        for name, char in named.items():
+            out = out.when(F.startswith(p, F.lit(f"{name};")), F.concat(F.lit(char), F.substr(p, F.lit(len(name) + 2))))
+        return out.otherwise(F.concat(F.lit("&"), p))
+
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute URL of a target on a page (RFC 3986), without the fragment; null for other schemes and for a page without `://`."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    steps = F.split(F.regexp_replace(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own)), r"/(\.\.?)$", "/$1/"), "/")
+    walk = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))))
+    return (F.when(F.rlike(target, F.lit(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://")), target)
+            .when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")) | (root == ""), F.lit(None).cast("string"))
+            .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+            .when(own != "", F.concat(root, F.array_join(walk, "/"), query))
+            .when(query != "", F.concat(root, path, query)))
+
+
+def links_from_html(pages: DataFrame, url: str = "url", html: str = "html", resolve: bool = False) -> DataFrame:
+    """(src, dst) from all `<link rel="canonical">` and `<meta http-equiv="refresh">` tags of a page, entities decoded.
+
+    With resolve, relative targets are resolved against the page's `<base href>` or URL; without it only absolute targets count.
+    """
+    tags = lambda name, mark: F.regexp_extract_all(F.col("html"), F.lit(rf"(?is)<{name}\b(?=[^>]*{mark})[^>]*>"), F.lit(0))
+    value = lambda tag, key: decoded(F.regexp_extract(tag, rf"""(?is)\b{key}\s*=\s*["']?([^"'\s>]+)""", 1))
     p = only(pages, url=url, html=html).where(F.col("html").isNotNull())
-    canonical = F.regexp_extract(tag("link", r"""\brel\s*=\s*["']?canonical\b"""), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(tag("meta", r"""\bhttp-equiv\s*=\s*["']?refresh\b"""), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    to = p.select(node_of(F.col("url")).alias("src"), F.explode(F.array(canonical, refresh)).alias("to"))
-    return to.select("src", node_of(F.col("to")).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    canonical = F.transform(tags("link", r"""\brel\s*=\s*["']?canonical\b"""), lambda t: value(t, "href"))
+    refresh = F.transform(tags("meta", r"""\bhttp-equiv\s*=\s*["']?refresh\b"""), lambda t: value(t, "url"))
+    first_base = value(F.regexp_extract(F.col("html"), r"""(?is)<base\b(?=[^>]*\bhref)[^>]*>""", 0), "href")
+    to = p.select("url", first_base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to")).where(F.col("to") != "")
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")))
+    target = resolved(base, F.col("to")) if resolve else F.col("to")
+    return to.select(node_of(F.col("url")).alias("src"), node_of(target).alias("dst")).where("src is not null and dst is not null and src <> dst")
 
 
 def rule_verdicts(urls: DataFrame, rules: list[tuple[str, str, str]], key: list[str]) -> DataFrame:

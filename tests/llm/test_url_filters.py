@@ -73,6 +73,34 @@ def test_links_from_tags(spark):
     assert sorted(map(tuple, U.links_from_html(p).collect())) == [("http://a.x/1", "http://b.x/?q"), ("http://a.x/1", "https://c.x/")]
 
 
+def test_targets_are_resolved_and_decoded(spark):
+    from urllib.parse import urljoin
+
+    targets = ["/r", "//C.y/q", "e", "../e?x=1", "./", "..", "../../../z", "?only=1", "#f", "http://o.z/a#b", "mailto:a@b", "/n?to=http://k.l/", "a/./b/../c"]
+    bases = ["http://a.x/p/q/r?s#t", "https://a.x", "http://a.x/"]
+    rows = [(b, f"<link rel=canonical href='{t}'>") for b in bases for t in targets]
+    want = set()
+    for b, t in [(b, t) for b in bases for t in targets if t not in ("#f", "mailto:a@b")]:
+        node = lambda u: u.split("#")[0].replace("C.y", "c.y")
+        if node(b) != node(urljoin(b, t)):
+            want.add((node(b), node(urljoin(b, t))))
+    got = {tuple(r) for r in U.links_from_html(spark.createDataFrame(rows, "url string, html string"), resolve=True).collect()}
+    assert got == want
+    text = ["a&amp;b", "&#38;amp;", "&#x26;c&#233;&#x1F600;!", "&lt;&gt;&quot;&apos;", "&nope;&&#0;&#xD800;", ""]
+    d = spark.createDataFrame([(t,) for t in text], "t string").select("t", U.decoded(F.col("t")).alias("u"))
+    assert {r["t"]: r["u"] for r in d.collect()} == dict(zip(text, ["a&b", "&amp;", "&cé😀!", "<>\"'", "&nope;&&#0;&#xD800;", ""]))
+
+
+def test_op10_follows_real_links(spark, tmp_path):
+    """Aliases by a relative target with an entity, a protocol-relative one, a second tag and a base tag, through the query."""
+    pages = [(1, "http://a.io/x/1", '<link rel="canonical" href="../y?a=1&amp;b=2">'), (2, "http://a.io/y?a=1&b=2", '<meta http-equiv="refresh" content="0; url=//bad.net/z">'),
+             (3, "http://b.io/", '<link rel=canonical href="http://b.io/"><link rel=canonical href="http://bad.net/2">'), (4, "http://c.io/p", '<base href="http://bad.net/q/"><link rel=canonical href="r">'),
+             (5, "http://d.io/", "<p>none</p>"), (6, "http://e.io/m/n", '<link rel=canonical href="/k">'), (7, "http://e.io/k", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op10(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 50)] + [(None, 1), (5, 5)]
