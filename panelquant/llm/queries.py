@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import decontaminate, language_id, merkle, mixing, ngram_join, sharding, suffix_dedup, transport, url_filters, warc, wavelet
+from panelquant.llm import decontaminate, language_id, licenses, merkle, mixing, ngram_join, sharding, suffix_dedup, transport, url_filters, warc, wavelet
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,24 @@ def op11(spark, d):
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest(table(spark, d, "documents"), {"text": F.when(hit, low).otherwise(F.col("text"))}).drop("steps")
+
+
+def _license_sql() -> str:
+    """Every start at which a template's mandatory words stand in place, by one join on words."""
+    t = licenses.BASE + licenses.NOTICES
+    word = ", ".join(f"({k}, {p}, '{w.decode()}', {p in x.must})" for k, x in enumerate(t) for p, w in enumerate(x.words))
+    head = ", ".join(f"({k}, '{x.label}', {x.base}, {len(x.words)}, {len(x.must)}, {x.least[0]}, {x.least[1]})" for k, x in enumerate(t))
+    return f"""WITH tw(k, p, w, must) AS (VALUES {word}), th(k, label, base, n, musts, num, den) AS (VALUES {head}),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce({_FOLDED}, []) AS w FROM documents),
+    dw AS (SELECT row, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS w FROM d),
+    al AS (SELECT row, k, i - p AS start, count(*) AS c FROM dw JOIN tw USING (w) JOIN th USING (k) GROUP BY row, k, i - p HAVING count(*) FILTER (WHERE must) = any_value(musts)),
+    ok AS (SELECT row, label, base, start, c / n AS share FROM al JOIN th USING (k) WHERE c * den >= n * num)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM d LEFT JOIN (SELECT row, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY 1) x USING (row)"""
+
+
+@query("op13_license_scan", _license_sql())
+def op13(spark, d):
+    """Licenses named in every document, places of the base phrases, and the best share of a notice."""
+    return licenses.summary(licenses.scan(table(spark, d, "documents")))
