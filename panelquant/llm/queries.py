@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelquant.llm import decontaminate, language_id, licenses, merkle, mixing, ngram_join, sharding, suffix_dedup, transport, url_filters, warc, wavelet
+from panelquant.llm import decontaminate, language_id, lexical, licenses, merkle, mixing, ngram_join, sharding, suffix_dedup, transport, url_filters, warc, wavelet
 from panelquant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,19 @@ def _license_sql() -> str:
 def op13(spark, d):
     """Licenses named in every document, places of the base phrases, and the best share of a notice."""
     return licenses.summary(licenses.scan(table(spark, d, "documents")))
+
+
+_TERMS = r"regexp_extract_all(translate(regexp_replace(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ ]+')"
+
+
+@query("op12_lexical_search", f"""WITH dt AS MATERIALIZED (SELECT row, doc_id, t, count(*) AS tf FROM (SELECT row_number() OVER () AS row, doc_id, unnest({_TERMS}) AS t FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+    n AS MATERIALIZED (SELECT row, sum(tf)::BIGINT AS n FROM dt GROUP BY 1), s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM n),
+    m AS (SELECT row, 10 + (90 * n * nd) // l AS m FROM n, s),
+    w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM dt GROUP BY 1), s),
+    it AS (SELECT DISTINCT item, item_id, t FROM (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL)),
+    sc AS (SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM it JOIN w USING (t) JOIN dt USING (t) JOIN m USING (row) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM sc WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12(spark, d):
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
