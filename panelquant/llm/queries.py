@@ -33,34 +33,34 @@ def op1(spark, d):
 
 #: Target language shares of the mix.
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
-SWEEPS, ROUNDS, BUDGET = 10, 12, 0.5
+SWEEPS, BUDGET = 200, 0.5
 
 
-def _mix_sql() -> str:
-    """The fit and the calibration unrolled, one step per common table expression."""
+def _mix_sql(sweeps: int = 30) -> str:
+    """The fit unrolled until it stands still, one step per common table expression, and the calibration."""
     w = r"[^\x20\x09-\x0D]+"
     of = lambda c: f"(length(text) - length(regexp_replace(text, '[{c}]', '', 'g')))"
     out = [f"""d0 AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(coalesce(len(regexp_extract_all(text, '{w}')), 0) AS BIGINT) AS n_tokens FROM documents)""",
            f"""d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN text IS NULL THEN 'prose' WHEN {of('|')} * 5 >= greatest(n_tokens, 1) THEN 'table' WHEN {of('0-9')} * 20 >= greatest(length(text), 1) THEN 'numeric'
                WHEN {of(chr(92) + 'n')} * 12 >= greatest(n_tokens, 1) THEN 'lines' ELSE 'prose' END AS topic FROM d0)""",
            "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY ALL)"]
-    lang = " UNION ALL ".join(f"SELECT '{k}' AS lang, {v}::DOUBLE AS target" for k, v in LANGUAGES.items())
+    named = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LANGUAGES.items())
+    lang = f"""SELECT lang, CASE WHEN given IS NULL THEN t / whole ELSE given * ((1 - rest / whole) / given_sum) END AS target FROM (SELECT *, sum(t) OVER () AS whole, coalesce(sum(CASE WHEN given IS NULL THEN t END) OVER (), 0) AS rest,
+        sum(given) OVER () AS given_sum FROM (SELECT lang, pow(sum(n)::DOUBLE, 0.5) AS t FROM cells GROUP BY 1 HAVING sum(n) > 0) LEFT JOIN (VALUES {named}) g(lang, given) USING (lang))"""
     for m, t in (("source", "SELECT source, pow(sum(n)::DOUBLE, 0.5) AS target FROM cells GROUP BY 1"), ("lang", lang), ("topic", "SELECT topic, pow(sum(n)::DOUBLE, 0.75) AS target FROM cells GROUP BY 1")):
         out += [f"t0_{m} AS (SELECT * FROM ({t}) x WHERE {m} IN (SELECT {m} FROM cells WHERE n > 0))", f"t_{m} AS MATERIALIZED (SELECT {m}, target / (SELECT sum(target) FROM t0_{m}) AS share FROM t0_{m})"]
     out.append("w0 AS (SELECT *, n::DOUBLE AS w FROM cells)")
     k = 0
-    for _ in range(SWEEPS):
+    for _ in range(sweeps):
         for m in ("source", "lang", "topic"):
             k += 1
             out.append(f"""w{k} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.n, CASE WHEN s.s > 0 THEN a.w * (coalesce(t.share, 0) / s.s) ELSE 0 END AS w FROM w{k - 1} a
                 JOIN (SELECT {m}, sum(w) AS s FROM w{k - 1} GROUP BY 1) s USING ({m}) LEFT JOIN t_{m} t USING ({m}))""")
-    out.append("s0 AS (SELECT 0.0::DOUBLE AS s)")
-    for r in range(1, ROUNDS + 1):
-        out.append(f"""s{r} AS MATERIALIZED (SELECT greatest(s, coalesce(({BUDGET} * tot - capped) / nullif(free, 0), s)) AS s FROM (SELECT max(z.s) AS s, sum(n) AS tot, coalesce(sum(CASE WHEN z.s * w >= n THEN n END), 0) AS capped,
-            coalesce(sum(CASE WHEN z.s * w < n THEN w END), 0) AS free FROM w{k}, s{r - 1} z WHERE n > 0))""")
+    out.append(f"""sc AS MATERIALIZED (SELECT greatest(0.0, max(({BUDGET} * (SELECT sum(n) FROM cells) - (tot - rest_n)) / rest_w)) AS s FROM (SELECT sum(n) OVER () AS tot, sum(n) OVER o AS rest_n, sum(w) OVER o AS rest_w
+        FROM w{k} WHERE n > 0 AND w > 0 WINDOW o AS (ORDER BY n / w DESC)))""")
     return "WITH " + ",\n".join(out) + f"""
         SELECT doc_id, source, lang, topic, n_tokens, round(p, 9) AS p, u < p AS sampled FROM (
-        SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, CASE WHEN n > 0 THEN least(1.0, (SELECT s FROM s{ROUNDS}) * w / n) ELSE 0.0 END AS p,
+        SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, CASE WHEN n > 0 THEN least(1.0, (SELECT s FROM sc) * w / n) ELSE 0.0 END AS p,
         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)} AS u FROM d JOIN w{k} c USING (source, lang, topic)) x"""
 
 

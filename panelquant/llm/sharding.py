@@ -56,11 +56,10 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int =
     partitions they came in.  Empty tables stay empty.
     """
     table = docs.sparkSession.createDataFrame(list(enumerate(shards[k] for k in lookup_table(shards, slots))), "_slot int, _shard string")
-    placed = docs.withColumn("_slot", slot_of(docs[f"`{key}`"], slots)).join(F.broadcast(table), "_slot")
-    named = placed.withColumn(shard, F.col("_shard"))
-    if slot:
-        named = named.withColumn(slot, F.col("_slot"))
-    return named.drop("_slot", "_shard")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), slot_of(docs[f"`{key}`"], slots).alias("_slot"))  # no name of docs can clash
+    new = {shard: F.col("_shard"), **({slot: F.col("_slot")} if slot else {})}
+    placed = rows.join(F.broadcast(table), "_slot")
+    return placed.select(*[new.pop(c).alias(c) if c in new else placed["row"].getField(c).alias(c) for c in docs.columns], *[c.alias(n) for n, c in new.items()])
 
 
 def write_shards(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS, spread: int = 8, path: str | None = None) -> str:

@@ -40,6 +40,25 @@ def test_calibration_meets_budget(spark, budget):
     assert abs(sum(x["n"] * x["p"] for x in r) - min(budget, 1) * 1110) < 1e-6
 
 
+def test_budget_with_halving_weights(spark):
+    """Each cell is capped long before the next: no number of fixed rounds would do."""
+    rows = [(f"s{k}", 1000, 2.0 ** -k) for k in range(60)]
+    for budget in (0.1, 0.5, 0.9, 0.999):
+        r = M.calibrate(spark.createDataFrame(rows, "source string, n long, w double"), budget).collect()
+        assert abs(sum(x["n"] * x["p"] for x in r) / 60_000 - budget) < 1e-9
+        s = {round(x["p"] * x["n"] / x["w"], 3) for x in r if x["p"] < 1}
+        assert max(s) / min(s) - 1 < 1e-9
+
+
+def test_contradicting_targets_end_with_a_gap(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "y", 100)], "source string, lang string, n long")
+    targets = {"source": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, target double"), "lang": spark.createDataFrame([("x", 3.0), ("y", 1.0)], "lang string, target double")}
+    r = M.rake(cells, targets).collect()
+    assert min(x["gap"] for x in r) > 0.1 and abs(sum(x["w"] for x in r) - 1) < 1e-9
+    ok = M.rake(cells, {"source": targets["source"]}).collect()
+    assert max(x["gap"] for x in ok) <= 1e-12
+
+
 def test_mix_rows_and_sample(spark):
     d, rows = docs(spark)
     m = M.mix(d, {"en": 0.5, "de": 0.5}, budget=0.4)
@@ -114,6 +133,14 @@ def test_place_and_write(spark):
     assert S.place(d.where("false"), names).count() == 0
 
 
+def test_place_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a", "b", "c", "d")], "doc_id long, _shard string, _slot string, row string, `x.y` string")
+    r = S.place(d, ["p", "q"], slot="slot")
+    assert r.columns == [*d.columns, "shard", "slot"]
+    assert tuple(r.first())[:5] == (1, "a", "b", "c", "d")
+    assert S.place(r, ["p"], slot="slot").columns == r.columns
+
+
 def test_pipeline_equals_stages_by_hand(spark):
     """Every decision of the pipeline, taken again from the operators' tested brute-force forms on what the stage before kept."""
     from test_decontaminate import brute as windows
