@@ -5,7 +5,8 @@ hold them, rarest first.  Two classes with similarity t or more share an n-gram
 only one document holds can't be shared, so they take up places but send nothing: most documents drop out here.
 
 Candidates come from an equi-join on prefix n-grams under the length filter (sizes), the positional filter (what may still follow the shared
-places) and the suffix filter (overlap bound from counts per hash range), and are verified once per pair on the whole sets.
+places) and the suffix filter (overlap bound from counts per hash range), and are verified once per pair on the whole sets.  `links` returns
+all links; `near_duplicates` and `one_of_each` need only those that connect.
 
 A prefix n-gram of a large group of near copies would pair all its members.  So classes are first joined to one pivot per n-gram, the one
 with the fewest rare n-grams; what this links is contracted to components, and only pairs of different components are looked at later,
@@ -24,31 +25,33 @@ from panelquant.llm.repeats import known, look_up, merged_counts, mix, per_block
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 PARTS = 32  # hash ranges of the suffix filter
-_BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
 _SIZE = 1 << 18  # bytes of text hashed at once
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
-
-
-_tables: list[np.ndarray] = []
+LONG_WORD = 256  # bytes; longer words are hashed one by one
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a folded text: differences of prefix sums of a polynomial, brought to a common power and scrambled."""
-    a = np.frombuffer(text, np.uint8)
+    """64-bit hashes of the words of a folded text: eight bytes at a time, scrambled after each step, all words of a length together.
+
+    Long words go through BLAKE2.  Memory is a few times the number of words, not of bytes.
+    """
+    a = np.frombuffer(text + b" " * 8, np.uint8)
     w = np.concatenate([[False], a != 32, [False]])
     edge = np.nonzero(w[1:] != w[:-1])[0]
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    if not _tables or len(_tables[0]) <= len(a):
-        n = max(len(a), _SIZE)
-        _tables[:] = [_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)]
-    power, inverse = _tables
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:len(a)])])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start
+    eight = np.ndarray((len(text) + 1,), "<u8", a, strides=(1,))  # the eight bytes from each position on
+    h = mix(size.astype(np.uint64) * _ODD)
+    own, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(own):
+        left = np.minimum(size[own] - done, 8).astype(np.uint64)
+        block = eight[start[own] + done] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        h[own] = mix((h[own] ^ block) * _ODD)
+        done += 8
+        own = own[size[own] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(text[start[k]:end[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
@@ -190,9 +193,9 @@ def _labelled(postings: DataFrame, links: DataFrame | None) -> tuple[DataFrame,
 
 
 def class_links(classes: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
-    """(src, dst) links between classes that connect whatever any link connects."""
+    """(src, dst) links between classes that connect whatever any link connects; with rounds = 0, all links.  No pair is verified twice."""
     postings = written(classes.select("sig", "n", "rare", F.explode("prefix").alias("x")).select("sig", "n", "rare", "x.gram", "x.pos"), "postings")
-    links = None
+    links = tried = None
     for k in range(rounds + 1):
         p = written(_labelled(postings, links), "live")
         if p.isEmpty():
@@ -206,11 +209,42 @@ def class_links(classes: DataFrame, num: int, den: int, rounds: int = 1) -> Data
             left, right = p.join(main, "gram").where("comp <> main").drop("main"), p
         pairs = left.alias("a").join(right.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp")) & may_link(num, den))
         pairs = pairs.select(F.least("a.sig", "b.sig").alias("a"), F.greatest("a.sig", "b.sig").alias("b")).distinct()
-        new = written(verified(written(pairs, "pairs"), classes, num, den), "links")
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = written(verified(pairs, classes, num, den), "links")
         links = new if links is None else links.unionByName(new)
     return links if links is not None else classes.select(F.col("sig").alias("src"), F.col("sig").alias("dst")).where("false")
 
 
+def _classes(docs: DataFrame, words: int, num: int, den: int, doc_id: str, text: str, block_bytes: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sig), classes (sig, class_id), and the classes that may link, with their sets."""
+    count = min(2 * parallelism(docs.sparkSession), 65536)
+    blocks = write_blocks(docs, describe(words), doc_id, text, **({"block_bytes": block_bytes} if block_bytes else {}))
+    d = blocks.select("path", F.explode("docs").alias("x")).select("path", "x.doc_id", "x.idx", "x.n", "x.sig")
+    each = written(d.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.min(F.struct("path", "idx")).alias("home")), "classes")
+    homes = each.groupBy("home.path").agg(F.array_sort(F.collect_list(F.struct("home.idx", "sig"))).alias("x")).select("path", F.col("x.idx").alias("idx"), F.col("x.sig").alias("sigs"))
+    return d.select("doc_id", "n", "sig"), each.select("sig", "class_id", "members"), prefixes(written(homes, "homes"), words, num, den, count)
+
+
+def links(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, class_id, n_links) for every row, and (a, b), every pair of linked classes once, a < b, by class_id.
+
+    class_id is the smallest doc_id with the same set; n_links counts the other rows that a row links to, those of its own class too.  So
+    copies are not expanded into pairs, and no link between different texts is lost; the number of pairs is that of linked different sets.
+    Rows without words have no links and their own doc_id as class_id.  Classes all of whose ids are null have a null class_id.
+    """
+    num, den = threshold
+    d, each, sets = _classes(docs, words, num, den, doc_id, text, block_bytes)
+    pairs = written(class_links(sets, num, den, rounds=0), "links")
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    n = both.join(each.select(F.col("sig").alias("dst"), "members"), "dst").groupBy("src").agg(F.sum("members").alias("others")).withColumnRenamed("src", "sig")
+    per = each.join(n, "sig", "left").select("sig", "class_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = d.join(per, "sig", "left").select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    name = lambda side: each.select(F.col("sig").alias(side), F.col("class_id").alias(f"{side}_id"))
+    named = pairs.join(name("src"), "src").join(name("dst"), "dst")
+    return rows, named.select(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of docs.
 
@@ -219,12 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     ids count only where no other id is there.  Empty tables give no rows.
     """
     num, den = threshold
-    count = min(2 * parallelism(docs.sparkSession), 65536)
-    blocks = write_blocks(docs, describe(words), doc_id, text, **({"block_bytes": block_bytes} if block_bytes else {}))
-    d = blocks.select("path", F.explode("docs").alias("x")).select("path", "x.doc_id", "x.idx", "x.n", "x.sig")
-    each = written(d.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("path", "idx")).alias("home")), "classes")
-    homes = each.groupBy("home.path").agg(F.array_sort(F.collect_list(F.struct("home.idx", "sig"))).alias("x")).select("path", F.col("x.idx").alias("idx"), F.col("x.sig").alias("sigs"))
-    classes = prefixes(written(homes, "homes"), words, num, den, count)
+    d, each, classes = _classes(docs, words, num, den, doc_id, text, block_bytes)
     links = class_links(classes, num, den)
     comp = components(links).withColumnRenamed("node", "sig")
     labelled = each.join(comp, "sig", "left").select("sig", "class_id", F.coalesce("component", "sig").alias("component"))

@@ -74,6 +74,43 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, N.near_duplicates(docs, block_bytes=50_000).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
 
 
+def test_words_that_collide_in_polynomials(spark):
+    """Thue-Morse words and their complements agree in every polynomial modulo 2^64; here they are different words."""
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for n in (1, 7, 8, 9, 16, 255, 256, 257, 2048):
+        h = N.word_hashes(f"{x[:n]} {y[:n]} {x[:n]}".encode())
+        assert h[0] == h[2] != h[1]
+    rows = [(1, f"w1 w2 w3 w4 {x}"), (2, f"w1 w2 w3 w4 {y}"), (3, f"w1 w2 w3 w4 {x} "), (4, f"w1 w2 w3 w4 {x[:200]}"), (5, f"w1 w2 w3 w4 {y[:200]}")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)]
+
+
+def test_word_hashes_do_not_depend_on_place():
+    words = [b"a", b"ab", b"abcdefgh", b"abcdefghi", b"x" * 300, b"\xc3\xa9", b"a\x00", b"a"]
+    h = N.word_hashes(b"  ".join(words) + b" ")
+    assert h[0] == h[7] and len(set(h.tolist())) == 7
+    for w, v in zip(words, h):
+        assert N.word_hashes(w)[0] == N.word_hashes(b"zz " + w)[1] == v
+    assert len(N.word_hashes(b"")) == len(N.word_hashes(b"   ")) == 0
+
+
+def test_all_links(spark):
+    rng, base = random.Random(4), [f"v{k}" for k in range(120)]
+    rows = [r for r in corpus(4, 60) if r[0] is not None] + [(7000 + k, " ".join(base[rng.randint(0, 6):120 - rng.randint(0, 6)])) for k in range(50)]
+    s = [sets_of(t) for _, t in rows]
+    linked = lambda i, j: bool(s[i]) and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])
+    low = {}
+    for (d, _), x in zip(rows, s):
+        low[frozenset(x)] = min(d, low.get(frozenset(x), d))
+    cls = [low[frozenset(x)] if x else d for (d, _), x in zip(rows, s)]
+    want = sorted((d, cls[i], sum(linked(i, j) for j in range(len(rows)) if j != i)) for i, (d, _) in enumerate(rows))
+    pairs = sorted({(min(cls[i], cls[j]), max(cls[i], cls[j])) for i in range(len(rows)) for j in range(i) if linked(i, j) and s[i] != s[j]})
+    got, links = N.links(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sig long"), block_bytes=3000)
+    assert sorted(map(tuple, got.collect())) == want and len(pairs) > 200
+    assert sorted(map(tuple, links.collect())) == pairs
+
+
 def test_shingles_and_thresholds():
     got = list(N.shingle_sets([b"a b c d e f", b"", b"a b", b"A  b\tC d e f", b"b a"]))
     assert [len(x) for x in got] == [2, 0, 1, 2, 1]
