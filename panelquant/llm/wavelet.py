@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from panelquant.llm.files import get, put
 
 MAGIC, STEP = b"WVLT0001", 512
 FILE_TOKENS = 4 << 20
-#: Plain words whose ids a worker remembers; half as many other forms.
-REMEMBERED = 1_200_000
+#: Words, in all their forms, whose ids a worker remembers.
+REMEMBERED = 1_800_000
 
 
 class Shard:
@@ -145,52 +146,77 @@ class Shard:
         return cur
 
 
+#: The normaliser and pre-tokeniser under which a text's ids are those of its words.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: A run of letters whose lower case is one letter each, and closing marks; an apostrophe would cut otherwise.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def visible_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+
+
 class Words:
     """Ids of texts through the library, each word encoded once while remembered.
 
-    The tokeniser drops white space and never joins what it separates, so a text's ids are those of its words in turn.  It lowers letters
-    and cuts between a letter and a comma or full stop that ends a word, so such forms share the ids of the plain word.
+    With the normaliser and pre-tokeniser of `WORDWISE`, which drop white space and never join what it separates, a text's ids are those of its
+    words in turn; letters are lowered and cut from closing marks, so such forms share the ids of the plain word, which the model encodes
+    directly.  Any other tokeniser encodes whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
         t = Tokenizer.from_file(path)
-        self.encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.wordwise = all(own.get(k) == v for k, v in WORDWISE.items()) and own["model"]["type"] == "BPE" and all(x["content"].startswith("<|") for x in own["added_tokens"])
+        self.encode, self.model, self.visible = getattr(t, "encode_batch_fast", t.encode_batch), t.model, visible_bytes()
         self.code = "H" if t.get_vocab_size() <= 1 << 16 else "I"  # two bytes an id if all ids allow
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.forms: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def parts(w: str) -> tuple[str, str]:
-        """The plain word and a closing mark; words with other than ASCII characters or the start of a special token stay as they are."""
-        if not w.isascii() or "<|" in w:
-            return w, ""
-        w = w.lower()
-        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." and "a" <= w[-2] <= "z" else (w, "")
+    def parts(w: str) -> tuple[str, str] | None:
+        """The plain word and its closing marks, or None for any other form."""
+        m = PLAIN.fullmatch(w)
+        return (m[1].lower(), m[2]) if m else None
+
+    def whole(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 10_000):
+            yield from (array(self.code, e.ids).tobytes() for e in self.encode(texts[k:k + 10_000], add_special_tokens=False))
 
     def ids(self, texts: list[str | None], end: int) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        forms, plain = self.forms, self.plain
-        new = [(w, *self.parts(w)) for w in set(chain.from_iterable(words)).difference(forms)]
-        need = list({x for _, x, _ in new}.union(y for _, _, y in new).difference(plain))
-        fresh = {}
-        for k in range(0, len(need), 10_000):
-            part = need[k:k + 10_000]
-            fresh.update(zip(part, [array(self.code, e.ids).tobytes() for e in self.encode(part, add_special_tokens=False)]))
-        at = lambda x: fresh[x] if x in fresh else plain[x]
-        found = {w: at(x) + at(y) if y else at(x) for w, x, y in new}
-        if len(plain) < REMEMBERED:
-            plain.update(fresh)
-        if len(forms) < REMEMBERED // 2:
-            forms.update(found)
-            look = forms.__getitem__
-        else:
-            look = lambda w: found[w] if w in found else forms[w]
         tail = array(self.code, [end]).tobytes()
-        return [b"".join(map(look, ws)) + tail for ws in words]
+        if not self.wordwise:
+            return [x + tail for x in self.whole([t or "" for t in texts])]
+        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        known, found = self.known, {}
+        new = {w: self.parts(w) for w in {w for w in chain.from_iterable(words) if w not in known}}
+        pieces = {x for p in new.values() if p for x in p}.difference(known)
+        other = [*(w for w, p in new.items() if p is None), *(x for x in pieces if x and not x[0].isalpha())]
+        found.update(zip(other, self.whole(other)))
+        model, visible, code = self.model.tokenize, self.visible, self.code
+        for x in pieces:
+            if x and x[0].isalpha():
+                found[x] = array(code, [y.id for y in model(x if x.isascii() else x.encode().decode("latin1").translate(visible))]).tobytes()
+        at = lambda x: found[x] if x in found else known[x]
+        for w, p in new.items():
+            if p:
+                found[w] = at(p[0]) + at(p[1]) if p[1] else at(p[0])
+        if len(known) < REMEMBERED:
+            known.update(found)
+            at = known.__getitem__
+        return [b"".join(map(at, ws)) + tail for ws in words]
 
 
 _words: dict[str, Words] = {}

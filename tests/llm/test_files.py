@@ -1,6 +1,7 @@
 """Archives, token shards and media streams: exact round trips."""
 import gzip
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -153,3 +154,17 @@ def test_wavelet_query_equals_library_on_given_table(spark):
         at += len(raw)
     got = queries.op9(spark, "/root/testdata/sf0.001").orderBy("start")
     assert list(map(tuple, got.collect())) == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """White space and case count in a byte-level vocabulary; words by themselves would get other ids."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abZé ÉßŸÇ·ªº×,.'sd$&!-_12 \n\t  İıΩσς<|endoftext|>") for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [None, ""]
+    for name, wordwise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        w, t = wavelet.Words(queries.tokenizer_path(name)), Tokenizer.from_file(queries.tokenizer_path(name))
+        assert w.wordwise is wordwise
+        for part in (texts[:1000], texts):
+            got = [np.frombuffer(x, w.kind).tolist() for x in w.ids(part, 7)]
+            assert got == [e.ids + [7] for e in t.encode_batch([x or "" for x in part], add_special_tokens=False)]
