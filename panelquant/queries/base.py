@@ -10,6 +10,8 @@ from panelquant.sources.adapters import CTE
 
 REGISTRY: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+#: Per signal class the body of its twin, its own table expressions, key, columns, digits and observation gates: (body, ctes, key, columns, digits, min_obs).
+CLASS_SQL: dict[str, tuple] = {}
 _NUDGE = 0.0317  # moves exact decimal halves off the rounding edge, the same way in both engines
 
 

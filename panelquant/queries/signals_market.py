@@ -1,6 +1,6 @@
 """Market and volatility signal classes, one query per class."""
 from panelquant.operators.asof import Grid
-from panelquant.queries.base import grid_cte, query
+from panelquant.queries.base import CLASS_SQL, grid_cte, query
 from panelquant.signals import CLASSES, SignalContext
 from panelquant.sources.adapters import panel_nation, panel_supplier, statements
 
@@ -18,6 +18,7 @@ def ctx(spark, d, panel="pn", ft=False, **kw):
 
 def signal(name, cls, sql, ctes=(), panel="pn", ft=False, digits=6, key="DTID", where=None, **kw):
     outs = CLASSES[cls].outputs
+    CLASS_SQL[cls] = (sql, ctes, key, outs, digits, kw.get("min_obs", {}))
 
     def run(spark, d):
         df = ctx(spark, d, panel, ft, **kw).cls(cls)

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from panelquant.operators.asof import Grid
-from panelquant.queries.base import grid_cte, query
+from panelquant.queries.base import CLASS_SQL, grid_cte, query
 from panelquant.signals import CLASSES, SignalContext
 from panelquant.sources.adapters import analyst_det, analyst_sum, panel_supplier, statements
 
@@ -39,6 +39,7 @@ def ctx(spark, d, **kw):
 def signal(name, cls, sql, ctes=(), key="FTID", digits=6, **kw):
     outs = CLASSES[cls].outputs
     nums = {o: digits for o in outs}
+    CLASS_SQL[cls] = (sql, ctes, key, outs, digits, kw.get("min_obs", {}))
 
     def run(spark, d):
         df = ctx(spark, d, **kw).cls(cls)
@@ -213,14 +214,23 @@ _EF = _PX(3, 15, -161, ["RI"]).format("(SELECT * FROM s WHERE date >= T - INTERV
 _EF2 = f"(SELECT T, FTID, ib / MC AS earn, RI / RI_lag - 1 AS ret, CASE WHEN RI / RI_lag - 1 < 0 THEN 1 ELSE 0 END AS neg, CASE WHEN RI / RI_lag - 1 < 0 THEN RI / RI_lag - 1 ELSE 0 END AS rneg FROM px WHERE ib / MC IS NOT NULL AND RI / RI_lag IS NOT NULL)"
 
 
-@query("fu57_earnings_features", ["T", "FTID"], ["EPer", "EPred", "ETime"], f"""SELECT coalesce(a.T, b.T) AS T, coalesce(a.FTID, b.FTID) AS FTID, "EPer", "EPred", "ETime" FROM
+_FEATURES = f"""SELECT coalesce(a.T, b.T) AS T, coalesce(a.FTID, b.FTID) AS FTID, "EPer", "EPred", "ETime" FROM
  (SELECT T, FTID, regr_slope(eps, l) AS "EPer", regr_syy(eps, l) - regr_slope(eps, l) * regr_sxy(eps, l) AS "EPred" FROM (SELECT T, FTID, epspx / ajex AS eps, lag(epspx / ajex) OVER (PARTITION BY T, FTID ORDER BY FinYearEnd) AS l FROM px) WHERE l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) a
- FULL JOIN (SELECT T, FTID, 1 - sum(e * e) / sum(r0_earn * r0_earn) AS "ETime" FROM {_ols_sql(_EF2, 'T, FTID', 'earn', ['neg', 'ret', 'rneg'])} GROUP BY 1, 2 HAVING count(*) >= 5) b ON a.T = b.T AND a.FTID = b.FTID""", ["ft", GC, SNAP, f"px AS ({_EF})"])
+ FULL JOIN (SELECT T, FTID, 1 - sum(e * e) / sum(r0_earn * r0_earn) AS "ETime" FROM {_ols_sql(_EF2, 'T, FTID', 'earn', ['neg', 'ret', 'rneg'])} GROUP BY 1, 2 HAVING count(*) >= 5) b ON a.T = b.T AND a.FTID = b.FTID"""
+# the dummy and its product with the return split the fit in two lines, one per sign; a side with one row takes the other's slope
+_SIDE = lambda k: ", ".join(f"{f} FILTER (WHERE neg = {k}) AS {n}{k}" for f, n in (("count(*)", "n"), ("regr_slope(earn, ret)", "b"), ("avg(earn)", "y"), ("avg(ret)", "x")))
+_ECON = f"""SELECT T, FTID, (d + s0) / nullif(d, 0) AS "ECon" FROM (SELECT *, (y1 - s1 * x1) - (y0 - s0 * x0) AS d FROM (SELECT *, CASE WHEN n0 > 1 THEN b0 ELSE b1 END AS s0, CASE WHEN n1 > 1 THEN b1 ELSE b0 END AS s1
+ FROM (SELECT T, FTID, {_SIDE(0)}, {_SIDE(1)} FROM {_EF2} GROUP BY 1, 2 HAVING count(*) >= 5)))"""
+CLASS_SQL["EarningsFeatures"] = (f'SELECT coalesce(f.T, e.T) AS T, coalesce(f.FTID, e.FTID) AS FTID, "EPer", "EPred", "ETime", "ECon" FROM ({_FEATURES}) f FULL JOIN ({_ECON}) e ON f.T = e.T AND f.FTID = e.FTID', [f"px AS ({_EF})"], "FTID",
+                                 CLASSES["EarningsFeatures"].outputs, 6, {"EarningsFeatures": 5})
+
+
+@query("fu57_earnings_features", ["T", "FTID"], ["EPer", "EPred", "ETime"], _FEATURES, ["ft", GC, SNAP, f"px AS ({_EF})"])
 def _(spark, d):
     return ctx(spark, d, min_obs={"EarningsFeatures": 5}).cls("EarningsFeatures")
 
 
-@query("fu57_earnings_conservatism", ["T", "FTID"], ["ECon"])
+@query("fu57_earnings_conservatism", ["T", "FTID"], ["ECon"], f'SELECT T, FTID, "ECon" FROM ({_FEATURES}) f FULL JOIN ({_ECON}) e USING (T, FTID)', ["ft", GC, SNAP, f"px AS ({_EF})"])
 def _(spark, d):
     return ctx(spark, d, min_obs={"EarningsFeatures": 5}).cls("EarningsFeatures")
 

@@ -215,12 +215,19 @@ def double_quantile(df: DataFrame, a: str, b: str, out: str, by=("T",)) -> DataF
 def compute_signals(sources: dict[str, DataFrame], grid: Grid, names=None, min_obs=None, extra: dict | None = None) -> DataFrame:
     """Wide table (T, DTID, FTID, signals) over the ids traded in the month before T.
 
-    Window classes share one aggregation, statement formulas one snapshot; only classes with
-    their own logic add joins.  `extra` maps names to functions (context) -> (T, DTID|FTID, name).
+    Window classes share one aggregation, statement formulas one snapshot.  Classes with their own logic are stacked under one another, one
+    block of rows per class, and brought to one row per (T, key) by a single aggregate, whatever their number: a class gives at most one row
+    per key, so the largest value is the value.  Written once is what several readers share: sources read more than twice, the statement
+    snapshot of two or more classes, and results that other classes depend on.
+    `extra` maps names to functions (context) -> (T, DTID|FTID, name).
     """
     want, need = resolve(names)
-    hold = stage  # whatever several classes read is written once instead of being planned into every class
-    ctx = SignalContext({k: hold(v) for k, v in sources.items()}, grid, min_obs or {})
+    win = [n for n in need if CLASSES[n].window]
+    stm = [n for n in need if CLASSES[n].project]
+    own = [n for n in need if n not in win and n not in stm]
+    readers = lambda src: 1 + sum(src in CLASSES[n].inputs for n in own) + (src == "dt" and bool(win)) + (src == "FT" and bool(stm)) + (src == "dt" and "FT" in input_manifest(names))
+    used = {d for n in need for d in CLASSES[n].depends}
+    ctx = SignalContext({k: stage(v) if readers(k) > 2 else v for k, v in sources.items()}, grid, min_obs or {})
     sources = ctx.sources
     ctx.mc_start = input_manifest(names).get("dt", {"start": -1})["start"]
     out = base_index(sources["dt"], sources.get("FT"), grid)
@@ -228,27 +235,25 @@ def compute_signals(sources: dict[str, DataFrame], grid: Grid, names=None, min_o
         out = out.withColumn("FTID", F.lit(None).cast("string"))
     if sum("FT" in CLASSES[n].inputs for n in need) > 1:
         ctx._cache["_ft"] = stage(ctx.statements())
-    win = [n for n in need if CLASSES[n].window]
-    stm = [n for n in need if CLASSES[n].project]
-    if win:
-        w = hold(window_signals(ctx, win, presence=True))
-        for n in win:
-            ctx._cache[n] = w.filter(F.col(f"has__{n}") > 0).select("T", "DTID", *CLASSES[n].outputs)
-        out = out.join(w.select("T", "DTID", *[o for n in win for o in want.get(n, [])]), ["T", "DTID"], "left")
-    if stm:
-        s = hold(statement_signals(ctx, stm, presence=True))
-        for n in stm:
-            ctx._cache[n] = s.filter(F.col(f"has__{n}") > 0).select("T", "FTID", *CLASSES[n].outputs)
-        out = out.join(s.select("T", "FTID", *[o for n in stm for o in want.get(n, [])]), ["T", "FTID"], "left")
-    for n in need:  # dependencies come late in `need`, but each is built once through the cache
-        if n not in win and n not in stm:
-            ctx._cache[n] = hold(ctx.cls(n))
-    for n in want:
-        if n not in win and n not in stm:
-            c = CLASSES[n]
-            out = out.join(ctx.cls(n).select("T", c.key, *want[n]), ["T", c.key], "left")
+    for kind, build, key in ((win, window_signals, "DTID"), (stm, statement_signals, "FTID")):
+        if kind:
+            w = build(ctx, kind, presence=True)
+            w = stage(w) if used & set(kind) else w
+            for n in kind:
+                ctx._cache[n] = w.filter(F.col(f"has__{n}") > 0).select("T", key, *CLASSES[n].outputs)
+            out = out.join(w.select("T", key, *[o for n in kind for o in want.get(n, [])]), ["T", key], "left")
+    for n in reversed(own):  # dependencies come late in `need`; each is built once through the cache
+        ctx._cache[n] = stage(ctx.cls(n)) if n in used else ctx.cls(n)
+    for key in ("DTID", "FTID"):
+        mine = [n for n in want if n in own and CLASSES[n].key == key]
+        if mine:
+            cols = [o for n in mine for o in want[n]]
+            rows = [ctx.cls(n).selectExpr("T", key, *[f"cast({f'`{o}`' if o in want[n] else 'null'} as double) as `{o}`" for o in cols]) for n in mine]
+            while len(rows) > 1:  # in pairs: a plan is analysed again with every union above it
+                rows = [a.unionAll(b) for a, b in zip(rows[::2], rows[1::2])] + rows[len(rows) & ~1:]
+            out = out.join(rows[0].groupBy("T", key).agg(*[F.max(o).alias(o) for o in cols]), ["T", key], "left")
     for name, fn in (extra or {}).items():
         df = fn(ctx)
-        out = out.join(df.select("T", "DTID" if "DTID" in df.columns else "FTID", name), ["T", "DTID" if "DTID" in df.columns else "FTID"], "left")
-    return out
-
+        key = "DTID" if "DTID" in df.columns else "FTID"
+        out = out.join(df.select("T", key, name), ["T", key], "left")
+    return out.select("T", "DTID", "FTID", *[o for n in want for o in want[n]], *(extra or {}))
