@@ -114,22 +114,73 @@ def null_outlier_returns(df: DataFrame, limit=6.0, cols=("RI",), key="DTID", dat
     return d.withColumn(ret, fdiv("RI", "_l") - 1).drop("_l")
 
 
+def text_hits(texts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+    """(text, rule) for every distinct text that contains a rule's token; texts and tokens are compared as they are.
+
+    A gram index: tokens are cut into grams of three letters (a shorter token is its own gram) and filed under the one that fewest texts
+    hold; a text meets only the tokens filed under one of its grams, by an equi-join, and is then searched for the token.  Texts hold a bounded
+    number of grams each; grams that no token has are dropped before anything is counted.
+    """
+    t = texts.select(c(text).alias("text")).where("text is not null").distinct()
+    r = rules.where("token is not null and token <> ''").select("rule", "token").distinct()
+    cut = lambda col, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))), lambda i: F.substr(c(col), i, F.lit(n)))
+    grams = lambda df, col, sizes: df.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[cut(col, n) for n in sizes])))))
+    own = F.least(F.length("token"), F.lit(3))
+    keyed = grams(r.withColumn("size", own), "token", (1, 2, 3)).where(F.length("gram") == c("size")).drop("size")
+    sizes = [x["n"] for x in keyed.select(F.length("gram").alias("n")).distinct().collect()]  # of 1, 2 and 3
+    if not sizes:
+        return t.limit(0).select("text", F.lit(None).cast(rules.schema["rule"].dataType).alias("rule"))
+    held = stage(grams(t, "text", sorted(sizes)).join(keyed.select("gram").distinct(), "gram"))
+    count = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    filed = keyed.join(count, "gram", "left").groupBy("rule", "token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).select("rule", "token", "x.gram")
+    return held.join(filed, "gram").where(F.contains("text", c("token"))).select("text", "rule").distinct()
+
+
+def screen_rules(df: DataFrame, rules: DataFrame, columns: list[str], text: str = "NAME", id_col: str = "DTID", allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """Rows of df without those that a rule, and no entry of `allow`, or an entry of `deny` throws out.
+
+    rules(rule, token, absent, inside, outside): a rule hits a text that contains token and none of `absent` (array), in rows where every column
+    of `inside` (map of column -> values) holds one of its values and no column of `outside` holds one of its.  A null is never inside and
+    always outside; a null map or array asks for nothing; a rule without token hits nothing.  `columns` lists the columns that maps may name.
+    Texts are compared in upper case.  A rule is read once per distinct text and combination of these columns, whatever the number of rows.
+    """
+    up = df.select(F.upper(text).alias("text"), *columns).where("text is not null").distinct()
+    hits = text_hits(up, rules, "text").join(rules.select("rule", "absent", "inside", "outside").dropDuplicates(["rule"]), "rule")
+    bare = hits.where(~F.coalesce(F.exists("absent", lambda a: F.contains("text", a)), F.lit(False)))
+    within = lambda m, col: F.array_contains(F.element_at(m, F.lit(col)), c(col))
+    asked = lambda m, col: F.coalesce(F.map_contains_key(m, F.lit(col)), F.lit(False))
+    ok = F.lit(True)
+    for col in columns:
+        ok = ok & (~asked("inside", col) | F.coalesce(within("inside", col), F.lit(False))) & ~(asked("outside", col) & F.coalesce(within("outside", col), F.lit(False)))
+    bad = up.join(bare, "text").where(ok).select(c("text").alias("_t"), *[c(x).alias(f"_c_{x}") for x in columns]).distinct().withColumn("_bad", F.lit(True))
+    on = F.upper(text) == c("_t")
+    for x in columns:
+        on = on & c(x).eqNullSafe(c(f"_c_{x}"))
+    d = df.join(bad, on, "left").drop("_t", *[f"_c_{x}" for x in columns])
+    if allow is not None:
+        d = d.join(allow.select(id_col).distinct().withColumn("_ok", F.lit(True)), id_col, "left").withColumn("_bad", F.when(c("_ok").isNull(), c("_bad"))).drop("_ok")
+    d = d.where(c("_bad").isNull()).drop("_bad").select(*df.columns)
+    return d if deny is None else d.join(deny.select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
+
+
 def screen_text(df: DataFrame, rules: DataFrame, text="NAME", group="EXDSCD", allow: DataFrame | None = None, id_col="DTID") -> DataFrame:
     """Drop rows whose text contains a token; a rule may be limited to some exchanges.
 
-    rules(token, exchanges array or null), of any number.  Distinct (group, text) pairs are tested against the rules, so a text that many
-    rows share is read once, and the hits are joined back.  A null text or group is hit by nothing that needs it.  `allow` ids are kept
-    whatever their text says.
+    rules(token, exchanges array or null), of any number; an empty token hits nothing.  A null text or group is hit by nothing that needs it.
+    `allow` ids are kept whatever their text says.  See `screen_rules`.
     """
-    names = df.filter(c(text).isNotNull()).select(c(text).alias("_t"), c(group).alias("_g")).distinct()
-    rs = rules.filter("token is not null").select("token", F.col("exchanges").alias("_ex")).distinct()
-    hit = F.contains(F.upper("_t"), c("token")) & (c("_ex").isNull() | F.coalesce(F.array_contains("_ex", c("_g")), F.lit(False)))
-    hits = names.join(rs, hit, "left_semi").withColumn("_hit", F.lit(True))
-    d = df.join(hits, (c(text) == c("_t")) & c(group).eqNullSafe(c("_g")), "left").withColumn("_bad", c("_hit").isNotNull()).drop("_t", "_g", "_hit")
-    if allow is not None:
-        a = allow.select(id_col).distinct().withColumn("_ok", F.lit(True))
-        d = d.join(a, id_col, "left").withColumn("_bad", c("_bad") & c("_ok").isNull()).drop("_ok")
-    return d.filter(~c("_bad")).drop("_bad")
+    none = lambda kind: F.lit(None).cast(kind)
+    r = rules.select(F.concat("token", F.lit("\x00"), F.coalesce(F.array_join("exchanges", "\x01"), F.lit("\x02"))).alias("rule"), "token", none("array<string>").alias("absent"),
+                     F.when(c("exchanges").isNotNull(), F.create_map(F.lit(group), c("exchanges"))).alias("inside"), none("map<string,array<string>>").alias("outside"))
+    return screen_rules(df, r, [group], text, id_col, allow)
+
+
+def listed(df: DataFrame, keep: dict[str, list], exchanges: DataFrame, exchange: str = "EXDSCD") -> DataFrame:
+    """Listings whose columns hold one of the given values (nulls only if None is among them), on the exchanges of a map, with its other columns."""
+    for col, values in keep.items():
+        known = [v for v in values if v is not None]
+        df = df.where(F.coalesce(c(col).isin(known), F.lit(False)) | (c(col).isNull() if None in values else F.lit(False)))
+    return df.join(exchanges, exchange)
 
 
 def normalise_ticker(col):

@@ -164,6 +164,25 @@ def _(spark, d):
     return C.screen_text(p, rules, "p_name", "p_type", p.filter("p_partkey % 10 = 3"), "p_partkey")
 
 
+RULE = "rule int, token string, absent array<string>, inside map<string,array<string>>, outside map<string,array<string>>"
+#: One rule of each kind: token; with exchanges; with a second column; with its negation; a token without another; short tokens.
+SCREEN = [(1, "RING", None, None, None), (2, "BOLT", None, {"EXDSCD": ["SMALL", "PROMO"]}, None), (3, "SMALL", None, {"EXDSCD": ["ECONOMY"]}, {"MAJOR": ["Y"]}), (4, "HOT", None, None, {"ESTAT": ["ACT."]}),
+          (5, "GEAR", ["RED ", "BLUE"], None, None), (6, "Z", None, {"ESTAT": ["DEAD"], "EXDSCD": ["MEDIUM", "STANDARD"]}, None), (7, "GI", None, {"EXDSCD": ["LARGE"]}, {"ESTAT": ["ACT."], "MAJOR": ["N"]}), (8, "ABSENT", None, None, None)]
+
+
+@query("p11_universe_screening", ["p_partkey", "EXDSCD", "region"], [], """WITH x AS (SELECT p_partkey, p_type AS EXDSCD, CASE WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'A' ELSE 'B' END AS region, upper(p_name) AS t, CASE p_size % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END AS m,
+ CASE WHEN p_size % 4 = 0 THEN 'DEAD' ELSE 'ACT.' END AS e FROM part WHERE p_brand <> 'Brand#3' AND p_type <> 'PROMO')
+ SELECT p_partkey, EXDSCD, region FROM x WHERE p_partkey % 23 <> 5 AND (p_partkey % 10 = 3 OR NOT (contains(t, 'RING') OR contains(t, 'BOLT') AND EXDSCD IN ('SMALL', 'PROMO') OR contains(t, 'SMALL') AND EXDSCD = 'ECONOMY' AND m IS DISTINCT FROM 'Y'
+ OR contains(t, 'HOT') AND e <> 'ACT.' OR contains(t, 'GEAR') AND NOT contains(t, 'RED ') AND NOT contains(t, 'BLUE') OR contains(t, 'Z') AND e = 'DEAD' AND EXDSCD IN ('MEDIUM', 'STANDARD') OR contains(t, 'GI') AND EXDSCD = 'LARGE' AND e <> 'ACT.' AND m IS DISTINCT FROM 'N'))""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    p = p.withColumn("EXDSCD", c("p_type")).withColumn("MAJOR", F.when(c("p_size") % 3 == 0, "Y").when(c("p_size") % 3 == 1, "N")).withColumn("ESTAT", F.when(c("p_size") % 4 == 0, "DEAD").otherwise("ACT."))
+    kinds = p.select("EXDSCD").distinct().where("EXDSCD <> 'PROMO'").withColumn("region", F.when(c("EXDSCD").isin("SMALL", "MEDIUM", "LARGE"), "A").otherwise("B"))
+    brands = [f"Brand#{k}" for k in range(1, 100) if k != 3]
+    p = C.listed(p, {"p_brand": brands}, kinds)
+    return C.screen_rules(p, spark.createDataFrame(SCREEN, RULE), ["EXDSCD", "MAJOR", "ESTAT"], "p_name", "p_partkey", allow=p.where("p_partkey % 10 = 3"), deny=p.where("p_partkey % 23 = 5"))
+
+
 @query("p12_ticker_normalisation", ["o_orderkey", "t"], [], "SELECT o_orderkey, CAST(o_custkey % 100 AS VARCHAR) || '@' AS t FROM orders")
 def _(spark, d):
     raw = F.concat(F.when(c("o_orderkey") % 3 == 0, "@:").when(c("o_orderkey") % 3 == 1, "@").otherwise(""), (c("o_custkey") % 100).cast("string"), F.lit("@"))
