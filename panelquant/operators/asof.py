@@ -109,6 +109,47 @@ def snapshot(panel: DataFrame, grid: Grid, start: int, end: int, cols=None, key=
             .drop("mno", "lo", "hi"))
 
 
+def expiry(date, months: int) -> Column:
+    """First day T whose trailing window of `months` months no longer holds `date`: T - months > date."""
+    d = F.date_add(F.col(date) if isinstance(date, str) else date, 1)
+    e = F.add_months(d, months)
+    return F.when(F.dayofmonth(e) < F.dayofmonth(d), F.date_add(e, 1)).otherwise(e)
+
+
+def grid_index(grid: Grid, date) -> Column:
+    """Position in the grid of its first date at or after `date`; below 0 and above the last position for dates outside."""
+    d = F.col(date) if isinstance(date, str) else date
+    a = grid.dates()[0]
+    if grid.monthly:
+        return month_no(d) - (a.year * 12 + a.month - 1) + (F.dayofmonth(d) > 1).cast("int")
+    step = int(grid.freq.rstrip("D"))
+    return F.ceil(F.datediff(d, F.lit(a)) / step).cast("int")
+
+
+def grid_date(grid: Grid, position) -> Column:
+    """The grid date at a position."""
+    i = F.col(position) if isinstance(position, str) else position
+    a = grid.dates()[0]
+    return month_start(i + (a.year * 12 + a.month - 1)) if grid.monthly else F.date_add(F.lit(a), (i * int(grid.freq.rstrip("D"))).cast("int"))
+
+
+def levels(events: DataFrame, grid: Grid, key, position: str, steps, alive: str) -> DataFrame:
+    """(T, key, steps): running sums of step events at every grid date where `alive` is above zero.
+
+    A validity run [a, b) of grid positions is two events, +x at a and -x at b.  Events are summed per (key, position) before the only
+    ordered window, which therefore holds at most one row per grid date; rows appear per date only in the result.  Steps should be whole
+    numbers, so sums return to zero exactly.  Events past the grid are ignored, earlier ones count from its first date; a null key is a
+    group of its own.
+    """
+    keys, n = [key] if isinstance(key, str) else list(key), len(grid.dates())
+    at = F.greatest(F.col(position), F.lit(0))
+    g = events.withColumn(position, at).filter(F.col(position) < n).groupBy(*keys, position).agg(*[F.sum(x).alias(x) for x in steps])
+    w = W.partitionBy(*keys).orderBy(position)
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    g = g.select(*keys, position, *[F.sum(x).over(run).alias(x) for x in steps], F.lead(position, 1, n).over(w).alias("_until")).filter(F.col(alive) > 0)
+    return g.select(*keys, *steps, F.explode(F.sequence(position, F.col("_until") - 1)).alias("_i")).select(grid_date(grid, "_i").alias("T"), *keys, *steps)
+
+
 def last_nn(df: DataFrame, key, date: str, cols, prefix="") -> DataFrame:
     """Last non-null value per column and key; one output row may mix dates."""
     keys = [key] if isinstance(key, str) else list(key)

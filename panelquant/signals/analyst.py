@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import clean, fdiv, flag
 from panelquant.operators import xsection as X
-from panelquant.operators.asof import last_of, snapshot
+from panelquant.operators.asof import expiry, grid_index, last_of, levels, prune, snapshot
 from panelquant.signals.base import SignalClass, SignalContext, register
 
 c = F.col
@@ -120,21 +120,32 @@ def _av(x):
 
 @_cls("ChangeInRecommendation", ["ChR"], {"IBESdet": (-60, 0, ["TICKER", "ESTIMID", "ITEXT"])})
 def _chr(x):
+    """Mean change of the analysts' last opinions, as runs of validity summed over their ends: no opinion is copied to the dates it holds for."""
     d = x.sources["IBESdet"]
     order = c("seq") if "seq" in d.columns else c("ITEXT")
     # one opinion per analyst, ticker and day, chosen before the fan-out by a combinable maximum
     d = d.groupBy("TICKER", "ESTIMID", "date").agg(F.max_by(F.struct("DTID", "ITEXT"), order).alias("_v"))
     d = d.select("TICKER", "ESTIMID", "_v.DTID", "date", "_v.ITEXT")
-    # the previous opinion does not depend on T except at the window start
+    d = prune(d, x.grid, -60, 0)
     w = W.partitionBy("TICKER", "ESTIMID").orderBy("date")
-    d = d.withColumn("pt", F.lag("ITEXT").over(w)).withColumn("pd", F.lag("date").over(w))
-    s = snapshot(d, x.grid, -60, 0, None, ["TICKER", "ESTIMID"], "date")
-    prev = F.when(c("pd") >= F.add_months("T", -60), c("pt"))
-    strong = F.lit("STRONG BUY")
-    rec = (F.when(c("date") < F.add_months("T", -1), 0.0).when((c("ITEXT") == strong) & ~F.coalesce(prev == strong, F.lit(False)), 1.0)
-           .when(prev.isNull(), 0.0).when(c("ITEXT") != prev, -1.0).otherwise(0.0))
-    g = s.withColumn("rec", rec).groupBy("T", "TICKER", "ESTIMID").agg(last_of("rec").alias("rec"), last_of("DTID").alias("DTID"))
-    return g.groupBy(*K).agg(F.avg("rec").alias("ChR"))
+    known = F.last(F.when(c("DTID").isNotNull(), F.struct("DTID", "date")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    d = d.select("date", "ITEXT", known.alias("id"), F.lag("ITEXT").over(w).alias("pt"), F.lag("date").over(w).alias("pd"), F.lead("date").over(w).alias("nd"))
+    # an opinion is the analyst's last one at the grid positions [a, b); inside, it is new before `new`, has a predecessor before `old`, a security before `idle`
+    tomorrow = lambda e: grid_index(x.grid, F.date_add(e, 1))
+    gone = lambda e, m: grid_index(x.grid, expiry(e, m))
+    d = d.withColumns({"a": tomorrow(c("date")), "b": F.least(gone(c("date"), 60), tomorrow(c("nd")))}).filter("a < b")
+    d = d.withColumns({"new": gone(c("date"), 1), "old": gone(c("pd"), 60), "idle": gone(c("id.date"), 60)})
+    strong = F.coalesce(c("ITEXT") == "STRONG BUY", F.lit(False))
+    after = F.when(strong & ~F.coalesce(c("pt") == "STRONG BUY", F.lit(False)), 1).when(F.coalesce(c("ITEXT") != c("pt"), F.lit(False)), -1).otherwise(0)
+    inner = [F.when((c(k) > c("a")) & (c(k) < c("b")), c(k)) for k in ("new", "old", "idle")]
+    cuts = F.array_sort(F.array_distinct(F.array_compact(F.array("a", "b", *inner))))
+    d = d.select("id", "new", "old", "idle", after.alias("after"), strong.cast("int").alias("first"), cuts.alias("cuts"))
+    d = d.select("*", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("a"), F.slice("cuts", 2, F.size("cuts") - 1).alias("b"))).alias("run"))
+    rec = F.when(c("run.a") >= c("new"), 0).when(c("run.a") < c("old"), c("after")).otherwise(c("first"))
+    d = d.select(F.when(c("run.a") < c("idle"), c("id.DTID")).alias("DTID"), "run", rec.alias("rec"))
+    ends = F.explode(F.array(F.struct(c("run.a").alias("i"), F.lit(1).alias("n"), c("rec").alias("s")), F.struct(c("run.b").alias("i"), F.lit(-1).alias("n"), (-c("rec")).alias("s"))))
+    e = d.select("DTID", ends.alias("e")).select("DTID", "e.*")
+    return levels(e, x.grid, "DTID", "i", ["n", "s"], "n").select(*K, (c("s") / c("n")).alias("ChR"))
 
 
 @_cls("EarningsForecastToPrice", ["EFoP"], {"dt": (-1, 0, ["PRC"]), "IBESsum": (-1, 0, ["MEDEST", "FPI"])})
