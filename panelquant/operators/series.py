@@ -6,6 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelquant.functions.stage import materialise
+from panelquant.operators.xsection import running_total
+
 
 def running_product(x: Column, w) -> Column:
     """Product over a window frame for any sign: logs of magnitudes, parity of negatives, zeros."""
@@ -132,28 +135,53 @@ def max_drawdown(date: str, x: str) -> Column:
     return F.aggregate(path, one, step, lambda a: a["dd"])
 
 
+SCAN_ROWS = 256  # rows of a series that one window holds
+
+
+def affine_path(df: DataFrame, key, position: str, maps: dict[str, tuple[str, str]]) -> DataFrame:
+    """Solutions of y = m y_before + c along each series, for several recurrences at once (y is 0 before the first row).
+
+    maps: output -> (multiplier column, offset column).  Composing two such maps gives such a map again, so a recurrence is a prefix
+    composition: rows go into runs of SCAN_ROWS by their position (1, 2, ... per key), a run is composed by doubling, and the runs'
+    totals, 256 times fewer, are a shorter recurrence of the same kind.  A run is the largest group any task holds, so one long
+    series spreads over all tasks.  Multipliers may differ by row and may be 0; values must be finite and not null.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    d = df.withColumn("_run", F.floor((F.col(position) - 1) / SCAN_ROWS))
+    w, step = W.partitionBy(*keys, "_run").orderBy(position), 1
+    while step < SCAN_ROWS:
+        both = {}
+        for m, c in maps.values():
+            both[c] = F.col(c) + F.coalesce(F.col(m) * F.lag(c, step).over(w), F.lit(0.0))
+            both[m] = F.col(m) * F.coalesce(F.lag(m, step).over(w), F.lit(1.0))
+        d, step = d.withColumns(both), step * 2
+    d = materialise(d)
+    parts = [x for mc in maps.values() for x in mc]
+    if not d.agg(F.max("_run")).first()[0]:
+        return d.withColumns({o: F.col(c) for o, (_, c) in maps.items()}).drop("_run", *parts)
+    ends = d.groupBy(*keys, "_run").agg(F.max_by(F.struct(*parts), position).alias("_e")).select(*keys, (F.col("_run") + 1).alias(position), "_e.*")
+    ends = affine_path(ends, keys, position, {"_y_" + o: mc for o, mc in maps.items()})
+    ends = ends.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(position).alias("_next"), *["_y_" + o for o in maps])
+    same = F.col("_run") == F.col("_next")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
+    d = d.join(ends, same, "left")
+    d = d.withColumns({o: F.col(m) * F.coalesce(F.col("_y_" + o), F.lit(0.0)) + F.col(c) for o, (m, c) in maps.items()})
+    return d.drop("_run", "_next", *parts, *["_k_" + k for k in keys], *["_y_" + o for o in maps])
+
+
 def ewma_path(df: DataFrame, key: str, date: str, col: str, alphas: dict[str, float]) -> DataFrame:
-    """Whole exponentially weighted path per series (first value seeds it).
+    """Whole exponentially weighted path per series (first value seeds it): (key, date, one column per weight).
 
-    The recursion is sequential, so each series goes through one Arrow group; a series has one
-    row per date, which bounds the group by the calendar.
+    Rows without a value are left out; a null key is a series of its own; dates should be unique per series.  Positions come from a sort
+    by ranges and the recurrence from `affine_path`, so neither step needs a whole series in one task.
     """
-    names = list(alphas)
-
-    def run(pdf):
-        pdf = pdf.sort_values(date)
-        x = pdf[col].to_numpy()
-        for n in names:
-            a, y = alphas[n], None
-            out = x.copy()
-            for i, v in enumerate(x):
-                y = v if y is None else (1 - a) * y + a * v
-                out[i] = y
-            pdf[n] = out
-        return pdf[[key, date, *names]]
-
-    schema = f"{key} string, {date} date, " + ", ".join(f"`{n}` double" for n in names)
-    return df.select(key, date, col).filter(F.col(col).isNotNull()).groupBy(key).applyInPandas(run, schema)
+    d = df.select(key, date, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    d = running_total(d, F.lit(1), [key], [date], "_at")
+    first = F.col("_at") == 1
+    d = d.select(key, date, "_at", *[x for n, a in alphas.items() for x in (
+        F.when(first, F.lit(0.0)).otherwise(F.lit(1.0 - a)).alias("_m_" + n), (F.when(first, 1.0).otherwise(float(a)) * F.col("_v")).alias("_c_" + n))])
+    return affine_path(d, key, "_at", {n: ("_m_" + n, "_c_" + n) for n in alphas}).select(key, date, *alphas)
 
 
 def ewma_last(df: DataFrame, key, date: str, col: str, alpha: float, out: str) -> DataFrame:
