@@ -83,10 +83,9 @@ def _(spark, d):
   UNION ALL SELECT make_date(y, 1, 1), 'valid', make_date(y, 1, 1), make_date(y, 12, 31) FROM (VALUES (1998), (1999), (2000), (2001)) t(y)) w
  ON date >= a AND date <= b GROUP BY 1, 2, 3""", ["ps"], digits=3)
 def _(spark, d):
-    from panelquant.models.splits import split_rows, walk_forward
+    from panelquant.models.splits import split_aggregates, walk_forward
 
-    s = split_rows(panel_supplier(spark, d), walk_forward(spark, 1998, 2001))
-    return s.groupBy("DTID", "valid_start", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("PRC").alias("s"))
+    return split_aggregates(panel_supplier(spark, d), walk_forward(spark, 1998, 2001), "DTID", {"n": ("count", F.lit(1)), "s": ("sum", "PRC")})
 
 
 @query("j08_id_by_grid", ["DTID", "m"], [], """

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from panelquant.functions.stage import stage
 from panelquant.models import forest, quantile as Q, vol
-from panelquant.models.splits import split_rows, walk_forward
+from panelquant.models.splits import split_aggregates, walk_forward
 from panelquant.operators import evaluate as V, xsection as X
 from panelquant.operators.asof import Grid
 from panelquant.queries.base import grid_cte, query
@@ -38,7 +38,8 @@ QS = [f"q{i}" for i in range(len(TAUS))]
  (SELECT make_date(y - 1, 9, 30) AS train_end, make_date(y, 1, 1) AS valid_start, make_date(y + 1, 12, 31) AS valid_end FROM (VALUES (1997), (1999), (2001)) t(y)) GROUP BY 1, 2, 3""", PC)
 def _(spark, d):
     sp = walk_forward(spark, 1997, 2001, 2, "Q")
-    n = split_rows(monthly(spark, d), sp).groupBy("valid_start").agg(F.count(F.when(F.col("part") == "train", 1)).alias("n_train"), F.count(F.when(F.col("part") == "valid", 1)).alias("n_valid"))
+    n = split_aggregates(monthly(spark, d), sp, [], {"n": ("count", F.lit(1))})
+    n = n.groupBy("valid_start").agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias("n_" + p) for p in ("train", "valid")])
     return sp.join(n, "valid_start")
 
 
