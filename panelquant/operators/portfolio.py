@@ -20,7 +20,8 @@ def signal_ls(df: DataFrame, var: str, frac: float = 0.1, by=GROUP) -> DataFrame
 
 
 def _cuts(name: str, var: str, n: int) -> dict:
-    return {f"_{name}{i}": (var, i / n) for i in range(n + 1)}
+    """The inner cut points: the first bucket has no lower and the last no upper bound, so minimum and maximum are not looked for."""
+    return {f"_{name}{i}": (var, i / n) for i in range(1, n)}
 
 
 def _bucket(name: str, var: str, n: int):
@@ -46,7 +47,9 @@ def sorts(df: DataFrame, var1: str, var2: str | None = None, n: int = 5, kind: s
         raise ValueError(f"unknown sort kind {kind!r}")
     d = X.with_quantiles(d, by, _cuts("a", var1, n))
     # a row on a cut point belongs to the samples of both neighbours; the later label wins
-    mem = F.array_compact(F.array(*[F.when(F.col(var1).between(F.col(f"_a{i}"), F.col(f"_a{i + 1}")), F.lit(i)) for i in range(n)]))
+    above = lambda i: F.col(var1) >= F.col(f"_a{i}") if i else F.lit(True)
+    below = lambda i: F.col(var1) <= F.col(f"_a{i}") if i < n else F.lit(True)
+    mem = F.array_compact(F.array(*[F.when(above(i) & below(i + 1), F.lit(i)) for i in range(n)]))
     d = d.select(*keep, var2, F.explode(mem).alias("_i")).filter(F.col(var2).isNotNull())
     d = X.with_quantiles(d, [*by, "_i"], _cuts("b", var2, n)).withColumn("_j", _bucket("b", var2, n))
     g = d.groupBy(*keep).agg(F.max(F.struct("_i", "_j")).alias("s"))

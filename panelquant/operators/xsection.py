@@ -82,6 +82,8 @@ def group_quantiles(df: DataFrame, by, specs: dict, parts: bool = False) -> Data
     only rows in those buckets.  No task ever holds a group.
     """
     by = list(by)
+    if not specs:
+        return df.select(*by).distinct()
     cols = list(dict.fromkeys(c for c, _ in specs.values()))
     lg = _long(stage(df.select(*by, *[c for c in cols if c not in by])), by, cols).filter("_x is not null").withColumn("_b", bucket_of("_x"))
     g = [*by, "_var"]
