@@ -137,8 +137,8 @@ for _k, _m in ((4, 3), (5, 6), (6, 12)):
 
 
 # ------------------------------------------------------------------ weekly grid
-GWK = Grid("2001-01-03", "2001-02-21", "7D")
-GWC = grid_cte("2001-01-03", "2001-02-21", "7 DAY")
+GWK = Grid("1995-02-01", "2001-12-05", "7D")
+GWC = grid_cte("1995-02-01", "2001-12-05", "7 DAY")
 
 
 def weekly(name, cls, sql, ctes=(), panel="pn", digits=6, **kw):
