@@ -24,7 +24,7 @@ def features(spark, d):
 
 
 def quick(**kw):
-    return {"xs": XS, "steps": 12, "lr": 0.1, **kw}
+    return {"xs": XS, "lr": 0.1, **kw}
 
 
 def quantile_columns(df, col="q"):
@@ -67,7 +67,7 @@ def _(spark, d):
     f = features(spark, d)
     out = None
     for k in ("pinball", "huber_pinball", "mse", "huber"):
-        h = Q.fit_quantile(f, y="y", taus=TAUS, loss=k, **quick(steps=6)).history
+        h = Q.fit_quantile(f, y="y", taus=TAUS, loss=k, **quick()).history
         r = f.limit(1).select(F.lit(k).alias("loss"), F.lit(h[0]).alias("first"), F.lit(h[-1]).alias("last"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query("m07_fine_tuned_walk_forward", ["valid_start"], ["n", "loss"], digits=3)
 def _(spark, d):
-    f = Q.walk_forward_forecasts(features(spark, d), walk_forward(spark, 1999, 2001), {"y": "y", "taus": TAUS, **quick(steps=8)}, fine_tune=True, steps_next=4)
+    f = Q.walk_forward_forecasts(features(spark, d), walk_forward(spark, 1999, 2001), {"y": "y", "taus": TAUS, **quick()}, fine_tune=True)
     n = f.groupBy("valid_start").agg(F.count(F.lit(1)).alias("n"))
     return n.join(V.mean_pinball(f, TAUS, "y", by=["valid_start"]), "valid_start")
 
@@ -99,21 +99,21 @@ def _(spark, d):
 @query("m08_batch_scoring_two_heads", K, QS, digits=3)
 def _(spark, d):
     f = features(spark, d)
-    m = Q.fit_quantile(f, y="y", taus=TAUS, stage2=["v"], y2="y_raw", scale="s", members=2, **quick(steps=5))
+    m = Q.fit_quantile(f, y="y", taus=TAUS, stage2=["v"], y2="y_raw", scale="s", members=2, **quick())
     return quantile_columns(Q.predict(m, f), "q")
 
 
 @query("m09_bottleneck_activations", K, ["b0", "b1", "b2", "b3"], digits=3)
 def _(spark, d):
     f = features(spark, d)
-    p = Q.predict(Q.fit_quantile(f, y="y", taus=TAUS, hidden=(4,), **quick(steps=5)), f, bottleneck=True)
+    p = Q.predict(Q.fit_quantile(f, y="y", taus=TAUS, hidden=(4,), **quick()), f, bottleneck=True)
     return p.select(*K, *[F.col("bottleneck")[i].alias(f"b{i}") for i in range(4)])
 
 
 @query("m09_head_weights", ["window", "member", "tau"], ["weight"], digits=3)
 def _(spark, d):
     f = features(spark, d)
-    m = Q.fit_quantile(f, y="y", taus=TAUS, stage2=["v"], y2="y_raw", scale="s", heads=3, members=2, **quick(steps=5))
+    m = Q.fit_quantile(f, y="y", taus=TAUS, stage2=["v"], y2="y_raw", scale="s", heads=3, members=2, **quick())
     return Q.head_weights(m, spark, "all")
 
 
@@ -192,5 +192,5 @@ def _(spark, d):
 @query("m15_setting_comparison", ["setting"], ["loss"], digits=3)
 def _(spark, d):
     f = features(spark, d)
-    s = {"linear": quick(steps=6), "hidden4": quick(steps=6, hidden=(4,)), "strong_l1": quick(steps=6, l1=0.01)}
+    s = {"linear": quick(), "hidden4": quick(hidden=(4,)), "strong_l1": quick(l1=0.01)}
     return Q.compare_settings(f.filter("date < '2000-01-01'"), f.filter("date >= '2000-01-01'"), s, "y", TAUS)
