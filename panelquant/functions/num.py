@@ -15,6 +15,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once: a Column used in several places is otherwise evaluated anew in each, inside lambdas even per element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def fdiv(a, b) -> Column:
     """a / b with x/0 = +-inf and 0/0 = null."""
     a, b = _c(a).cast("double"), _c(b).cast("double")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelquant.functions.num import let
+
 MIN_DENSITY, EPS = 1e-5, 1e-4  # fixed values
 
 
@@ -17,6 +19,10 @@ def _taus(taus) -> Column:
 
 def repair(q: Column, taus) -> Column:
     """array<struct<x, y>>: duplicates of -1 in the lower tail dropped, x forced up by >= 1e-4."""
+    return let(q, lambda v: _repair(v, taus))
+
+
+def _repair(q: Column, taus) -> Column:
     n = len(taus)
     cut = F.size(F.filter(F.slice(q, 2, n - 1), lambda v: v == -1.0))
     pts = F.slice(F.transform(q, lambda v, i: F.struct(v.alias("x"), F.element_at(_taus(taus), i + 1).alias("y"))), cut + 1, F.lit(n) - cut)
@@ -51,11 +57,15 @@ def _density(seg: Column) -> Column:
     tol = 1e-9
     left, right = (lambda s: F.filter(s, lambda g: g["fa"] <= 0.1 + tol)), (lambda s: F.filter(s, lambda g: g["fa"] >= 0.9 - tol))
     mn = lambda s: F.array_min(F.transform(s, lambda g: g["d"]))
-    lmin, rmin = mn(left(d)), mn(right(d))
-    lloc = F.array_max(F.transform(F.filter(left(d), lambda g: g["d"] == lmin), lambda g: g["i"]))
-    rloc = F.array_min(F.transform(F.filter(right(d), lambda g: g["d"] == rmin), lambda g: g["i"]))
-    return F.transform(d, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), g["fa"].alias("fa"), g["fb"].alias("fb"),
-                                             F.when(g["i"] < lloc, lmin).when(g["i"] > rloc, rmin).otherwise(g["d"]).alias("d")))
+    where = lambda s, low: F.transform(F.filter(s, lambda g: g["d"] == low), lambda g: g["i"])
+
+    def tails(d, low):
+        loc = F.struct(F.array_max(where(left(d), low["l"])).alias("l"), F.array_min(where(right(d), low["r"])).alias("r"))
+        return let(loc, lambda at: F.transform(d, lambda g: F.struct(
+            g["a"].alias("a"), g["b"].alias("b"), g["fa"].alias("fa"), g["fb"].alias("fb"),
+            F.when(g["i"] < at["l"], low["l"]).when(g["i"] > at["r"], low["r"]).otherwise(g["d"]).alias("d"))))
+
+    return let(d, lambda d: let(F.struct(mn(left(d)).alias("l"), mn(right(d)).alias("r")), lambda low: tails(d, low)))
 
 
 def moments(df: DataFrame, taus, q: str = "q", method: str = "linear") -> DataFrame:
@@ -120,8 +130,9 @@ def fit_adjustment(df: DataFrame, by=("_all",)) -> DataFrame:
 
 def density(df: DataFrame, taus, q: str = "q", keys=("date", "DTID")) -> DataFrame:
     """Exploded table (keys, pos, x, cdf, density), one row per segment start."""
-    d = df.withColumn("_seg", _density(_segments(repair(F.col(q), taus), 1, 1)))
-    d = d.select(*keys, F.posexplode("_seg").alias("pos", "g"))
+    d = df.withColumn("_seg", let(repair(F.col(q), taus), lambda pts: _density(_segments(pts, 1, 1))))
+    # the plain form would filter on the expression first, in a second copy below every projection
+    d = d.select(*keys, F.posexplode_outer("_seg").alias("pos", "g")).filter("pos is not null")
     return d.select(*keys, "pos", F.col("g.a").alias("x"), F.col("g.fa").alias("cdf"), F.col("g.d").alias("density"))
 
 
