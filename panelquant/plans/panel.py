@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from panelquant.functions.num import fdiv, month_no, month_start, nz
 from panelquant.functions.stage import stage
 from panelquant.operators import xsection as X
-from panelquant.operators.asof import Grid, asof_join, last_of, snapshot
+from panelquant.operators.asof import Agg, Grid, asof_join, last_of, win_agg
 from panelquant.operators.series import ewma_path
 
 BY = ("date", "region")
@@ -63,12 +63,11 @@ def clean_returns(ret: DataFrame, by=("date",), eras=ERAS, cap: float = MAX_RETU
 
 def characteristics(panel: DataFrame, grid: Grid, coid: str = "FTID", min_obs: int = 50, recent_days: int = 7) -> DataFrame:
     """(date, DTID, region, MC, PRC, RI, COID, VOL): last values over 12 months and mean traded value."""
-    p = panel.filter("PRC is not null and MC is not null")
-    s = snapshot(p, grid, -12, 0, ["PRC", "MC", "RI", "VOL", coid, "region"])
-    v = F.col("VOL") * F.col("PRC")
-    g = s.groupBy("T", "DTID").agg(last_of("MC").alias("MC"), last_of("PRC").alias("PRC"), last_of("RI").alias("RI"), last_of(coid).alias("COID"), last_of("region").alias("region"),
-                                   F.max("date").alias("_mx"), F.when(F.count(v) >= min_obs, F.avg(v) / 1e6).alias("VOL"))
-    return g.filter(F.col("_mx") > F.date_sub("T", recent_days)).select(F.col("T").alias("date"), "DTID", "region", "MC", "PRC", "RI", "COID", "VOL")
+    p = panel.filter("PRC is not null and MC is not null").select("DTID", "date", "MC", "PRC", "RI", "region", coid, (F.col("VOL") * F.col("PRC")).alias("_v"), F.col("date").alias("_day"))
+    last = {"MC": "MC", "PRC": "PRC", "RI": "RI", "COID": coid, "region": "region", "_mx": "_day"}
+    g = win_agg(p, grid, {**{n: Agg("last", c, -12) for n, c in last.items()}, "_n": Agg("n", "_v", -12), "_avg": Agg("avg", "_v", -12)})
+    return g.filter(F.col("_mx") > F.date_sub("T", recent_days)).select(
+        F.col("T").alias("date"), "DTID", "region", "MC", "PRC", "RI", "COID", F.when(F.col("_n") >= min_obs, F.col("_avg") / 1e6).alias("VOL"))
 
 
 # lowest price by region (fixed values)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelquant.operators import distribution as D
 from panelquant.operators.asof import Grid
+from panelquant.plans import panel as P
 
 TAUS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
@@ -34,3 +35,14 @@ def test_quantiles_of_joined_months(spark):
         v = [x for _, d, x in rows if dt.date(y, m + 1, 1) <= d < T]
         assert r["n"] == len(v) and np.allclose(r["q"], np.quantile(v, TAUS), atol=1e-12)
         assert np.isclose(r["y"], sum(x for _, d, x in rows if (d.year, d.month) == (T.year, T.month)))
+
+
+def test_characteristics_copy_no_rows(spark):
+    rows = [("1", dt.date(2000, 1, 3) + dt.timedelta(days=k), 10.0 + k, 5.0, 2.0, 100.0 + k, "f", "EU") for k in range(80)]
+    p = spark.createDataFrame(rows, "DTID string, date date, PRC double, MC double, VOL double, RI double, FTID string, region string")
+    c = P.characteristics(p, Grid("2000-02-01", "2000-06-01"))
+    assert "Join" not in plan(c)
+    got = {str(r["date"]): r for r in c.collect()}
+    assert sorted(got) == ["2000-02-01", "2000-03-01"]
+    assert got["2000-03-01"]["PRC"] == 67.0 and got["2000-02-01"]["VOL"] is None
+    assert np.isclose(got["2000-03-01"]["VOL"], np.mean([2 * (10.0 + k) for k in range(58)]) / 1e6)
