@@ -187,18 +187,42 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2 ** 53
 
 
-def _matrix(col):
-    return np.stack(col.to_numpy()) if len(col) else np.zeros((0, 0))
-
-
 def _columns(df: DataFrame, spec: Spec, key) -> DataFrame:
-    arr = lambda xs: F.array(*[F.col(c).cast("double") for c in xs])
-    cols = [arr(spec.xs).alias("x1"), F.col(spec.y).cast("double").alias("y1"), F.xxhash64(*key).alias("h")]
+    num = lambda c, n: F.col(c).cast("double").alias(n)
+    cols = [num(c, f"x1_{i}") for i, c in enumerate(spec.xs)] + [num(spec.y, "y1"), F.xxhash64(*key).alias("h")]
     if spec.heads >= 2:
-        cols += [arr(spec.stage2).alias("x2"), F.col(spec.y2).cast("double").alias("y2"), F.col(spec.scale).cast("double").alias("s")]
+        cols += [num(c, f"x2_{i}") for i, c in enumerate(spec.stage2)] + [num(spec.y2, "y2"), num(spec.scale, "s")]
     return df.select(*cols).dropna()
 
 
+def _blocks(spec: Spec):
+    """mapInPandas function: rows packed as little-endian doubles, one binary value per batch, so a step unpacks nothing row by row."""
+    import pandas as pd
+
+    names = _block_names(spec)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack([pdf[c].to_numpy(dtype=np.float64, na_value=np.nan) for c in names])
+                yield pd.DataFrame({"n": [len(pdf)], "h": [pdf["h"].to_numpy(dtype=np.int64).tobytes()], "v": [m.tobytes()]})
+
+    return run
+
+
+def _block_names(spec: Spec):
+    x1 = [f"x1_{i}" for i in range(len(spec.xs))]
+    return [*x1, "y1"] + ([*[f"x2_{i}" for i in range(len(spec.stage2))], "y2", "s"] if spec.heads >= 2 else [])
+
+
+def _unpack(spec: Spec, n: int, h: bytes, v: bytes):
+    """X1, y1, h, (X2, y2, s) of one block."""
+    m, k = np.frombuffer(v, dtype=np.float64).reshape(-1, n), len(spec.xs)
+    two = (m[k + 1:-2].T, m[-2], m[-1]) if spec.heads >= 2 else (None, None, None)
+    return m[:k].T, m[k], np.frombuffer(h, dtype=np.int64), two
+
+
+_BLOCK = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("v", T.BinaryType())])
 _STEP = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("st", T.ArrayType(T.DoubleType()))])
 
 
@@ -210,22 +234,20 @@ def _gradients(spec: Spec, vectors, like, seeds, holdout):
         acc = [np.zeros_like(v) for v in vectors]
         st = np.zeros((len(vectors), 4))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            X1, y1, h = _matrix(pdf["x1"]), pdf["y1"].to_numpy(), pdf["h"].to_numpy()
-            two = (_matrix(pdf["x2"]), pdf["y2"].to_numpy(), pdf["s"].to_numpy()) if spec.heads >= 2 else (None, None, None)
-            for i, v in enumerate(vectors):
-                p = _unflat(v, like)
-                tr = _mix(h, seeds[i]) >= holdout
-                pick = lambda a, ix: None if a is None else a[ix]
-                rows, g = evaluate_batch(p, spec, X1[tr], y1[tr], *[pick(a, tr) for a in two])
-                acc[i] += _flat(g)
-                st[i, 0] += rows.sum()
-                st[i, 1] += tr.sum()
-                if holdout > 0:
-                    rows, _ = evaluate_batch(p, spec, X1[~tr], y1[~tr], *[pick(a, ~tr) for a in two], grad=False)
-                    st[i, 2] += rows.sum()
-                    st[i, 3] += (~tr).sum()
+            for n, hb, vb in zip(pdf["n"], pdf["h"], pdf["v"]):
+                X1, y1, h, two = _unpack(spec, n, hb, vb)
+                for i, v in enumerate(vectors):
+                    p = _unflat(v, like)
+                    tr = _mix(h, seeds[i]) >= holdout
+                    pick = lambda a, ix: None if a is None else a[ix]
+                    rows, g = evaluate_batch(p, spec, X1[tr], y1[tr], *[pick(a, tr) for a in two])
+                    acc[i] += _flat(g)
+                    st[i, 0] += rows.sum()
+                    st[i, 1] += tr.sum()
+                    if holdout > 0:
+                        rows, _ = evaluate_batch(p, spec, X1[~tr], y1[~tr], *[pick(a, ~tr) for a in two], grad=False)
+                        st[i, 2] += rows.sum()
+                        st[i, 3] += (~tr).sum()
         yield pd.DataFrame({"m": np.arange(len(vectors), dtype=np.int32), "g": list(acc), "st": list(st)})
 
     return run
@@ -253,7 +275,7 @@ def fit_quantile(df: DataFrame, xs, y: str, taus, stage2=None, y2=None, scale=No
     """
     heads = heads or (2 if stage2 else 1)
     spec = Spec(list(xs), y, tuple(taus), list(stage2) if stage2 else None, y2, scale, tuple(hidden), tuple(hidden2), act, loss, heads, loss_weights, holdout)
-    data = _columns(stage(df), spec, key).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _columns(stage(df), spec, key).mapInPandas(_blocks(spec), _BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
     like = init_params(spec, seed)
     vec = [start.members[i % len(start.members)].copy() if start else _flat(init_params(spec, seed + i)) for i in range(members)]
     seeds = [seed + 1 + i for i in range(members)]

@@ -46,3 +46,16 @@ def test_characteristics_copy_no_rows(spark):
     assert sorted(got) == ["2000-02-01", "2000-03-01"]
     assert got["2000-03-01"]["PRC"] == 67.0 and got["2000-02-01"]["VOL"] is None
     assert np.isclose(got["2000-03-01"]["VOL"], np.mean([2 * (10.0 + k) for k in range(58)]) / 1e6)
+
+
+def test_training_rows_travel_in_blocks(spark):
+    from panelquant.models import quantile as Q
+
+    rows = [("d", str(i), float(i % 7), float(i % 5), 0.1 * i) for i in range(50)] + [("d", "x", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "date string, DTID string, a double, b double, y double").coalesce(1)
+    spec = Q.Spec(["a", "b"], "y", (0.5,))
+    blocks = Q._columns(df, spec, ["date", "DTID"]).mapInPandas(Q._blocks(spec), Q._BLOCK).collect()
+    assert len(blocks) == 1 and blocks[0]["n"] == 50  # the row with a missing input is not trained on
+    X, y, h, _ = Q._unpack(spec, blocks[0]["n"], blocks[0]["h"], blocks[0]["v"])
+    assert X.shape == (50, 2) and np.allclose(X[8], [1.0, 3.0]) and np.isclose(y[8], 0.8) and len(set(h)) == 50
+    assert np.isfinite(Q.fit_quantile(df, ["a", "b"], "y", (0.5,), steps=3).history).all()
