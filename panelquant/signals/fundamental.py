@@ -385,11 +385,26 @@ def _features(x):
     w = W.partitionBy("FTID", "T").orderBy("FinYearEnd")
     ret = fdiv("RI", "RI_lag") - 1
     s = s.withColumn("eps", finite(fdiv("epspx", "ajex"))).withColumn("l_eps", F.lag("eps").over(w)).withColumn("earn", finite(fdiv("ib", "MC"))).withColumn("ret", finite(ret))
-    s = s.withColumn("neg", flag(c("ret") < 0)).withColumn("rneg", c("neg") * c("ret"))
     a = group_ols(s, KF, "eps", ["l_eps"]).filter(c("n") >= n).select(*KF, c("b1").alias("EPer"), c("ssr").alias("EPred"))
-    xs = ["neg", "ret", "rneg"]
-    b = group_ols(s, KF, "earn", xs).filter(c("n") >= n).select(*KF, c("r2").alias("ETime"), ((c("b1") + c("b2")) / F.when(c("b1") != 0, c("b1"))).alias("ECon"))
-    return a.join(b, KF, "outer")
+    return a.join(_signed_lines(s.filter("earn is not null and ret is not null")).filter(c("n") >= n).select(*KF, "ETime", "ECon"), KF, "outer")
+
+
+def _signed_lines(s):
+    """earn on ret with own constant and slope for losses: two separate lines, so two close returns on one side cost no digits.
+
+    A side with a single return takes the other side's slope.
+    """
+    aggs = [F.count(F.lit(1)).alias("n"), F.var_pop("earn").alias("vy")]
+    for k, side in ((0, c("ret") >= 0), (1, c("ret") < 0)):
+        x, y = F.when(side, c("ret")), F.when(side, c("earn"))
+        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"x{k}"), F.avg(y).alias(f"y{k}"), F.var_pop(x).alias(f"vx{k}"), F.var_pop(y).alias(f"vy{k}"), F.covar_pop(x, y).alias(f"xy{k}")]
+    g = s.groupBy(*KF).agg(*aggs)
+    g = g.withColumns({f"b{k}": F.when(c(f"vx{k}") > 0, c(f"xy{k}") / c(f"vx{k}")) for k in (0, 1)})
+    g = g.withColumns({"s0": F.coalesce("b0", "b1"), "s1": F.coalesce("b1", "b0")})
+    left = sum(F.coalesce(c(f"n{k}") * F.greatest(c(f"vy{k}") - F.coalesce(c(f"b{k}") * c(f"xy{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) for k in (0, 1))
+    d = (c("y1") - c("s1") * c("x1")) - (c("y0") - c("s0") * c("x0"))
+    g = g.withColumn("d", d).withColumn("ETime", 1 - left / F.when(c("vy") > 0, c("vy") * c("n")))
+    return g.withColumn("ECon", (c("d") + c("s0")) / F.when(c("d") != 0, c("d")))
 
 
 @_b("IntangibleReturn", ["IntanRet"], {"FT": (-78, 0, BE_ITEMS + ["MC", "DTID", "FinYearEnd"]), "dt": (-101, 0, ["RI", "PRC"])}, n=6)

@@ -59,3 +59,17 @@ def test_training_rows_travel_in_blocks(spark):
     X, y, h, _ = Q._unpack(spec, blocks[0]["n"], blocks[0]["h"], blocks[0]["v"])
     assert X.shape == (50, 2) and np.allclose(X[8], [1.0, 3.0]) and np.isclose(y[8], 0.8) and len(set(h)) == 50
     assert np.isfinite(Q.fit_quantile(df, ["a", "b"], "y", (0.5,), steps=3).history).all()
+
+
+def test_two_close_losses_cost_no_digits(spark):
+    from panelquant.signals.fundamental import _signed_lines
+
+    e = 2e-6
+    pts = [(0.1, 1.0), (0.2, 1.3), (0.5, 1.9), (0.9, 2.2), (-0.3, 0.5), (-0.3 - e, 0.7)]
+    s = spark.createDataFrame([("2000-01-01", "f", r, y) for r, y in pts], "T string, FTID string, ret double, earn double")
+    r = _signed_lines(s).collect()[0]
+    b1, (b0, a0) = (0.7 - 0.5) / -e, np.polyfit([p[0] for p in pts[:4]], [p[1] for p in pts[:4]], 1)
+    d = 0.6 - b1 * (-0.3 - e / 2) - a0
+    assert np.isclose(r["ECon"], (d + b0) / d, rtol=1e-9)
+    fit = sum((y - a0 - b0 * x) ** 2 for x, y in pts[:4])
+    assert np.isclose(r["ETime"], 1 - fit / (6 * np.var([p[1] for p in pts])), rtol=1e-9)
