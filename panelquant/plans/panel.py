@@ -77,7 +77,7 @@ PRICE_FLOOR = {"USA": 1.0, "North America": 1.0, "Japan": 1.0, "Europe": 1.0, "A
 def eligible(chars: DataFrame, mc_lim: float = 0.05, vol_lim: float = 0.05, price: dict | None = None, ri_lim: float = 0.0003) -> DataFrame:
     """Size, volume and price rules on cumulative shares per (date, region)."""
     price = PRICE_FLOOR if price is None else price
-    d = chars.filter("PRC is not null and MC is not null").na.fill(0.0, ["RI", "VOL"])
+    d = stage(chars.filter("PRC is not null and MC is not null").na.fill(0.0, ["RI", "VOL"]))  # ordering by ranges reads it twice
     d = X.cumulative_share(d, "MC", BY, "DTID", "_mc")
     d = X.cumulative_share(d, "VOL", BY, "DTID", "_vol")
     floor = F.create_map(*[F.lit(x) for kv in price.items() for x in kv])
