@@ -6,6 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import clean, fdiv, finite, fln, fpow, month_no, nz
+from panelquant.functions.stage import stage
 from panelquant.operators import xsection as X
 from panelquant.operators.asof import BROADCAST_ROWS, Agg, asof_grid, last_of, month_bucket, snapshot, win_agg
 from panelquant.operators.series import group_ols, product_agg, residuals, safe_corr
@@ -218,14 +219,17 @@ def _down_beta(x):
 
 @_cls("TailRisk", ["TailRisk"], {"dt": (-121, 0, ["r", "RI"])}, n=36)
 def _tail(x):
-    p = x.dt.filter("r is not null and RI is not null").select("DTID", "date", "r", "RI").withColumn("mno", month_no("date"))
-    gk = ["mno"]
-    if not x.grid.monthly:  # months counted back from T
-        p0 = snapshot(p.drop("mno"), x.grid, -121, 0, ["r"]).withColumn("mno", month_no("T") - month_bucket() - 1)
-        gk = ["T", "mno"]
-    else:  # on month starts those are calendar months: one tail index per month serves every T
-        p0 = p
-    q = X.with_quantiles(p0, gk, {"q": ("r", 0.05)}).filter("r < q")
+    p = stage(x.dt.filter("r is not null and RI is not null").select("DTID", "date", "r", "RI"))
+    if x.grid.monthly:  # calendar months: one tail index per month serves every T
+        p0, gk = p.select(month_no("date").alias("mno"), "r"), ["mno"]
+    else:  # months counted back from T; many (T, j) share the same days, so there is one index per pair of bounds
+        months = x.grid.df(p.sparkSession).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(120))))
+        months = months.withColumns({"lo": F.add_months("T", -c("j") - 1), "hi": F.add_months("T", -c("j"))})
+        days = months.select("lo", "hi").distinct().withColumn("date", F.explode(F.sequence("lo", F.date_sub("hi", 1))))
+        p0, gk = p.join(F.broadcast(days), "date").select("lo", "hi", "r"), ["lo", "hi"]  # at most 31 days for every day of the calendar
+    p0 = stage(p0)
+    # the quantiles are sent, one per period: the copied rows look small on disk, and an inner join would send those
+    q = p0.join(F.broadcast(X.group_quantiles(p0, gk, {"q": ("r", 0.05)})), gk).filter("r < q")
     idx = q.groupBy(*gk).agg(F.avg(fln(fdiv("r", "q"))).alias("idx"))
     win = p.select("DTID", "date", "RI")
     recent = snapshot(win, x.grid, -1, 0, []).filter(c("date") > F.add_months("T", -1)).select("T", "DTID").distinct()
@@ -233,8 +237,11 @@ def _tail(x):
     g = g.filter(c("src") > F.add_months("T", -120))
     w = W.partitionBy("DTID", "T").orderBy(c("j").desc())
     m = g.withColumn("r", fdiv("RI", F.when(F.lag("j").over(w) == c("j") + 1, F.lag("RI").over(w))) - 1)
-    m = m.join(recent, ["T", "DTID"], "left_semi").withColumn("mno", month_no("T") - c("j") - 1)
-    m = m.join(F.broadcast(idx), gk)  # months, or grid dates x 121 months
+    m = m.join(recent, ["T", "DTID"], "left_semi")
+    if x.grid.monthly:
+        m = m.withColumn("mno", month_no("T") - c("j") - 1).join(F.broadcast(idx), "mno")
+    else:
+        m = m.join(F.broadcast(months.join(idx, gk).select("T", "j", "idx")), ["T", "j"])  # grid dates x 121 months
     co = group_ols(m, ["T", "DTID"], "r", ["idx"]).filter(c("n") >= x.gate("TailRisk"))
     return co.select("T", "DTID", c("b1").alias("TailRisk"))
 

@@ -73,3 +73,28 @@ def test_two_close_losses_cost_no_digits(spark):
     assert np.isclose(r["ECon"], (d + b0) / d, rtol=1e-9)
     fit = sum((y - a0 - b0 * x) ** 2 for x, y in pts[:4])
     assert np.isclose(r["ETime"], 1 - fit / (6 * np.var([p[1] for p in pts])), rtol=1e-9)
+
+
+def test_weekly_tail_index_copies_rows_per_period_not_per_date(spark, monkeypatch):
+    import panelquant.functions.stage as stage_module
+    from panelquant.signals import SignalContext
+
+    rng = np.random.default_rng(5)
+    days = [dt.date(1996, 1, 1) + dt.timedelta(days=k) for k in range(1400)]
+    rows = [(i, d, float(rng.normal(0, 0.02)), float(100 + rng.normal())) for i in ("1", "2", "3") for d in days]
+    p = spark.createDataFrame(rows, "DTID string, date date, r double, RI double").filter("r is not null")
+    written, write = [], stage_module.materialise
+    monkeypatch.setattr(stage_module, "materialise", lambda df: written.append(df.count()) or write(df))
+    grid = Grid("1999-01-04", "1999-10-25", "7D")
+    out = SignalContext({"dt": p}, grid).cls("TailRisk").filter("DTID = '1'").orderBy("T").limit(1).collect()[0]
+    assert max(written) <= 31 * len(rows)  # it was rows x grid dates
+    T, back = grid.dates()[0], lambda k: dt.date(*[(1999 * 12 - k) // 12, (1999 * 12 - k) % 12 + 1], 4)
+    r = np.array([[x[2] for x in rows if x[0] == i] for i in ("1", "2", "3")])
+    pos, pts = {d: k for k, d in enumerate(days)}, []
+    for j in range(36):
+        a, b = pos[back(j + 1)], pos[back(j)]
+        v = r[:, a:b].ravel()
+        q = np.quantile(v, 0.05)
+        pts.append((rows[b - (j == 0)][3] / rows[a][3] - 1, np.mean(np.log(v[v < q] / q))))
+    y, x = np.array(pts).T
+    assert out["T"] == T and np.isclose(out["TailRisk"], np.polyfit(x, y, 1)[0])
