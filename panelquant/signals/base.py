@@ -147,14 +147,14 @@ def fiscal_snapshot(ft: DataFrame, dt: DataFrame | None, grid: Grid, start: int,
     `age` is the fiscal-year bucket as seen at T; the later row of a bucket wins.  Rows newer
     than T-12 months take the last market value of their security when there is one.
     """
-    s = snapshot(ft, grid, start, end, None, "FTID", "date")
+    s = snapshot(ft, grid, start, end, None, "FTID", "date").withColumn("age", F.ceil(F.datediff("T", "FinYearEnd") / 365))
+    w = W.partitionBy("FTID", "T", "age").orderBy(F.col("date").desc(), F.col("FinYearEnd").desc())
+    s = s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")  # before the join: rows still lie by FTID
     if dt is not None and "MC" in ft.columns:
         mc = win_agg(dt.select("DTID", "date", "MC"), grid, {"MClast": Agg("last", "MC", mc_start, 0)}).filter("MClast is not null")
         s = s.join(mc, ["T", "DTID"], "left")
         s = s.withColumn("MC", F.when((F.col("date") > F.add_months("T", -12)) & F.col("MClast").isNotNull(), F.col("MClast")).otherwise(F.col("MC"))).drop("MClast")
-    s = s.withColumn("age", F.ceil(F.datediff("T", "FinYearEnd") / 365))
-    w = W.partitionBy("FTID", "T", "age").orderBy(F.col("date").desc(), F.col("FinYearEnd").desc())
-    return s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    return s
 
 
 def fw():

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import book_equity, clean, fdiv, finite, flag, fln, fpow, null_if, nz
+from panelquant.functions.stage import stage
 from panelquant.operators import xsection as X
 from panelquant.operators.asof import asof_join, last_of
 from panelquant.operators.series import group_ols, residuals
-from panelquant.signals.base import Items, SignalClass, SignalContext, double_quantile, fw, register
+from panelquant.signals.base import Items, SignalClass, SignalContext, double_quantile, fiscal_snapshot, fw, register
 
 c = F.col
 KF = ["T", "FTID"]
@@ -376,29 +377,73 @@ def _prices_at(x: SignalContext, st: DataFrame, start: int, cols, shift: int, la
     return st.drop("_pd", "_qd", "_d")
 
 
+def _last_at(points: DataFrame, panel: DataFrame, date, cols) -> DataFrame:
+    """(DTID, _g): per security its points in order, each with the last panel row whose `date` is at or before it; points without any are left out.
+
+    A security has a few points, at most one per calendar day; every panel row goes to the first point at or after it, so the aggregate
+    keeps one row per point and no panel row is ordered.
+    """
+    pts = points.filter("DTID is not null and _d is not null").groupBy("DTID").agg(F.sort_array(F.collect_set("_d")).alias("_ds"))
+    p = panel.select("DTID", "date", *cols, date.alias("_at")).join(pts, "DTID")
+    p = p.withColumn("_d", F.get(F.filter("_ds", lambda d: d >= c("_at")), F.lit(0))).filter("_d is not null")
+    g = p.groupBy("DTID", "_d").agg(F.max("date").alias("pd"), *[F.max_by(v, "date").alias(v) for v in cols])
+    # a point without rows of its own takes the nearest earlier one's
+    g = g.groupBy("DTID").agg(F.sort_array(F.collect_list(F.struct("_d", F.struct("pd", *cols).alias("_v")))).alias("_g"))
+    return pts.join(g, "DTID").select("DTID", "_g")
+
+
+def _found(g, d):
+    """The row for point d among a security's found points."""
+    return F.try_element_at(F.filter(g, lambda x: x["_d"] <= d), F.lit(-1))["_v"]
+
+
 @_b("EarningsFeatures", ["EPer", "EPred", "ETime", "ECon"], {"FT": (-138, 0, ["epspx", "ib", "MC", "DTID", "FinYearEnd", "ajex"]), "dt": (-161, 0, ["RI"])}, n=10)
 def _features(x):
-    n = x.gate("EarningsFeatures")
-    s = x.statements().filter(Items(-138).inside)
-    live = s.filter(c("date") > F.add_months("T", -18)).select("T", "DTID").distinct()
-    s = _prices_at(x, s.join(live, ["T", "DTID"], "left_semi"), -161, ["RI"], 3, 15)
+    """Prices are looked up per statement, before it is copied to the grid dates it is seen at; what is copied holds eight columns."""
+    n, dt = x.gate("EarningsFeatures"), x.dt.select("DTID", "date", "RI")
+    ft = stage(x.sources["FT"].select("FTID", "DTID", "date", "FinYearEnd", "ib", "MC", finite(fdiv("epspx", "ajex")).alias("eps")))
+    ft = ft.withColumn("_d", F.add_months("FinYearEnd", 3))
+    days = F.array(*[F.lit(d) for d in x.grid.dates()])
+    early = F.filter(days, lambda t: (t > c("date")) & (t <= c("_d")))  # grid dates that see a statement before its price date
+    pts = ft.select("DTID", F.explode(F.concat(F.array("_d"), F.transform(early, lambda t: F.date_sub(t, 1)))).alias("_d"))
+    now, lag = _last_at(pts, dt, c("date"), ["RI"]), _last_at(ft.select("DTID", "_d"), dt, F.add_months("date", 15), ["RI"])
+    ft = ft.join(now.withColumnRenamed("_g", "_gn"), "DTID", "left").join(lag.withColumnRenamed("_g", "_gl"), "DTID", "left")
+    ft = ft.select("FTID", "DTID", "date", "FinYearEnd", "ib", "MC", "eps", "_d", _found("_gn", c("_d")).alias("_p"), _found("_gl", c("_d")).alias("_q"),
+                   F.when(F.size(early) > 0, F.transform(early, lambda t: F.struct(t.alias("T"), _found("_gn", F.date_sub(t, 1)).alias("p")))).alias("_e"))
+    s = fiscal_snapshot(ft, x.dt, x.grid, -138, 0, mc_start=x.mc_start)
+    s = s.withColumn("_live", F.max("date").over(W.partitionBy("T", "DTID"))).filter(c("DTID").isNotNull() & (c("_live") > F.add_months("T", -18)))
+    p = F.when(c("T") > c("_d"), c("_p")).otherwise(F.get(F.filter("_e", lambda e: e["T"] == c("T")), F.lit(0))["p"])
+    lo = F.add_months("T", -161)
+    ri, ri_lag = F.when(p["pd"] >= lo, p["RI"]), F.when((c("_q.pd") >= lo) & (c("_q.pd") < c("T")), c("_q.RI"))
     w = W.partitionBy("FTID", "T").orderBy("FinYearEnd")
-    ret = fdiv("RI", "RI_lag") - 1
-    s = s.withColumn("eps", finite(fdiv("epspx", "ajex"))).withColumn("l_eps", F.lag("eps").over(w)).withColumn("earn", finite(fdiv("ib", "MC"))).withColumn("ret", finite(ret))
-    a = group_ols(s, KF, "eps", ["l_eps"]).filter(c("n") >= n).select(*KF, c("b1").alias("EPer"), c("ssr").alias("EPred"))
-    return a.join(_signed_lines(s.filter("earn is not null and ret is not null")).filter(c("n") >= n).select(*KF, "ETime", "ECon"), KF, "outer")
+    s = s.select(*KF, "FinYearEnd", "eps", finite(fdiv("ib", "MC")).alias("earn"), finite(fdiv(ri, ri_lag) - 1).alias("ret")).withColumn("l_eps", F.lag("eps").over(w))
+    both, pair = c("earn").isNotNull() & c("ret").isNotNull(), c("eps").isNotNull() & c("l_eps").isNotNull()
+    s = s.withColumns({v: F.when(both, c(v)) for v in ("earn", "ret")} | {v: F.when(pair, c(v)) for v in ("eps", "l_eps")})
+    g = s.groupBy(*KF).agg(*_side_sums(), F.count("eps").alias("ne"), F.covar_pop("l_eps", "l_eps").alias("exx"), F.covar_pop("l_eps", "eps").alias("exy"), F.covar_pop("eps", "eps").alias("eyy"))
+    slope = F.coalesce(c("exy") / F.when(c("exx") > 0, c("exx")), F.lit(0.0))
+    g = _lines(g.withColumn("_b", slope)).filter((c("ne") >= n) | (c("n") >= n))
+    a, e = c("ne") >= n, c("n") >= n
+    return g.select(*KF, F.when(a, c("_b")).alias("EPer"), F.when(a, F.greatest(c("eyy") - c("_b") * c("exy"), F.lit(0.0)) * c("ne")).alias("EPred"), *[F.when(e, c(v)).alias(v) for v in ("ETime", "ECon")])
+
+
+def _side_sums():
+    """Aggregates of earn and ret by the sign of the return; rows carry both or neither."""
+    aggs = [F.count("earn").alias("n"), F.var_pop("earn").alias("vy")]
+    for k, side in ((0, c("ret") >= 0), (1, c("ret") < 0)):
+        x, y = F.when(side, c("ret")), F.when(side, c("earn"))
+        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"x{k}"), F.avg(y).alias(f"y{k}"), F.var_pop(x).alias(f"vx{k}"), F.var_pop(y).alias(f"vy{k}"), F.covar_pop(x, y).alias(f"xy{k}")]
+    return aggs
 
 
 def _signed_lines(s):
+    return _lines(s.groupBy(*KF).agg(*_side_sums()))
+
+
+def _lines(g):
     """earn on ret with own constant and slope for losses: two separate lines, so two close returns on one side cost no digits.
 
     A side with a single return takes the other side's slope.
     """
-    aggs = [F.count(F.lit(1)).alias("n"), F.var_pop("earn").alias("vy")]
-    for k, side in ((0, c("ret") >= 0), (1, c("ret") < 0)):
-        x, y = F.when(side, c("ret")), F.when(side, c("earn"))
-        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"x{k}"), F.avg(y).alias(f"y{k}"), F.var_pop(x).alias(f"vx{k}"), F.var_pop(y).alias(f"vy{k}"), F.covar_pop(x, y).alias(f"xy{k}")]
-    g = s.groupBy(*KF).agg(*aggs)
     g = g.withColumns({f"b{k}": F.when(c(f"vx{k}") > 0, c(f"xy{k}") / c(f"vx{k}")) for k in (0, 1)})
     g = g.withColumns({"s0": F.coalesce("b0", "b1"), "s1": F.coalesce("b1", "b0")})
     left = sum(F.coalesce(c(f"n{k}") * F.greatest(c(f"vy{k}") - F.coalesce(c(f"b{k}") * c(f"xy{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) for k in (0, 1))

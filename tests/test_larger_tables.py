@@ -98,3 +98,21 @@ def test_weekly_tail_index_copies_rows_per_period_not_per_date(spark, monkeypatc
         pts.append((rows[b - (j == 0)][3] / rows[a][3] - 1, np.mean(np.log(v[v < q] / q))))
     y, x = np.array(pts).T
     assert out["T"] == T and np.isclose(out["TailRisk"], np.polyfit(x, y, 1)[0])
+
+
+def test_prices_are_found_per_statement_point(spark, monkeypatch):
+    import __spark_entry__ as entry
+    import panelquant.functions.stage as stage_module
+    from panelquant.signals.fundamental import _found, _last_at
+
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(days=k)
+    panel = spark.createDataFrame([("1", day(k), float(k)) for k in (3, 4, 9, 30)] + [("2", day(5), None)], "DTID string, date date, RI double")
+    pts = spark.createDataFrame([("1", day(k)) for k in (1, 4, 8, 8, 20, 40)] + [("2", day(6)), ("3", day(6)), (None, day(6))], "DTID string, _d date")
+    got = _last_at(pts, panel, F.col("date"), ["RI"])
+    r = {(x["DTID"], (x["_d"] - day(0)).days): x["v"] for x in pts.filter("DTID is not null").join(got, "DTID", "left").select("DTID", "_d", _found("_g", F.col("_d")).alias("v")).collect()}
+    assert {k: v and (v["pd"] - day(0)).days for k, v in r.items()} == {("1", 1): None, ("1", 4): 4, ("1", 8): 4, ("1", 20): 9, ("1", 40): 30, ("2", 6): 5, ("3", 6): None}
+    assert r["1", 20]["RI"] == 9.0 and r["2", 6]["RI"] is None  # a row is taken whole
+    written, write = [], stage_module.materialise
+    monkeypatch.setattr(stage_module, "materialise", lambda df: written.append(df.columns) or write(df))
+    entry.queries()["fu57_earnings_features"](spark, "/root/testdata/sf0.001")
+    assert not [c for c in written if "T" in c]  # statements copied to grid dates were written three times, all items wide
