@@ -18,14 +18,14 @@ from panelquant.functions.stage import stage
 
 
 def _act(z, kind):
-    return {"leaky_relu": lambda: np.where(z > 0, z, 0.01 * z), "relu": lambda: np.maximum(z, 0), "sigmoid": lambda: 1 / (1 + np.exp(-z))}[kind]()
+    return {"leaky_relu": lambda: np.maximum(z, 0.01 * z), "relu": lambda: np.maximum(z, 0), "sigmoid": lambda: 1 / (1 + np.exp(-z))}[kind]()
 
 
 def _act_grad(z, kind):
     if kind == "sigmoid":
         s = 1 / (1 + np.exp(-z))
         return s * (1 - s)
-    return np.where(z > 0, 1.0, 0.01 if kind == "leaky_relu" else 0.0)
+    return (z > 0) * 0.99 + 0.01 if kind == "leaky_relu" else (z > 0) * 1.0
 
 
 def _forward(layers, X, act):
@@ -38,17 +38,6 @@ def _forward(layers, X, act):
     return h, tape
 
 
-def _backward(layers, tape, dout, act):
-    grads, d = [None] * len(layers), dout
-    for i in reversed(range(len(layers))):
-        h, z = tape[i]
-        if i < len(layers) - 1:
-            d = d * _act_grad(z, act)
-        grads[i] = (h.T @ d, d.sum(axis=0))
-        d = d @ layers[i][0].T
-    return grads, d
-
-
 def loss_terms(e, taus, kind="pinball", delta=1.0):
     """Summed loss and its derivative with respect to the prediction; e = target - prediction."""
     if kind == "pinball":
@@ -125,48 +114,92 @@ def _unflat(v, like):
     return out
 
 
-def evaluate_batch(p, spec: Spec, X1, y1, X2=None, y2=None, scale=None, grad=True):
-    """Per-row mean loss over levels and, if asked, the gradient of the summed loss."""
-    taus = np.asarray(spec.taus)[None, :]
+def _terms(e, taus, kind):
+    """loss_terms with a cheaper pinball: the loss is minus the derivative times e.  Returns row sums over levels and the derivative."""
+    if kind == "pinball":
+        D = (e <= 0) - taus
+        return -np.einsum("kn,kn->n", D, e), D
+    L, D = loss_terms(e, taus, kind)
+    return L.sum(axis=0), D * np.ones_like(e)
+
+
+def evaluate_batch(p, spec: Spec, X1, y1, X2=None, y2=None, scale=None, grad=True, keep=None):
+    """Per-row mean loss over levels and, if asked, the gradient of the summed loss (of the rows weighted by `keep`).
+
+    Inside, arrays lie level by level, as the blocks do, so every pass runs along the rows.
+    """
+    taus = np.asarray(spec.taus)[:, None]
     k = spec.outputs
     w1, w2, w3 = spec.loss_weights
-    q, tape1 = _forward(p["net1"], X1, spec.act)
+    T_ = lambda layers: [(np.ascontiguousarray(Wt.T), b[:, None]) for Wt, b in layers]
+    net1 = T_(p["net1"])
+    q, tape1 = _forward_levels(net1, X1.T, spec.act)
+    wt = 1.0 if keep is None else keep
     if spec.heads == 1:
-        L, D = loss_terms(y1[:, None] - q, taus, spec.loss)
-        rows = L.mean(axis=1) * w1
+        L, D = _terms(y1 - q, taus, spec.loss)
+        rows = L * (w1 / k)
         if not grad:
             return rows, None
-        g1, _ = _backward(p["net1"], tape1, w1 * D / k, spec.act)
-        return rows, {"net1": g1}
-    s = scale[:, None]
-    raw = q * s
+        D *= w1 / k * wt
+        return rows, {"net1": _backward_levels(net1, tape1, D, spec.act)}
+    raw = q * scale
     clip1 = raw < -1
-    q1 = np.where(clip1, -1 / s, q)
-    m, tape2 = _forward(p["net2"], X2, spec.act)
-    prod = raw * m
-    clip2 = prod < -1
-    q2 = np.where(clip2, -1.0, prod)
-    L1, D1 = loss_terms(y1[:, None] - q1, taus, spec.loss)
-    L2, D2 = loss_terms(y2[:, None] - q2, taus, spec.loss)
-    rows = w1 * L1.mean(axis=1) + w2 * L2.mean(axis=1)
+    q1 = np.where(clip1, -1 / scale, q) if clip1.any() else q
+    net2 = T_(p["net2"])
+    m, tape2 = _forward_levels(net2, X2.T, spec.act)
+    q2 = raw * m
+    clip2 = q2 < -1
+    np.maximum(q2, -1.0, out=q2)
+    L1, D1 = _terms(y1 - q1, taus, spec.loss)
+    L2, D2 = _terms(y2 - q2, taus, spec.loss)
+    rows = L1 * (w1 / k) + L2 * (w2 / k)
     g = {}
-    d2 = w2 * D2 / k
     if spec.heads == 3:
-        f, tape3 = _forward(p["net3"], q2, spec.act)
-        e3 = y2 - f[:, 0]
+        net3 = T_(p["net3"])
+        f, tape3 = _forward_levels(net3, q2, spec.act)
+        e3 = y2 - f[0]
         rows = rows + w3 * 0.5 * e3 * e3
-        if grad:
-            g["net3"], back = _backward(p["net3"], tape3, (-w3 * e3)[:, None], spec.act)
-            d2 = d2 + back
     if not grad:
         return rows, None
-    d2 = np.where(clip2, 0.0, d2)
-    d1 = np.where(clip1, 0.0, w1 * D1 / k) + d2 * s * m
-    g["net2"], _ = _backward(p["net2"], tape2, (d2 * raw).sum(axis=1, keepdims=True), spec.act)
-    g["net1"], _ = _backward(p["net1"], tape1, d1, spec.act)
+    D2 *= w2 / k * wt
+    if spec.heads == 3:
+        dout = (-w3 * e3 * wt)[None, :]
+        g["net3"] = _backward_levels(net3, tape3, dout, spec.act)
+        D2 += net3[0][0].T @ dout
+    if clip2.any():
+        D2[clip2] = 0.0
+    D1 *= w1 / k * wt
+    if clip1.any():
+        D1[clip1] = 0.0
+    g["net2"] = _backward_levels(net2, tape2, np.einsum("kn,kn->n", D2, raw)[None, :], spec.act)
+    D2 *= scale * m
+    D1 += D2
+    g["net1"] = _backward_levels(net1, tape1, D1, spec.act)
     return rows, g
 
 
+def _forward_levels(layers, h, act):
+    """_forward on (features, rows) arrays and transposed weights, with the (input, pre-activation) pairs of every layer."""
+    tape = []
+    for i, (Wt, b) in enumerate(layers):
+        z = Wt @ h
+        z += b
+        tape.append((h, z))
+        h = z if i == len(layers) - 1 else _act(z, act)
+    return h, tape
+
+
+def _backward_levels(layers, tape, d, act):
+    grads = [None] * len(layers)
+    for i in reversed(range(len(layers))):
+        h, z = tape[i]
+        if i < len(layers) - 1:
+            d = d * _act_grad(z, act)
+        grads[i] = (h @ d.T, d.sum(axis=1))
+        d = layers[i][0].T @ d if i else None
+    return grads
+
+
 # ---------------------------------------------------------------- training
 
 
@@ -227,27 +260,25 @@ _STEP = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("g", T.
 
 
 def _gradients(spec: Spec, vectors, like, seeds, holdout):
-    """mapInPandas function: one row per member and partition (gradient sum, loss sums, counts)."""
+    """mapInPandas function: one row per member and partition (gradient sum, loss sums, counts).
+
+    Training and hold-out rows of a member take one pass together: hold-out rows have weight 0 in the gradient, nothing is copied apart.
+    """
     import pandas as pd
 
     def run(batches):
         acc = [np.zeros_like(v) for v in vectors]
         st = np.zeros((len(vectors), 4))
+        nets = [_unflat(v, like) for v in vectors]
         for pdf in batches:
             for n, hb, vb in zip(pdf["n"], pdf["h"], pdf["v"]):
                 X1, y1, h, two = _unpack(spec, n, hb, vb)
-                for i, v in enumerate(vectors):
-                    p = _unflat(v, like)
-                    tr = _mix(h, seeds[i]) >= holdout
-                    pick = lambda a, ix: None if a is None else a[ix]
-                    rows, g = evaluate_batch(p, spec, X1[tr], y1[tr], *[pick(a, tr) for a in two])
+                for i, p in enumerate(nets):
+                    tr = (_mix(h, seeds[i]) >= holdout).astype(np.float64)
+                    rows, g = evaluate_batch(p, spec, X1, y1, *two, keep=tr)
                     acc[i] += _flat(g)
-                    st[i, 0] += rows.sum()
-                    st[i, 1] += tr.sum()
-                    if holdout > 0:
-                        rows, _ = evaluate_batch(p, spec, X1[~tr], y1[~tr], *[pick(a, ~tr) for a in two], grad=False)
-                        st[i, 2] += rows.sum()
-                        st[i, 3] += (~tr).sum()
+                    kept, loss = tr.sum(), rows @ tr
+                    st[i] += (loss, kept, rows @ (1 - tr), n - kept)
         yield pd.DataFrame({"m": np.arange(len(vectors), dtype=np.int32), "g": list(acc), "st": list(st)})
 
     return run

@@ -116,3 +116,26 @@ def test_prices_are_found_per_statement_point(spark, monkeypatch):
     monkeypatch.setattr(stage_module, "materialise", lambda df: written.append(df.columns) or write(df))
     entry.queries()["fu57_earnings_features"](spark, "/root/testdata/sf0.001")
     assert not [c for c in written if "T" in c]  # statements copied to grid dates were written three times, all items wide
+
+
+def test_a_step_passes_rows_once_per_member(monkeypatch):
+    import pandas as pd
+
+    from panelquant.models import quantile as Q
+
+    rng = np.random.default_rng(1)
+    spec = Q.Spec(["a", "b"], "y", (0.1, 0.5, 0.9), stage2=["c"], y2="z", scale="s", hidden=(3,), heads=3)
+    pdf = pd.DataFrame({c: np.abs(rng.normal(size=400)) for c in Q._block_names(spec)} | {"h": rng.integers(-2**62, 2**62, 400)})
+    block = list(Q._blocks(spec)(iter([pdf])))[0]
+    like, vec = Q.init_params(spec, 1), [Q._flat(Q.init_params(spec, i)) + 0.1 * rng.normal(size=Q._flat(Q.init_params(spec, i)).size) for i in (1, 2)]
+    sizes, one = [], Q.evaluate_batch
+    monkeypatch.setattr(Q, "evaluate_batch", lambda p, sp, X, *a, **k: sizes.append(len(X)) or one(p, sp, X, *a, **k))
+    out = list(Q._gradients(spec, vec, like, [2, 3], 0.2)(iter([block])))[0]
+    assert sizes == [400, 400]  # it was two passes per member, over copies of its training and of its hold-out rows
+    X, y, h, two = Q._unpack(spec, 400, block["h"][0], block["v"][0])
+    for i, v in enumerate(vec):
+        tr = Q._mix(h, 2 + i) >= 0.2
+        loss = lambda u, m: one(Q._unflat(u, like), spec, X[m], y[m], *[a[m] for a in two], grad=False)[0].sum()
+        g = [(loss(v + 1e-6 * e, tr) - loss(v - 1e-6 * e, tr)) / 2e-6 for e in np.eye(len(v))]
+        assert np.allclose(out["g"][i], g, atol=1e-3)
+        assert np.allclose(out["st"][i], [loss(v, tr), tr.sum(), loss(v, ~tr), (~tr).sum()])
