@@ -139,3 +139,22 @@ def test_a_step_passes_rows_once_per_member(monkeypatch):
         g = [(loss(v + 1e-6 * e, tr) - loss(v - 1e-6 * e, tr)) / 2e-6 for e in np.eye(len(v))]
         assert np.allclose(out["g"][i], g, atol=1e-3)
         assert np.allclose(out["st"][i], [loss(v, tr), tr.sum(), loss(v, ~tr), (~tr).sum()])
+
+
+def test_every_distinct_lag_is_evaluated_once(spark):
+    from panelquant.signals import SignalContext
+    from panelquant.signals.base import statement_signals
+
+    eps = [1.0, 1.2, 1.5, 1.4, 1.8, 2.0, 2.1, 2.6]
+    rows = [(dt.date(2010, 1, 1), "f", dt.date(2001 + k, 12, 31), v) for k, v in enumerate(eps)]
+    snap = spark.createDataFrame(rows, "T date, FTID string, date date, epspx double")
+    ctx = SignalContext({}, Grid("2010-01-01", "2010-01-01"), _cache={"_ft": snap})
+    df = statement_signals(ctx, ["EarningsConsistency"])
+    width = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        assert plan(df).count("lag(") <= 12  # six lags of the item and of the window's mark; it was several hundred
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", width)
+    g = [1 + (eps[k] - eps[k - 1]) / ((eps[k - 1] + eps[k - 2]) / 2) for k in range(3, 8)]
+    assert np.isclose(df.collect()[0]["EConsit"], np.prod(g) ** 0.2 - 1)
