@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import fdiv, nz
-from panelquant.functions.stage import stage
+from panelquant.functions.stage import materialise, stage
 from panelquant.operators import xsection as X
 from panelquant.operators.asof import asof_join
 from panelquant.operators.series import max_drawdown, nw_std, running_product
@@ -63,28 +63,52 @@ def rebalancing_map(sig: DataFrame, ret: DataFrame) -> DataFrame:
     return d.filter("pred_date is not null").drop("_g")
 
 
+def _holdings(sig: DataFrame, ret: DataFrame, weight: str, ports) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calendar, holdings with their start weight `_w`, and return rows with the growth `_g` since the period started.
+
+    Returns are ordered once by (id, period) and meet one holding per (id, period): no holding is copied to the dates it is held for.
+    Market value and region come from the id's first return row of the period; an id without one is not held.
+    """
+    sig, ret = stage(sig), stage(ret.select("DTID", "date", "region", "MC", "r"))
+    period = W.partitionBy("pred_date")
+    cal = rebalancing_map(sig, ret).withColumn("_i", F.row_number().over(W.orderBy("date")))  # one row per calendar date
+    cal = materialise(cal.withColumns({"_begin": F.min("_i").over(period), "_end": F.max("_i").over(period)}))
+    r = ret.join(F.broadcast(cal), "date")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c)
+    h = r.groupBy("DTID", "pred_date").agg(first("region"), first("MC"))
+    h = materialise(sig.select(F.col("date").alias("pred_date"), "DTID", *ports).join(h, ["pred_date", "DTID"]))
+    w0 = F.lit(1.0) if weight == "EW" else F.col("MC")
+    tot = h.groupBy("pred_date", "region", *ports).agg(F.sum(w0).alias("_t"))
+    h = h.join(tot, ["pred_date", "region", *ports]).withColumn("_w", fdiv(w0, "_t")).drop("_t")
+    wk = W.partitionBy("DTID", "pred_date").orderBy("date")  # the return dates of one period
+    grown = nz(running_product(1 + F.col("r"), wk.rowsBetween(W.unboundedPreceding, -1)), 1.0)
+    d = r.withColumn("r", nz("r")).select("DTID", "pred_date", "date", "_i", "r", grown.alias("_g"),
+                                          F.when(F.row_number().over(wk) == 1, F.col("_begin")).otherwise(F.col("_i")).alias("_from"),
+                                          F.greatest(F.coalesce(F.lead("_i").over(wk) - 1, "_end"), "_i").alias("_to"))
+    return cal, h, d.join(h, ["DTID", "pred_date"])
+
+
 def weights(sig: DataFrame, ret: DataFrame, weight: str = "EW", ports=("Var",)) -> DataFrame:
     """Holdings per return date: start weight at the first date of a period, drifted by (1 + r).
 
     w_t = w_0 * product of (1 + r) since the period started, a running product per (id, period);
-    nothing loops over dates.  Missing returns are zero, market value and region come from the
-    id's first return row of the period.
+    nothing loops over dates.  Missing returns are zero: a return row also gives the dates up to
+    the id's next one, and these rows are made last, after every shuffle.
     """
     ports = list(ports)
-    sig, ret = stage(sig), stage(ret.select("DTID", "date", "region", "MC", "r"))
-    cal = rebalancing_map(sig, ret)  # one row per calendar date
-    s = sig.select(F.col("date").alias("pred_date"), "DTID", *ports).join(F.broadcast(cal), "pred_date")
-    d = s.join(ret.withColumn("_in", F.lit(1)), ["date", "DTID"], "left").withColumn("r", nz("r"))
-    wk = W.partitionBy("DTID", "pred_date", *ports).orderBy("date")  # the dates of one period
-    period = wk.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    d = d.withColumns({"region": F.first("region", ignorenulls=True).over(period), "MC": F.first("MC", ignorenulls=True).over(period), "_in": F.max("_in").over(period)})
-    d = d.filter("_in = 1").drop("_in")
-    d = d.withColumn("_f", F.row_number().over(wk) == 1)
-    d = d.withColumn("_g", nz(running_product(1 + F.col("r"), wk.rowsBetween(W.unboundedPreceding, -1)), 1.0))
-    w0 = F.lit(1.0) if weight == "EW" else F.col("MC")
-    tot = d.filter("_f").groupBy("pred_date", "region", *ports).agg(F.sum(w0).alias("_t"))
-    d = d.join(tot, ["pred_date", "region", *ports])
-    return d.withColumn("wgt", fdiv(w0, "_t") * F.col("_g")).drop("_f", "_g", "_t")
+    cal, _, d = _holdings(sig, ret, weight, ports)
+    d = d.drop("date").withColumn("_p", F.explode(F.sequence("_from", "_to")))
+    at = F.col("_p") - F.col("_i")  # before the first return, on a return date, or after it
+    d = d.withColumn("wgt", F.col("_w") * F.when(at < 0, 1.0).when(at == 0, F.col("_g")).otherwise(F.col("_g") * (1 + F.col("r"))))
+    d = d.withColumn("r", F.when(at == 0, F.col("r")).otherwise(0.0))
+    return d.join(F.broadcast(cal.select("date", F.col("_i").alias("_p"))), "_p").select("pred_date", "region", *ports, "date", "DTID", "MC", "r", "wgt")
+
+
+def _contributions(sig: DataFrame, ret: DataFrame, weight: str, ports) -> DataFrame:
+    """(region, date, ports, x) whose sums of x are portfolio returns: return rows, and a zero per portfolio and held date, as missing returns are zero."""
+    cal, h, d = _holdings(sig, ret, weight, ports)
+    zero = h.groupBy("pred_date", "region", *ports).agg(F.sum(F.col("_w") * 0.0).alias("x")).join(F.broadcast(cal), "pred_date")
+    return d.select("region", "date", *ports, (F.col("r") * F.col("_w") * F.col("_g")).alias("x")).unionByName(zero.select("region", "date", *ports, "x"))
 
 
 def portfolios(sig: DataFrame, ret: DataFrame, weight: str = "EW", kind: str = "sorts") -> DataFrame:
@@ -94,13 +118,12 @@ def portfolios(sig: DataFrame, ret: DataFrame, weight: str = "EW", kind: str = "
     buckets long, short and ls.
     """
     if kind == "sorts":
-        w = weights(sig, ret, weight, ["Var"])
-        p = stage(w.groupBy("region", "date", F.col("Var").alias("bucket")).agg(F.sum(F.col("r") * F.col("wgt")).alias("ret")))
+        w = _contributions(sig, ret, weight, ["Var"])
+        p = stage(w.groupBy("region", "date", F.col("Var").alias("bucket")).agg(F.sum("x").alias("ret")))
         g = p.groupBy("date", "bucket").agg(F.avg("ret").alias("ret")).withColumn("region", F.lit("Global"))
         return p.unionByName(g)
-    w = weights(sig, ret, weight, ["long", "short"])
-    x = F.col("r") * F.col("wgt")
-    p = w.groupBy("region", "date").agg(F.sum(F.when(F.col("long"), x)).alias("long"), F.sum(F.when(F.col("short"), x)).alias("short"))
+    w = _contributions(sig, ret, weight, ["long", "short"])
+    p = w.groupBy("region", "date").agg(F.sum(F.when(F.col("long"), F.col("x"))).alias("long"), F.sum(F.when(F.col("short"), F.col("x"))).alias("short"))
     p = stage(p)
     p = p.unionByName(p.groupBy("date").agg(F.avg("long").alias("long"), F.avg("short").alias("short")).withColumn("region", F.lit("Global")))
     p = p.withColumn("ls", F.col("long") - F.col("short"))

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from panelquant.functions.num import nz
+from panelquant.functions.stage import stage
 from panelquant.operators import distribution as D, evaluate as V, portfolio as R
 from panelquant.operators.asof import Grid
 from panelquant.operators.series import nw_std
@@ -103,9 +104,16 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ portfolios
-def daily(spark, d):
+def both(spark, d):
+    """Monthly table and daily returns, from one written panel."""
+    p = stage(panel_supplier(spark, d).select("DTID", "date", "region", "PRC", "VOL", "MC", "r"))
     r = F.least(F.greatest(nz("r"), F.lit(-0.5)), F.lit(0.5)) / 10
-    return panel_supplier(spark, d).withColumn("r", r)
+    return monthly(spark, d, p), p.withColumn("r", r)
+
+
+def sorted_portfolios(spark, d):
+    m, r = both(spark, d)
+    return R.portfolios(R.sorts(m, "v", n=5), r)
 
 
 RD = "rd AS (SELECT DTID, date, region, MC, least(greatest(coalesce(r, 0), -0.5), 0.5) / 10 AS r FROM ps)"
@@ -114,8 +122,8 @@ S1 = f"s1 AS ({CUT('v', 5, 'region, date')} AS b FROM pm)"
 PC = ["ps", PM]
 
 
-def ls(spark, d, frac=0.2):
-    return R.signal_ls(monthly(spark, d), "v", frac)
+def ls(m, frac=0.2):
+    return R.signal_ls(m, "v", frac)
 
 
 LS = "ls AS (SELECT date, DTID, region, v >= h AS long, v <= l AS short FROM (SELECT *, quantile_cont(v, 0.8) OVER w AS h, quantile_cont(v, 0.2) OVER w AS l FROM pm WINDOW w AS (PARTITION BY region, date)) WHERE v >= h OR v <= l)"
@@ -123,7 +131,7 @@ LS = "ls AS (SELECT date, DTID, region, v >= h AS long, v <= l AS short FROM (SE
 
 @query("r01_long_short_signal", ["date", "DTID"], ["lo", "sh"], "SELECT date, DTID, long::INT AS lo, short::INT AS sh FROM ls", [*PC, LS])
 def _(spark, d):
-    return ls(spark, d).withColumn("lo", F.col("long").cast("int")).withColumn("sh", F.col("short").cast("int"))
+    return ls(monthly(spark, d)).withColumn("lo", F.col("long").cast("int")).withColumn("sh", F.col("short").cast("int"))
 
 
 @query("r02_single_sort", ["date", "DTID", "Var"], [], "SELECT date, DTID, 'Var1_' || b AS \"Var\" FROM s1", [*PC, S1])
@@ -160,12 +168,13 @@ PORT = "po AS (SELECT region, date, pt AS bucket, sum(r * wgt) AS ret FROM hw GR
 
 @query("r05_drifted_weights_vw", ["date", "DTID"], ["wgt"], "SELECT date, DTID, wgt FROM hw", [*PC, RD, S1, SG0, WT.format(w="MC")], digits=8)
 def _(spark, d):
-    return R.weights(R.sorts(monthly(spark, d), "v", n=5), daily(spark, d), "VW")
+    m, r = both(spark, d)
+    return R.weights(R.sorts(m, "v", n=5), r, "VW")
 
 
 @query("r06_sorted_portfolio_returns", ["region", "date", "bucket"], ["ret"], "SELECT * FROM pr", [*PC, RD, S1, SG0, WT.format(w="1.0"), PORT], digits=8)
 def _(spark, d):
-    return R.portfolios(R.sorts(monthly(spark, d), "v", n=5), daily(spark, d))
+    return sorted_portfolios(spark, d)
 
 
 LSW = ["sg0 AS (SELECT date, DTID, long::INT * 2 + short::INT AS pt FROM ls)", WT.format(w="1.0"),
@@ -175,12 +184,13 @@ LSW = ["sg0 AS (SELECT date, DTID, long::INT * 2 + short::INT AS pt FROM ls)", W
 
 @query("r06_long_short_returns", ["region", "date", "bucket"], ["ret"], "SELECT * FROM (SELECT region, date, unnest(['long', 'short', 'ls']) AS bucket, unnest([long, short, ls]) AS ret FROM lg) WHERE ret IS NOT NULL", [*PC, RD, LS, *LSW], digits=8)
 def _(spark, d):
-    return R.portfolios(ls(spark, d), daily(spark, d), "EW", "LS")
+    m, r = both(spark, d)
+    return R.portfolios(ls(m), r, "EW", "LS")
 
 
 @query("r07_high_minus_low", ["region", "date", "bucket"], ["ret"], "SELECT * FROM pr UNION ALL SELECT a.region, a.date, 'Var1_5', a.ret - b.ret FROM pr a JOIN pr b USING (region, date) WHERE a.bucket = 'Var1_4' AND b.bucket = 'Var1_0'", [*PC, RD, S1, SG0, WT.format(w="1.0"), PORT], digits=8)
 def _(spark, d):
-    return R.high_minus_low(R.portfolios(R.sorts(monthly(spark, d), "v", n=5), daily(spark, d)), 5)
+    return R.high_minus_low(sorted_portfolios(spark, d), 5)
 
 
 def nw_sql(src, key, x="x", date="date"):
@@ -195,7 +205,7 @@ DD = lambda src, key, x: f"SELECT {key}, min(y / greatest(pk, y) - 1) AS dd FROM
 @query("r08_portfolio_metrics", ["region", "bucket"], ["n", "mean", "std_nw", "t", "sr", "max_dd"], f"""SELECT region, bucket, n, mean * 100 AS mean, nw * 100 AS std_nw, mean / nw * sqrt(n) AS t, mean / sd * sqrt(260) AS sr, least(dd, 0) * 100 AS max_dd
  FROM ({nw_sql('pr', 'region, bucket', 'ret')}) JOIN ({DD('pr', 'region, bucket', 'ret')}) USING (region, bucket)""", [*PC, RD, S1, SG0, WT.format(w="1.0"), PORT], digits=5)
 def _(spark, d):
-    return R.metrics(R.portfolios(R.sorts(monthly(spark, d), "v", n=5), daily(spark, d)), "D")
+    return R.metrics(sorted_portfolios(spark, d), "D")
 
 
 def _leg(c):
@@ -210,13 +220,13 @@ def _legsql(c, t):
  JOIN (SELECT region, date, sum(r * wgt) AS x FROM hwB WHERE pt IN (1, 3) GROUP BY 1, 2 UNION ALL SELECT 'Global', date, avg(x) FROM (SELECT region, date, sum(r * wgt) AS x FROM hwB WHERE pt IN (1, 3) GROUP BY 1, 2) GROUP BY 2) b USING (region, date)""",
        [*PC, RD, f"sgA AS (SELECT date, DTID, long::INT * 2 + short::INT AS pt FROM {_leg('v')})", _legsql("v", "A"), f"sgB AS (SELECT date, DTID, long::INT * 2 + short::INT AS pt FROM {_leg('p')})", _legsql("p", "B")], digits=8)
 def _(spark, d):
-    return R.cross_quantile_ls(monthly(spark, d), daily(spark, d), "v", "p", 0.2)
+    return R.cross_quantile_ls(*both(spark, d), "v", "p", 0.2)
 
 
 @query("r10_strategy_difference", ["region"], ["n", "diff", "t"], f"""SELECT region, n, mean AS diff, mean / nw * sqrt(n) AS t FROM ({nw_sql('dx', 'region')})""",
        [*PC, RD, S1, SG0, WT.format(w="1.0"), PORT, "dx AS (SELECT a.region, a.date, a.ret - b.ret AS x FROM pr a JOIN pr b USING (region, date) WHERE a.bucket = 'Var1_4' AND b.bucket = 'Var1_2')"])
 def _(spark, d):
-    p = R.portfolios(R.sorts(monthly(spark, d), "v", n=5), daily(spark, d))
+    p = sorted_portfolios(spark, d)
     return R.strategy_difference(p.filter("bucket = 'Var1_4'"), p.filter("bucket = 'Var1_2'"))
 
 

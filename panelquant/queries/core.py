@@ -209,8 +209,8 @@ def _(spark, d):
 PM = """pm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, DTID, region, sum(VOL) AS v, avg(PRC) AS p, CASE WHEN count(r) > 3 THEN sum(r) END AS m, max(MC) AS MC FROM ps GROUP BY 1, 2, 3)"""
 
 
-def monthly(spark, d):
-    p = panel_supplier(spark, d)
+def monthly(spark, d, p=None):
+    p = panel_supplier(spark, d) if p is None else p
     return p.groupBy(month_start(month_no("date")).alias("date"), "DTID", "region").agg(
         F.sum("VOL").alias("v"), F.avg("PRC").alias("p"), F.when(F.count("r") > 3, F.sum("r")).alias("m"), F.max("MC").alias("MC"))
 

@@ -158,3 +158,21 @@ def test_every_distinct_lag_is_evaluated_once(spark):
         spark.conf.set("spark.sql.debug.maxToStringFields", width)
     g = [1 + (eps[k] - eps[k - 1]) / ((eps[k - 1] + eps[k - 2]) / 2) for k in range(3, 8)]
     assert np.isclose(df.collect()[0]["EConsit"], np.prod(g) ** 0.2 - 1)
+
+
+def test_holdings_are_not_copied_to_dates_before_a_join(spark):
+    from panelquant.operators import portfolio as R
+
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(days=k)
+    sig = spark.createDataFrame([(day(0), "a", "x"), (day(0), "b", "x"), (day(0), "c", "x"), (day(5), "a", "x")], "date date, DTID string, Var string")
+    ret = spark.createDataFrame([("a", day(2), "EU", 10.0, 0.5), ("a", day(3), "EU", 10.0, None), ("a", day(4), "EU", 11.0, -1.0), ("b", day(1), "EU", 30.0, 0.1),
+                                 ("a", day(6), "EU", 12.0, 0.2), ("z", day(7), "EU", 1.0, 0.0)], "DTID string, date date, region string, MC double, r double")
+    w = R.weights(sig, ret, "VW")
+    text = plan(w)
+    assert text.index("Generate explode") < text.index("Window")  # the copies are made above the last ordered step
+    got = {(r["DTID"], (r["date"] - day(0)).days): (round(r["r"], 9), round(r["wgt"], 9)) for r in w.collect()}
+    assert got == {("a", 1): (0, 0.25), ("a", 2): (0.5, 0.25), ("a", 3): (0, 0.375), ("a", 4): (-1, 0.375), ("b", 1): (0.1, 0.75), ("b", 2): (0, 0.825), ("b", 3): (0, 0.825),
+                   ("b", 4): (0, 0.825), ("a", 6): (0.2, 1), ("a", 7): (0, 1.2)}
+    p = R.portfolios(sig, ret, "VW").filter("region = 'EU'")
+    assert {((r["date"] - day(0)).days, round(r["ret"], 9)) for r in p.collect()} == {(1, 0.075), (2, 0.125), (3, 0), (4, -0.375), (6, 0.2), (7, 0)}
+    assert "Generate" not in plan(R._contributions(sig, ret, "VW", ["Var"]))
