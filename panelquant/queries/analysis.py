@@ -58,18 +58,15 @@ def _(spark, d):
 _EMP = "emp AS (SELECT g.date, DTID, var_pop(r) AS var_t, avg(r) AS mean_t FROM ps p JOIN qg g ON p.date >= g.date - INTERVAL 12 MONTH AND p.date < g.date WHERE r IS NOT NULL GROUP BY 1, 2)"
 
 
-def _empirical(spark, d):
-    from panelquant.operators.asof import snapshot
-
-    s = snapshot(panel_supplier(spark, d).filter("r is not null"), Grid("1995-02-01", "2001-12-01"), -12, 0, ["r"])
-    return s.groupBy(F.col("T").alias("date"), "DTID").agg(F.var_pop("r").alias("var_t"), F.avg("r").alias("mean_t"))
+def _implied(spark, d):
+    """Implied moments beside the mean and variance of the values that the quantiles were taken from."""
+    return D.moments(quantile_vectors(spark, d, spread=True), TAUS)
 
 
 @query("d06_adjustment_refit", ["s"], ["b0", "b1", "b2"], """SELECT 'all' AS s, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM (
  SELECT avg(z) AS my, avg(skew) AS m1, avg(k) AS m2, covar_pop(skew, z) AS c1, covar_pop(k, z) AS c2, covar_pop(skew, k) AS c12, var_pop(skew) AS v1, var_pop(k) AS v2 FROM (SELECT skew, kurtosis - 3 AS k, var_t / var AS z FROM mc JOIN emp USING (date, DTID))))""", [*QC, SEG, MOM, _EMP])
 def _(spark, d):
-    m = D.moments(qv(spark, d), TAUS).join(_empirical(spark, d), K)
-    return D.fit_adjustment(m).withColumnRenamed("_all", "s")
+    return D.fit_adjustment(_implied(spark, d)).withColumnRenamed("_all", "s")
 
 
 @query("d07_density_table", [*K, "pos"], ["x", "cdf", "density"], "SELECT date, DTID, i - 2 AS pos, a AS x, fa AS cdf, greatest((fb - fa) / (b - a), 1e-5) AS density FROM sg", [*QC, SEG])
@@ -99,8 +96,7 @@ def _(spark, d):
 
 @query("d11_implied_against_sample", ["region"], ["bias_mean", "mad_var", "ratio"], """SELECT region, avg(m1 - mean_t) AS bias_mean, avg(abs(var - var_t)) AS mad_var, avg(var / var_t) AS ratio FROM mc JOIN emp USING (date, DTID) GROUP BY 1""", [*QC, SEG, MOM, _EMP])
 def _(spark, d):
-    m = D.moments(qv(spark, d), TAUS).join(_empirical(spark, d), K)
-    return m.groupBy("region").agg(F.avg(F.col("m1") - F.col("mean_t")).alias("bias_mean"), F.avg(F.abs(F.col("var") - F.col("var_t"))).alias("mad_var"), F.avg(F.col("var") / F.col("var_t")).alias("ratio"))
+    return _implied(spark, d).groupBy("region").agg(F.avg(F.col("m1") - F.col("mean_t")).alias("bias_mean"), F.avg(F.abs(F.col("var") - F.col("var_t"))).alias("mad_var"), F.avg(F.col("var") / F.col("var_t")).alias("ratio"))
 
 
 # ------------------------------------------------------------------ portfolios

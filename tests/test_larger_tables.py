@@ -176,3 +176,18 @@ def test_holdings_are_not_copied_to_dates_before_a_join(spark):
     p = R.portfolios(sig, ret, "VW").filter("region = 'EU'")
     assert {((r["date"] - day(0)).days, round(r["ret"], 9)) for r in p.collect()} == {(1, 0.075), (2, 0.125), (3, 0), (4, -0.375), (6, 0.2), (7, 0)}
     assert "Generate" not in plan(R._contributions(sig, ret, "VW", ["Var"]))
+
+
+def test_sample_moments_come_with_the_quantiles(spark):
+    from panelquant.operators.asof import month_quantiles
+    from panelquant.queries.analysis import _implied
+
+    rng = np.random.default_rng(4)
+    rows = [("1", dt.date(2000, 1, 1) + dt.timedelta(days=int(k)), float(rng.normal())) for k in range(0, 200, 3)]
+    p = spark.createDataFrame(rows, "DTID string, date date, r double")
+    got = month_quantiles(p, Grid("2000-03-01", "2000-07-01"), "r", TAUS, 2, now={"y": F.sum("r")}, spread=True).collect()
+    assert len(got) == 5
+    for r in got:
+        v = [x for _, d, x in rows if (r["T"].month - 2) <= d.month < r["T"].month]
+        assert r["n"] == len(v) and np.isclose(r["mean_t"], np.mean(v), atol=1e-12) and np.isclose(r["var_t"], np.var(v), atol=1e-12)
+    assert plan(_implied(spark, "/root/testdata/sf0.001")).count("Relation [") == 4  # the panel's four tables once; it was built twice, its rows copied to 12 dates
