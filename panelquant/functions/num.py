@@ -76,6 +76,17 @@ def book_equity(seq="seq", ceq="ceq", pstk="pstk", pstkrv="pstkrv", pstkl="pstkl
     return F.coalesce(_c(seq) - nz(ps), _c(ceq) + _c(pstk) - ps, _c(at) - _c(lt) - nz(ps))
 
 
+def dated_mean(x, date) -> Column:
+    """Aggregate: mean of the non-null values, added up in date order.
+
+    A sum of doubles depends on its order, and rows reach an aggregate in any: equal series get the same mean to the last bit only if the
+    order is theirs.  Holds the values of the group, so groups must be bounded, as (id, month) is.
+    """
+    x = _c(x).cast("double")
+    rows = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(_c(date).alias("d"), x.alias("x")))))
+    return let(rows, lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y["x"]) / F.nullif(F.size(v), F.lit(0)))
+
+
 def month_no(d) -> Column:
     """Months since year 0, so calendar-month arithmetic is integer arithmetic."""
     d = _c(d)

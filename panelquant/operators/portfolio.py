@@ -37,6 +37,7 @@ def sorts(df: DataFrame, var1: str, var2: str | None = None, n: int = 5, kind: s
         d = X.with_quantiles(df.filter(F.col(var1).isNotNull()), by, _cuts("a", var1, n))
         return d.select(*keep, F.concat(F.lit("Var1_"), _bucket("a", var1, n).cast("string")).alias("Var"))
     label = lambda i, j: F.concat(F.lit("Var1_"), i.cast("string"), F.lit("_Var2_"), j.cast("string"))
+    df = stage(df)  # cut points and rows are read from the same figures: sums evaluated twice may differ in the last digit
     d = df.filter(F.col(var1).isNotNull() & F.col(var2).isNotNull()) if kind == "independent" else df.filter(F.col(var1).isNotNull())
     if kind == "independent":
         # each cut uses all non-null values of its own variable

@@ -1,7 +1,7 @@
 """Joins, as-of engine, cross-sections, windows, aggregations."""
 from pyspark.sql import Window as W, functions as F
 
-from panelquant.functions.num import fdiv, fln, fpow, month_no, month_start, null_if, nz
+from panelquant.functions.num import dated_mean, fdiv, fln, fpow, month_no, month_start, null_if, nz
 from panelquant.operators import asof as A, series as S, xsection as X
 from panelquant.operators.asof import Agg, Grid
 from panelquant.queries.base import grid_cte, query
@@ -212,7 +212,7 @@ PM = """pm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, DTID, reg
 def monthly(spark, d, p=None):
     p = panel_supplier(spark, d) if p is None else p
     return p.groupBy(month_start(month_no("date")).alias("date"), "DTID", "region").agg(
-        F.sum("VOL").alias("v"), F.avg("PRC").alias("p"), F.when(F.count("r") > 3, F.sum("r")).alias("m"), F.max("MC").alias("MC"))
+        F.sum("VOL").alias("v"), dated_mean("PRC", "date").alias("p"), F.when(F.count("r") > 3, F.sum("r")).alias("m"), F.max("MC").alias("MC"))
 
 
 def _rk(c):
