@@ -55,17 +55,15 @@ def fill_after_first(df: DataFrame, col="VOL", value=0.0, key="DTID", date="date
 
 
 def drop_trailing_padding(df: DataFrame, col="PRC", longest=20, key="DTID", date="date") -> DataFrame:
-    """Drop the final run of missing values of a security when it is longer than `longest` rows.
+    """Drop the final run of missing values of a security when it is longer than `longest` rows; rows without a key are dropped.
 
-    The run is everything after the last non-missing date, so one map-side combined aggregate
-    per id replaces an ordered window.
+    The run is everything after the last non-missing date.  Both figures are taken over the series where it lies, beside the other
+    windows per security: joined aggregates would evaluate what comes before three times and exchange its rows twice.
     """
-    g = df.groupBy(key).agg(F.max(F.when(c(col).isNotNull(), c(date))).alias("_last"))
-    t = df.join(g, key)
-    n = t.filter(c("_last").isNull() | (c(date) > c("_last"))).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    t = t.join(n, key, "left")
-    tail = (c("_last").isNull() | (c(date) > c("_last"))) & (nz("_n", 0) > longest)
-    return t.filter(~tail).drop("_last", "_n")
+    whole = W.partitionBy(key)
+    t = df.filter(c(key).isNotNull()).withColumn("_last", F.max(F.when(c(col).isNotNull(), c(date))).over(whole))
+    t = t.withColumn("_tail", F.coalesce(c("_last").isNull() | (c(date) > c("_last")), F.lit(False)))
+    return t.withColumn("_n", F.count(F.when(c("_tail"), 1)).over(whole)).filter(~(c("_tail") & (c("_n") > longest))).drop("_last", "_tail", "_n")
 
 
 def repair_padded_splits(df: DataFrame, up=1.5, down=0.5, reach=5, cols=("RI",), key="DTID", date="date") -> DataFrame:
@@ -201,10 +199,10 @@ def share_factor(df: DataFrame, factor="DISFACSHR", out="AF", key="DTID", date="
 def firm_market_value(df: DataFrame, firm="FTID", date="date", floor: float | None = None, cls="MCshare", out="MC") -> DataFrame:
     """Sum over the share classes of a firm and date; own class where the firm is unknown.
 
-    The sum is an aggregate joined back, so rows without firm id never share a partition.
+    The sum is an aggregate joined back, so rows without firm id never share a partition.  Not the rows but the sums are written: their
+    size is known then, and where firms are few the rows stay where they lie.
     """
-    df = stage(df, 5)
-    g = df.filter(c(firm).isNotNull()).groupBy(firm, date).agg(nz(F.sum(cls)).alias("_mc"))
+    g = stage(df.filter(c(firm).isNotNull()).groupBy(firm, date).agg(nz(F.sum(cls)).alias("_mc")))
     d = df.join(g, [firm, date], "left").withColumn(out, F.coalesce("_mc", cls)).drop("_mc")
     low = c(out) <= 0
     return d.withColumn(out, F.when(low, F.lit(floor).cast("double")).otherwise(c(out)))

@@ -321,7 +321,8 @@ def _(spark, d):
 def _(spark, d):
     p = panel_supplier(spark, d)
     px = p.select("DTID", "date", "PRC", "RI", c("RI").alias("RI_OC"), "H", "L", c("L").alias("BID"), c("H").alias("ASK"), "VOL", "SHROUT", "AF", c("PRC").alias("PRCunpadded"))
-    return PL.international_panel(px, p.select("DTID", "FTID", "region").distinct())
+    su = table(spark, d, "supplier").join(table(spark, d, "nation"), c("s_nationkey") == c("n_nationkey")).join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    return PL.international_panel(px, su.select(c("s_suppkey").cast("string").alias("DTID"), c("s_nationkey").cast("string").alias("FTID"), c("r_name").alias("region")))
 
 
 @query("a12_us_statement_pipeline", ["FTID", "DTID", "date", "FinYearEnd", "FirstObs", "INDM3"], {"sale": 2, "CPI": 5}, f"""SELECT FTID, CASE WHEN FinYearEnd <= DATE '1998-12-31' THEN FTID ELSE CAST(CAST(FTID AS BIGINT) + 1000 AS VARCHAR) END AS DTID, date, FinYearEnd, min(date) OVER (PARTITION BY FTID) AS "FirstObs",
