@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelquant.functions.num import nz
 from panelquant.operators import clean as C
-from panelquant.operators.asof import asof_join, asof_series, interval_join, overlap_join
+from panelquant.operators.asof import asof_join, asof_series, interval_join, overlap_join, valid_at
 from panelquant.operators.series import running_product
 from panelquant.sources.io import parse_date
 
@@ -20,9 +20,10 @@ def inflation(raw: DataFrame, date="DATE", value="CPIAUCNS") -> DataFrame:
 
 
 def _keep_last(df: DataFrame, key, order) -> DataFrame:
-    """One row per key, the largest in the given order (aggregate, no sort of the group)."""
+    """One row per key, the largest in the given order (aggregate, no sort of the group); columns nobody reads are not carried."""
     rest = [x for x in df.columns if x not in key]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+    d = df.withColumn("_o", F.struct(*order))
+    return d.groupBy(*key).agg(*[F.max_by(x, "_o").alias(x) for x in rest])
 
 
 # security and issuer conditions of the daily US panel (fixed values)
@@ -43,7 +44,7 @@ def daily_panel(raw: DataFrame, issue: DataFrame, issuer: DataFrame, region: str
     sec = issue.filter(ok).select(c("permno").cast("string").alias("DTID"), c("secinfostartdt").alias("s1"), c("secinfoenddt").alias("e1"), F.lit(True).alias("in1"))
     iss = issuer.filter((c("usincflg") == "Y") & c("issuertype").isin(*ISSUER)).select(c("permco").alias("PERMCO"), c("issinfostartdt").alias("s2"), c("issinfoenddt").alias("e2"), F.lit(True).alias("in2"))
     for tbl, by, s, e, flag in ((sec, "DTID", "s1", "e1", "in1"), (iss, "PERMCO", "s2", "e2", "in2")):
-        d = interval_join(d, tbl, "date", by, s, e).filter(c(flag)).drop(flag)
+        d = valid_at(d, tbl, "date", by, s, e).filter(c(flag)).drop(flag)
     d = _keep_last(d, ["DTID", "date"], ["PERMCO", "PRC"])
     w = W.partitionBy("DTID").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     return d.withColumn("region", F.lit(region)).withColumn("RI", running_product(1 + nz("r"), w))
