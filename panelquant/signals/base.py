@@ -146,16 +146,21 @@ def fiscal_snapshot(ft: DataFrame, dt: DataFrame | None, grid: Grid, start: int,
     """Statements inside the window at T, one per fiscal year, newest market value overlaid.
 
     `age` is the fiscal-year bucket as seen at T; the later row of a bucket wins.  Rows newer
-    than T-12 months take the last market value of their security when there is one.
+    than T-12 months take the last market value of their security when there is one.  Market values
+    meet the statements before these are copied to the dates, as one map per security from date to
+    value, so no copy is moved; where nobody reads MC the optimiser drops the join.
     """
+    mc = dt is not None and "MC" in ft.columns
+    if mc:
+        v = win_agg(dt.select("DTID", "date", "MC"), grid, {"MClast": Agg("last", "MC", mc_start, 0)}).filter("MClast is not null")
+        ft = ft.join(v.groupBy("DTID").agg(F.map_from_entries(F.collect_list(F.struct("T", "MClast"))).alias("_mcs")), "DTID", "left")
+        ft = ft.withColumn("_mcs", F.map_filter("_mcs", lambda t, _: (t > F.col("date")) & (F.add_months(t, -12) < F.col("date"))))
     s = snapshot(ft, grid, start, end, None, "FTID", "date").withColumn("age", F.ceil(F.datediff("T", "FinYearEnd") / 365))
+    if mc:
+        recent = F.col("date") > F.add_months("T", -12)
+        s = s.withColumn("MC", F.coalesce(F.when(recent, F.try_element_at("_mcs", F.col("T"))), F.col("MC"))).drop("_mcs")
     w = W.partitionBy("FTID", "T", "age").orderBy(F.col("date").desc(), F.col("FinYearEnd").desc())
-    s = s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")  # before the join: rows still lie by FTID
-    if dt is not None and "MC" in ft.columns:
-        mc = win_agg(dt.select("DTID", "date", "MC"), grid, {"MClast": Agg("last", "MC", mc_start, 0)}).filter("MClast is not null")
-        s = s.join(mc, ["T", "DTID"], "left")
-        s = s.withColumn("MC", F.when((F.col("date") > F.add_months("T", -12)) & F.col("MClast").isNotNull(), F.col("MClast")).otherwise(F.col("MC"))).drop("MClast")
-    return s
+    return s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")  # rows still lie by FTID
 
 
 def fw():

@@ -221,7 +221,8 @@ _p("ZScore", ["ZSc"], -18, ["act", "lct", "oiadp", "re", "at", "lt", "sale", "MC
 @_b("AbarbanellBushee", ["indCAPEX", "SmI", "SmSGA", "dSdAR", "dGMdS"], {"FT": (-42, 0, ["capx", "sale", "xsga", "invt", "rect", "cogs", "INDM3"])})
 def _abar(x):
     s = x.statements().filter(Items(-42).inside).withColumn("y", year_bucket(5)).withColumn("gm", c("sale") - c("cogs"))
-    s = X.attach(s, ["T", "INDM3", "y"], ci=F.avg("capx"))
+    # the few industry means are written, not the rows, which then stay where their firm lies
+    s = s.join(stage(s.groupBy("T", "INDM3", "y").agg(F.avg("capx").alias("ci")), 5), ["T", "INDM3", "y"], "left")
     L = lambda v, k: F.lag(v, k).over(fw())
     grow = lambda v: fdiv(v, L(v, 1) + L(v, 2)) / 2 - 1
     a2 = lambda v: (L(v, 1) + L(v, 2)) / 2

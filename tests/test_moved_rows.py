@@ -58,3 +58,45 @@ def test_trailing_padding_is_dropped_beside_other_windows(spark):
     assert moves(p) == 1
     assert p.filter("DTID = '2'").count() == 5 and p.filter("DTID = '1'").count() == 30
     assert C.drop_trailing_padding(_prices(spark), "PRCunpadded", longest=25).count() == 60
+
+
+def _firms(spark):
+    from panelquant.operators.asof import Grid
+    from panelquant.signals import SignalContext
+
+    years = range(1996, 2000)
+    ft = [(str(i), str(i), D(y, 12, 31), D(y + 1, 6, 30), "A" if i % 2 else "B", 100.0 * i + y - 1990, 10.0 * i + y - 1996, 50.0 * i) for i in range(1, 5) for y in years]
+    dt_ = [(str(i), D(y, m, 15), 1000.0 * i + 12 * y + m) for i in range(1, 5) for y in years for m in range(1, 13) if i != 4]
+    ft = spark.createDataFrame(ft, "FTID string, DTID string, FinYearEnd date, date date, INDM3 string, at double, capx double, MC double")
+    ft = ft.select("*", *[F.col("at").alias(x) for x in ("sale", "xsga", "invt", "rect", "cogs")], F.lit(None).cast("double").alias("seq"), F.lit(None).cast("double").alias("ceq"),
+                   *[F.lit(None).cast("double").alias(x) for x in ("pstk", "pstkl", "pstkrv")], (F.col("at") / 2).alias("lt"))
+    p = spark.createDataFrame(dt_, "DTID string, date date, MC double")
+    return SignalContext({"FT": ft, "dt": p}, Grid("1997-07-01", "2001-06-01"))
+
+
+def test_statements_do_not_meet_prices_that_nobody_reads(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    x = _firms(spark)
+    assert "map_from_entries" not in plan(x.cls("AssetGrowth")) and "Join LeftOuter" not in plan(x.cls("AssetGrowth"))
+    assert moves(x.cls("AssetGrowth")) == 1
+    got = {(str(r["T"]), r["FTID"]): r["BM"] for r in x.cls("BookToMarket").collect()}
+    be = lambda i, y: (100.0 * i + y - 1990) / 2
+    import math
+
+    assert got["1998-07-01", "2"] == math.log(be(2, 1997) / (2000.0 + 12 * 1998 + 6))  # recent: the last value before T
+    assert got["1998-06-01", "2"] == math.log(be(2, 1996) / (2000.0 + 12 * 1998 + 5))
+    assert got["1998-07-01", "4"] == math.log(be(4, 1997) / 200.0)  # no prices: the statement's own value
+    assert got["2001-06-01", "1"] == math.log(be(1, 1999) / (1000.0 + 12 * 1999 + 12)) and got["2000-12-01", "3"] == math.log(be(3, 1999) / (3000.0 + 12 * 1999 + 12))
+
+
+def test_industry_means_move_no_rows(spark):
+    a = _firms(spark).cls("AbarbanellBushee")
+    assert moves(a) <= 2  # statements once, and the means
+    assert a.filter("indCAPEX is not null").count() > 0
+
+
+def test_copies_to_dates_keep_their_partitions(spark):
+    from panelquant.operators.asof import Grid, snapshot
+
+    x = _firms(spark)
+    assert snapshot(x.sources["FT"], Grid("1997-07-01", "2001-06-01"), -258, 0, ["at"], "FTID").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
