@@ -237,6 +237,7 @@ def statement_signals(ctx: SignalContext, names, presence: bool = False) -> Data
 # ------------------------------------------------------------------ combinations
 def double_quantile(df: DataFrame, a: str, b: str, out: str, by=("T",)) -> DataFrame:
     """1{a < q20 & b > q80} - 1{a > q80 & b < q20} within the group."""
+    df = stage(df)
     q = group_quantiles(df, list(by), {"_a2": (a, 0.2), "_a8": (a, 0.8), "_b2": (b, 0.2), "_b8": (b, 0.8)})
     j = df.join(q, list(by), "left")
     A, B = F.col(a), F.col(b)
