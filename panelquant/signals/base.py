@@ -106,9 +106,18 @@ class SignalContext:
             elif c.project:
                 self._cache[name] = statement_signals(self, [name])
             else:
+                self.together(c.depends)
                 self._cache[name] = c.build(self)
         return self._cache[name]
 
+    def together(self, names) -> None:
+        """Builds several statement classes from one pass over the snapshot, written once for those who read them."""
+        names = [n for n in names if CLASSES[n].project and n not in self._cache]
+        if len(names) > 1:
+            w = stage(statement_signals(self, names, presence=True))
+            for n in names:
+                self._cache[n] = w.filter(F.col(f"has__{n}") > 0).select("T", CLASSES[n].key, *CLASSES[n].outputs)
+
     def statements(self) -> DataFrame:
         """Statement snapshot over the widest window any class asks for, one row per fiscal year."""
         if "_ft" not in self._cache:
